@@ -1,10 +1,10 @@
 """BPE encoding and decoding through a distinct-word table.
 
-A byte-level BPE never merges across the words of its splitting pattern, so a text's ids are the ids of its words in
-order. Texts are split into words; the words that recur are counted over all documents, each is encoded once for the
+A byte-level BPE never merges across the words of its splitting pattern, and that pattern never joins what a single
+space parts, so a text's ids are the ids of its space-parted words in order. The words that recur are counted over all documents, each is encoded once for the
 whole corpus, and the table of (word, ids) goes to every task, which joins ids back by position. The table is bounded
-(``table_words``): Zipf's law gives its words nearly all positions. Words below the bound are gathered into a block's
-own distinct-word table, so each is encoded once a block of documents; no row is dropped for being rare. Decoding is
+(``table_words``): Zipf's law gives its words nearly all positions. Words below the bound go into the worker's own
+distinct-word table, which starts anew when it is full; no row is dropped for being rare. Decoding is
 the join the other way, from id to piece; that table is as large as the vocabulary, at most.
 """
 
@@ -26,13 +26,11 @@ from pagequarry.llm.common import stage_table, table
 #: Most words in the table that every task holds: about 40 MB in a Python worker.
 TABLE_WORDS = 200_000
 #: A task names a word for the table when it met it so often.
-LEAST_IN_TASK = 8
+LEAST_IN_TASK = 4
 #: Words of a task's counter before its rare words are let go; the choice of table words never changes a result.
-COUNTER_WORDS = 2_000_000
-
-#: The splitting pattern of byte-level BPE vocabularies (fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
+COUNTER_WORDS = 1_000_000
+#: Characters of texts that are split at a time, and words of a worker's own table before it starts anew.
+BLOCK_CHARS, OWN_WORDS = 2_000_000, 150_000
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -60,7 +58,7 @@ class Vocabulary:
         if not plain or any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in added):
             raise ValueError(f"{path} is not a plain byte-level BPE")
         self.special = {x["content"]: x["id"] for x in added}
-        self.find = regex.compile(PATTERN).findall
+        self.odd, self.single = regex.compile(r" \s|\s |^ | $").search, regex.compile(r"(?<=\S) (?=\S)").split
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         # byte-level vocabularies write each byte as a printable character
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -73,22 +71,40 @@ class Vocabulary:
             self.pieces[i] = bytes(byte_of[c] for c in piece) if whole else piece.encode()
 
     def split(self, text: str) -> list[str]:
-        """Words in order; a special string is a word of its own."""
+        """Words in order: the splitting pattern never joins what a single space between two non-spaces parts.
+
+        A word is named without the space before it; one that has none (a text's or part's first) is named with a
+        space in front, which no other name has. A special string is a part of its own.
+        """
         if self.cut is None or not any(s in text for s in self.special):
-            return self.find(text)
-        out: list[str] = []
-        for k, part in enumerate(self.cut(text)):
-            out += [part] if k % 2 else self.find(part)
+            return self.chunks(text)
+        return [w for part in self.cut(text) if part for w in ([" " + part] if part in self.special else self.chunks(part))]
+
+    def chunks(self, text: str) -> list[str]:
+        out = text.split(" ") if self.odd(text) is None else self.single(text)
+        out[0] = " " + out[0]
         return out
 
     def encode_words(self, words: list[str]) -> list[tuple[int, str, bytes]]:
-        """For each word: number of ids, ids in decimal, ids as uint32."""
-        return [(len(e.ids), ",".join(map(str, e.ids)), np.asarray(e.ids, dtype="<u4").tobytes()) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """For each name of a word: number of ids, ids in decimal, ids as uint32."""
+        texts = [w[1:] if w[0] == " " else " " + w for w in words]
+        return [(len(e.ids), ",".join(map(str, e.ids)), np.asarray(e.ids, dtype="<u4").tobytes()) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def count_words(self, words: list[str]) -> list[int]:
+        return [len(e.ids) for e in self.tokenizer.encode_batch_fast([w[1:] if w[0] == " " else " " + w for w in words], add_special_tokens=False)]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(self.pieces[ids].tolist()).decode("utf-8", errors="replace")
 
 
+def blocks(batch: pd.DataFrame, column: str, chars: int = BLOCK_CHARS) -> Iterator[pd.DataFrame]:
+    """A batch in runs of rows with about ``chars`` characters each; one long text is a run of its own."""
+    size = (batch[column].str.len().fillna(0).cumsum() // chars).to_numpy()
+    for at in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(size)) + 1):
+        if len(at):
+            yield batch.iloc[at]
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -108,9 +124,9 @@ def word_table(docs: DataFrame, path: str, text: str = "text", table_words: int
             for t in batch[text]:
                 if t:
                     counts.update(vocab.split(t))
-            if len(counts) > COUNTER_WORDS:
-                yield named()
-                counts = Counter()
+                if len(counts) > COUNTER_WORDS:
+                    yield named()
+                    counts.clear()
         yield named()
 
     counted = stage_table(docs.select(F.col(text)).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
@@ -151,14 +167,17 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + extra)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, known = vocabulary(path), common.value
-        for batch in batches:
-            split = [vocab.split(t) if t else [] for t in batch["__text"]]
-            rare = list({w for ws in split for w in ws if w not in known})
-            block = dict(zip(rare, vocab.encode_words(rare), strict=True)) if rare else {}
+        vocab, known, own = vocabulary(path), common.value, {}
+        for block in (b for batch in batches for b in blocks(batch, "__text")):
+            split = [vocab.split(t) if t else [] for t in block["__text"]]
+            rare = list({w for ws in split for w in ws if w not in known and w not in own})
+            if len(own) > OWN_WORDS:
+                own.clear()
+                rare = list({w for ws in split for w in ws if w not in known})
+            own.update(zip(rare, vocab.encode_words(rare), strict=True))
             counts, digests, decoded, ids_out, text_out = [], [], [], [], []
             for ws in split:
-                coded = [known[w] if w in known else block[w] for w in ws]
+                coded = [known.get(w) or own[w] for w in ws]
                 ids = np.frombuffer(b"".join([c[2] for c in coded]), dtype="<u4")
                 back = vocab.decode(ids)
                 counts.append(len(ids))
@@ -168,7 +187,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
                     ids_out.append(ids.astype("int32"))
                 if with_text:
                     text_out.append(back)
-            out = batch.drop(columns="__text").assign(n_tokens=counts, ids_sha256=digests, decoded_sha256=decoded)
+            out = block.drop(columns="__text").assign(n_tokens=counts, ids_sha256=digests, decoded_sha256=decoded)
             if with_ids:
                 out["ids"] = ids_out
             if with_text:

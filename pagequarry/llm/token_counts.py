@@ -16,17 +16,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm.bpe import tokenizer_path
+from pagequarry.llm.bpe import blocks, tokenizer_path, vocabulary
 from pagequarry.llm.common import column_bytes, new_path, table
 
 #: Texts of more tokens than this are over the limit.
 TOKEN_LIMIT = 512
+#: Words of a worker whose counts are at hand, before it starts anew.
+KNOWN_WORDS = 400_000
 CACHE = "tokenizer string, digest binary, n_tokens long"
 
 
 @lru_cache(maxsize=4)
 def counter(path: str):
-    """A function from texts to counts. A .json file is read by tokenizers, a .model file by sentencepiece."""
+    """A function from texts to counts. A .json file is read by tokenizers, a .model file by sentencepiece.
+
+    For a plain byte-level BPE, a new text's count is the sum over its words, each encoded once while it is known."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -35,6 +39,21 @@ def counter(path: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+    try:
+        vocab, known = vocabulary(path), {}
+    except ValueError:
+        vocab = None
+    if vocab is not None:
+
+        def count(texts: list[str]) -> list[int]:
+            split = [vocab.split(t) if t else [] for t in texts]
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            new = list({w for ws in split for w in ws if w not in known})
+            known.update(zip(new, vocab.count_words(new), strict=True))
+            return [sum([known[w] for w in ws]) for ws in split]
+
+        return count
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
@@ -56,7 +75,7 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     return spark.read.schema(CACHE).parquet(cache)
 
 
-def count_tokens(docs: DataFrame, path: str, cache: str, text: str = "text", keep: list[str] | None = None, limit: int = TOKEN_LIMIT, block: int = 256) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, cache: str, text: str = "text", keep: list[str] | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:
     """Counts the tokens of every text whole, through the cache folder ``cache``, and appends what it had to encode.
 
     Returns the columns ``keep`` (default: doc_id) with n_bytes, n_tokens and over_limit. Null and empty texts have the
@@ -76,8 +95,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, text: str = "text", kee
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter(path)
         for batch in batches:
-            for at in range(0, len(batch), block):
-                part = batch.iloc[at : at + block]
+            for part in blocks(batch, "content"):
                 yield pd.DataFrame({"tokenizer": version, "digest": part["digest"], "n_tokens": count(part["content"].tolist())})
 
     misses.mapInPandas(encode, CACHE).write.mode("append").parquet(cache)
