@@ -24,7 +24,7 @@ ITERATIONS = 12
 #: The first guess of the estimation: share of good documents, and how often a voting rule is right.
 FIRST_GOOD, FIRST_RIGHT = 0.85, 0.8
 #: A vote never counts for more than this certainty.
-LEAST, MOST = 0.02, 0.98
+LEAST, MOST = 0.0005, 0.9995
 KEEP_AT = 0.5
 
 #: Votes by name: (bad if, good if) as SQL over the counts; neither is an abstention.
@@ -32,8 +32,8 @@ RULES = {
     "length": ("n_words < 20", "n_words >= 50"),
     "word_length": ("word_chars < 2.5 * n_words OR word_chars > 12 * n_words", "word_chars >= 3 * n_words AND word_chars <= 9 * n_words"),
     "symbols": ("n_symbols > 0.10 * n_words", "n_symbols <= 0.02 * n_words"),
-    "letters": ("n_letters < 0.60 * word_chars", "n_letters >= 0.85 * word_chars"),
-    "dup_lines": ("n_lines >= 3 AND n_dup_lines > 0.30 * n_lines", "n_lines >= 3 AND n_dup_lines <= 0.10 * n_lines"),
+    "letters": ("n_letters < 0.75 * word_chars", "n_letters >= 0.90 * word_chars"),
+    "dup_lines": ("n_dup_lines >= 3 AND n_dup_lines > 0.30 * n_lines", "n_lines >= 3 AND n_dup_lines <= 0.10 * n_lines"),
     "repeats": ("n_repeat_words > 0.20 * n_words", "n_words >= 50 AND n_repeat_words <= 0.05 * n_words"),
     "sentences": ("n_words >= 40 AND n_stops * 80 < n_words", "n_stops * 40 >= n_words"),
 }
