@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +33,10 @@ COUNTER_WORDS = 1_000_000
 #: Characters of texts that are split at a time, and words of a worker's own table before it starts anew.
 BLOCK_CHARS, OWN_WORDS = 2_000_000, 150_000
 
+#: The splitting pattern of byte-level BPE vocabularies (fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -66,9 +71,30 @@ class Vocabulary:
         ids = self.tokenizer.get_vocab(with_added_tokens=True)
         self.pieces = np.empty(max(ids.values()) + 1, dtype=object)
         self.pieces[:] = b""
+        self.names = [str(i) for i in range(len(self.pieces))]
         for piece, i in ids.items():
             whole = piece not in self.special and all(c in byte_of for c in piece)
             self.pieces[i] = bytes(byte_of[c] for c in piece) if whole else piece.encode()
+        self.one = self.single_word(spec["model"], byte_of)
+
+    def single_word(self, model: dict, byte_of: dict[str, int]):
+        """A function from a word to its ids.
+
+        Where ids are ranks of merges, as in vocabularies grown merge by merge, the merge of least rank is the piece of
+        least id, and a rank encoder gives the same ids at less cost a call; else the tokenizer itself is asked.
+        """
+        vocab = model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [vocab.get(a + b, -1) for a, b in pairs]
+        if made == sorted(set(made)) and len(vocab) == len(made) + 256 + sum(s in vocab for s in self.special) and not model.get("ignore_merges"):
+            try:
+                import tiktoken
+            except ImportError:
+                pass
+            else:
+                ranks = {bytes(byte_of[c] for c in p): i for p, i in vocab.items() if p not in self.special}
+                return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        return lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def split(self, text: str) -> list[str]:
         """Words in order: the splitting pattern never joins what a single space between two non-spaces parts.
@@ -85,13 +111,17 @@ class Vocabulary:
         out[0] = " " + out[0]
         return out
 
+    def ids(self, word: str) -> list[int]:
+        """Ids of one word by name."""
+        text = word[1:] if word[0] == " " else " " + word
+        return [self.special[text]] if text in self.special else self.one(text)
+
     def encode_words(self, words: list[str]) -> list[tuple[int, str, bytes]]:
         """For each name of a word: number of ids, ids in decimal, ids as uint32."""
-        texts = [w[1:] if w[0] == " " else " " + w for w in words]
-        return [(len(e.ids), ",".join(map(str, e.ids)), np.asarray(e.ids, dtype="<u4").tobytes()) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [(len(e), ",".join([names[i] for i in e]), array("I", e).tobytes()) for names in (self.names,) for e in map(self.ids, words)]
 
     def count_words(self, words: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast([w[1:] if w[0] == " " else " " + w for w in words], add_special_tokens=False)]
+        return [len(e) for e in map(self.ids, words)]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(self.pieces[ids].tolist()).decode("utf-8", errors="replace")
