@@ -21,21 +21,24 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 ITERATIONS = 12
-#: The first guess of the estimation: share of good documents, and how often a voting rule is right.
-FIRST_GOOD, FIRST_RIGHT = 0.85, 0.8
-#: A vote never counts for more than this certainty.
-LEAST, MOST = 0.0005, 0.9995
+#: The first guess of the estimation: share of good documents.
+FIRST_GOOD = 0.9
+#: What makes a vote mean what its name says: bounds on how often a rule votes bad or good on good and on bad documents.
+#: Without them the two classes could be any two clusters of the votes.
+BOUNDS = {("bad", "good"): (0.0005, 0.01), ("bad", "bad"): (0.10, 0.95), ("good", "good"): (0.50, 0.99), ("good", "bad"): (0.01, 0.20)}
+FIRST = {("bad", "good"): 0.01, ("bad", "bad"): 0.30, ("good", "good"): 0.90, ("good", "bad"): 0.10}
 KEEP_AT = 0.5
 
-#: Votes by name: (bad if, good if) as SQL over the counts; neither is an abstention.
+#: Votes by name: (bad if, good if) as SQL over the counts, None for a vote that the rule never gives; else it abstains.
 RULES = {
-    "length": ("n_words < 20", "n_words >= 50"),
-    "word_length": ("word_chars < 2.5 * n_words OR word_chars > 12 * n_words", "word_chars >= 3 * n_words AND word_chars <= 9 * n_words"),
-    "symbols": ("n_symbols > 0.10 * n_words", "n_symbols <= 0.02 * n_words"),
-    "letters": ("n_letters < 0.75 * word_chars", "n_letters >= 0.90 * word_chars"),
-    "dup_lines": ("n_dup_lines >= 3 AND n_dup_lines > 0.30 * n_lines", "n_lines >= 3 AND n_dup_lines <= 0.10 * n_lines"),
-    "repeats": ("n_repeat_words > 0.20 * n_words", "n_words >= 50 AND n_repeat_words <= 0.05 * n_words"),
-    "sentences": ("n_words >= 40 AND n_stops * 80 < n_words", "n_stops * 40 >= n_words"),
+    "length": ("n_words < 20", None),
+    "word_length": ("word_chars < 2.5 * n_words OR word_chars > 12 * n_words", None),
+    "symbols": ("n_symbols > 0.10 * n_words", None),
+    "letters": ("n_letters < 0.75 * word_chars", None),
+    "dup_lines": ("n_dup_lines >= 3 AND n_dup_lines > 0.30 * n_lines", None),
+    "repeats": ("n_repeat_words > 0.25 * n_words", None),
+    "sentences": ("n_words >= 80 AND n_stops * 120 < n_words", None),
+    "prose": (None, "n_words >= 20 AND n_letters >= 0.85 * word_chars AND n_symbols <= 0.02 * n_words AND n_repeat_words <= 0.30 * n_words AND (n_dup_lines < 3 OR n_dup_lines <= 0.20 * n_lines)"),
 }
 
 
@@ -87,45 +90,43 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     return m.select(*keep, *[F.col(f"__m.{n}").alias(n) for n in names], F.col("__m.lines.n_lines").alias("n_lines"), F.col("__m.lines.n_dup_lines").alias("n_dup_lines"))
 
 
-def vote(bad: str, good: str) -> Column:
-    return F.when(F.expr(bad), F.lit(-1)).when(F.expr(good), F.lit(1)).otherwise(F.lit(0)).cast("byte")
+def vote(bad: str | None, good: str | None) -> Column:
+    return F.when(F.expr(bad or "false"), F.lit(-1)).when(F.expr(good or "false"), F.lit(1)).otherwise(F.lit(0)).cast("byte")
 
 
-def log_odds(model: dict, names: list[str]) -> Column:
-    """ln P(good | votes) / P(bad | votes)."""
-    total = F.lit(math.log(model["good"] / (1 - model["good"])))
-    for n in names:
-        right_good, right_bad = model[n]
-        total = total + F.when(F.col(n) == 1, F.lit(math.log(right_good / (1 - right_bad)))).when(F.col(n) == -1, F.lit(math.log((1 - right_good) / right_bad))).otherwise(F.lit(0.0))
-    return total
+def posterior(model: dict, rules: dict) -> Column:
+    """P(good | votes); a rule that abstains counts as it abstains on good and on bad documents."""
+    odds = F.lit(math.log(model["good"] / (1 - model["good"])))
+    for n, (bad, good) in rules.items():
+        p = {(v, y): model[n][v, y] if has else 0.0 for v, has in (("bad", bad), ("good", good)) for y in ("good", "bad")}
+        ln = lambda x, y: F.lit(math.log(x / y) if x and y else 0.0)
+        silent = ln(1 - p["bad", "good"] - p["good", "good"], 1 - p["bad", "bad"] - p["good", "bad"])
+        odds = odds + F.when(F.col(n) == -1, ln(p["bad", "good"], p["bad", "bad"])).when(F.col(n) == 1, ln(p["good", "good"], p["good", "bad"])).otherwise(silent)
+    return 1 / (1 + F.exp(-odds))
 
 
-def posterior(model: dict, names: list[str]) -> Column:
-    return 1 / (1 + F.exp(-log_odds(model, names)))
+def estimate(votes: DataFrame, rules: dict, iterations: int = ITERATIONS) -> dict:
+    """Share of good documents and, for each rule, how often it votes bad or good on either class.
 
-
-def estimate(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -> dict:
-    """Share of good documents and, for each rule, (right on good, right on bad), by expectation maximisation.
-
-    ``votes`` has a byte column for each rule. It is reduced to at most 3**len(names) patterns first. With no rows the
-    first guess is returned.
+    Expectation maximisation over at most 3**len(rules) vote patterns, to which the votes are reduced first; estimates
+    stay within BOUNDS. With no rows the first guess is returned.
     """
-    clip = lambda x: min(MOST, max(LEAST, x))
-    patterns = stage_table(votes.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
-    model: dict = {"good": FIRST_GOOD} | {n: (FIRST_RIGHT, FIRST_RIGHT) for n in names}
+    patterns = stage_table(votes.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
+    model: dict = {"good": FIRST_GOOD} | {n: dict(FIRST) for n in rules}
     for _ in range(iterations):
-        p = patterns.withColumn("p", posterior(model, names))
+        p = patterns.withColumn("p", posterior(model, rules))
         sums = [F.sum("n").alias("all"), F.sum(F.col("n") * F.col("p")).alias("good")]
-        for n in names:
-            for at, v in (("g", 1), ("b", -1)):
-                here = F.when(F.col(n) == v, F.col("n")).otherwise(0)
-                sums += [F.sum(here * F.col("p")).alias(f"{n}_{at}_good"), F.sum(here * (1 - F.col("p"))).alias(f"{n}_{at}_bad")]
+        for n in rules:
+            for v, at in (("bad", -1), ("good", 1)):
+                here = F.when(F.col(n) == at, F.col("n")).otherwise(0)
+                sums += [F.sum(here * F.col("p")).alias(f"{n}_{v}_good"), F.sum(here * (1 - F.col("p"))).alias(f"{n}_{v}_bad")]
         s = p.agg(*sums).first()
         if not s["all"]:
             break
-        # one added vote of the first guess on each side keeps rules without votes where they began
-        rate = lambda right, wrong: clip((right + FIRST_RIGHT) / (right + wrong + 1))
-        model = {"good": clip(s["good"] / s["all"])} | {n: (rate(s[f"{n}_g_good"], s[f"{n}_b_good"]), rate(s[f"{n}_b_bad"], s[f"{n}_g_bad"])) for n in names}
+        of = {"good": s["good"], "bad": s["all"] - s["good"]}
+        model = {"good": min(0.995, max(0.05, s["good"] / s["all"]))}
+        for n in rules:
+            model[n] = {(v, y): min(hi, max(lo, (s[f"{n}_{v}_{y}"] + FIRST[v, y]) / (of[y] + 1))) for (v, y), (lo, hi) in BOUNDS.items()}
     return model
 
 
@@ -136,14 +137,13 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, ru
     weigh as often as they occur. An empty table gives an empty one. Of ``docs`` only ``text`` and ``keep`` are read.
     """
     rules = RULES if rules is None else rules
-    names = list(rules)
     keep = ["doc_id"] if keep is None else keep
     measured = measure(docs, text, keep)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    voted = stage_table(measured.select("*", failed.alias("base_failed"), *[vote(*rules[n]).alias(n) for n in names]), "quality-votes")
-    model = estimate(voted, names)
-    out = voted.withColumn("quality", posterior(model, names))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT)).drop(*names)
+    voted = stage_table(measured.select("*", failed.alias("base_failed"), *[vote(*rules[n]).alias(n) for n in rules]), "quality-votes")
+    model = estimate(voted, rules)
+    out = voted.withColumn("quality", posterior(model, rules))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT)).drop(*rules)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import bpe, quality, token_counts, warc
+from pagequarry.llm import bpe, decontaminate, language, quality, token_counts, warc
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_bpe": bpe.op5_bpe,
+        "op6_language_id": language.op6_language_id,
+        "op9_decontamination": decontaminate.op9_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op9_decontamination": decontaminate.OP9_SQL}
