@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import bpe, decontaminate, language, lm, quality, token_counts, warc
+from pagequarry.llm import bpe, decontaminate, language, lm, quality, secrets, token_counts, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_bpe": bpe.op5_bpe,
         "op6_language_id": language.op6_language_id,
+        "op7_secrets": secrets.op7_secrets,
         "op10_lm_scoring": lm.op10_lm_scoring,
         "op9_decontamination": decontaminate.op9_decontamination,
     }
