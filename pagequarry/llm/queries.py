@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import bpe, decontaminate, language, lm, quality, secrets, token_counts, warc
+from pagequarry.llm import bpe, decontaminate, html_text, language, lm, quality, secrets, token_counts, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_language_id": language.op6_language_id,
         "op7_secrets": secrets.op7_secrets,
         "op10_lm_scoring": lm.op10_lm_scoring,
+        "op8_html_text": html_text.op8_html_text,
         "op9_decontamination": decontaminate.op9_decontamination,
     }
 
