@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import bpe, decontaminate, html_text, language, lm, quality, secrets, token_counts, warc
+from pagequarry.llm import bpe, decontaminate, html_text, jaccard, language, lm, quality, secrets, token_counts, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_bpe": bpe.op5_bpe,
