@@ -17,7 +17,9 @@ inequality, and regions join within themselves:
 everything. Hence the first two kinds.)
 
 Equal sets are one class throughout. A region's members are never paired with each other as rows: what is shuffled are
-memberships and the pairs with pivots, and only links that join two components leave a task.
+memberships and the pairs with pivots, and only links that join two components leave a task. Before sets are compared,
+their sketches are: the parities of a set's shingles by hash, two bits a shingle, which differ in no more places than the
+sets do. Only sets that a sketch can't part from another are fetched, from the texts, and compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm.bpe import blocks
@@ -39,6 +41,8 @@ FILTER_BITS = 1 << 26
 SEGMENT = 1 << 19
 #: Shingles in one task's block of a region, pivots of a cut, and members from which cells are cut at all.
 BLOCK_SHINGLES, PIVOTS, CELL = 500_000, 8, 32
+#: Classes to fetch up to this number are sent to every task (16 bytes each); more are joined by a shuffle.
+BROADCAST_CLASSES = 500_000
 #: Classes whose sets a task remembers to have sent.
 SEEN = 200_000
 
@@ -159,18 +163,41 @@ def shared_filter(memberships: DataFrame) -> np.ndarray:
     return out
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles by hash: two to four bits a shingle, 256 at least, in 64-bit words."""
+    bits = max(256, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s + STEP2) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
+
+
+def fold(x: Column) -> Column:
+    """A sketch with half as many bits."""
+    half = (F.size(x) / 2).cast("int")
+    return F.transform(F.sequence(F.lit(0), half - 1), lambda i: F.get(x, i).bitwiseXOR(F.get(x, i + half)))
+
+
+def apart(x: Column, y: Column) -> Column:
+    """Places in which two sketches differ, with the longer folded; 0 where more than one folding would be needed."""
+    count = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
+    return F.when(F.size(x) == F.size(y), count(x, y)).when(F.size(x) == 2 * F.size(y), count(fold(x), y)).when(2 * F.size(x) == F.size(y), count(x, fold(y))).otherwise(F.lit(0))
+
+
+def signed(c: int) -> int:
+    return c - (c >> 63 << 64)
+
+
 def measured(docs: DataFrame, doc: str, text: str, size: int, percent: int, bitmap: np.ndarray) -> DataFrame:
-    """(id, cls, n, sigs, shingles) of every row, written once; the arrays only where a region may be shared."""
+    """(id, cls, n, sigs, sketch) of every row, written once; the arrays only where a region may be shared."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, seen = held.value, set()
         for block in (b for batch in batches for b in blocks(batch, "t")):
             rows = []
-            for t in block["t"]:
+            for missing, t in zip(block["id"].isna(), block["t"], strict=True):
                 s = shingles(t, size)
-                if not len(s):
-                    rows.append((None, 0, None, None))
+                if not len(s) or missing:
+                    rows.append((None, len(s), None, None))
                     continue
                 c = xxhash.xxh3_64_intdigest(s.tobytes())
                 g = np.empty(0, dtype=U)
@@ -180,10 +207,26 @@ def measured(docs: DataFrame, doc: str, text: str, size: int, percent: int, bitm
                     g = signatures(s, percent)
                     at = g & U(FILTER_BITS - 1)
                     g = g[(bits[at >> U(3)] >> (U(7) - (at & U(7))).astype(np.uint8)) & 1 == 1]
-                rows.append((c - (c >> 63 << 64), len(s), g.view(np.int64) if len(g) else None, s.view(np.int64) if len(g) else None))
-            yield pd.DataFrame({"id": block["id"], "cls": pd.array([r[0] for r in rows], dtype="Int64"), "n": [r[1] for r in rows], "sigs": [r[2] for r in rows], "shingles": [r[3] for r in rows]})
+                rows.append((signed(c), len(s), g.view(np.int64) if len(g) else None, sketch(s).view(np.int64) if len(g) else None))
+            yield pd.DataFrame({"id": block["id"], "cls": pd.array([r[0] for r in rows], dtype="Int64"), "n": [r[1] for r in rows], "sigs": [r[2] for r in rows], "sketch": [r[3] for r in rows]})
+
+    return stage_table(docs.select(F.col(doc).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInPandas(run, "id long, cls long, n long, sigs array<long>, sketch array<long>"), "jaccard-sets")
 
-    return stage_table(docs.select(F.col(doc).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInPandas(run, "id long, cls long, n long, sigs array<long>, shingles array<long>"), "jaccard-sets")
+
+def fetch(docs: DataFrame, doc: str, text: str, size: int, wanted: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """(cls, shingles) of the wanted classes, from the text of each class's least row."""
+    least = found.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"))
+    reps = stage_table(wanted.select("cls").distinct().join(least, "cls"), f"{name}-wanted")
+    few = F.broadcast(reps) if reps.count() <= BROADCAST_CLASSES else reps
+    rows = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(few, "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in (b for batch in batches for b in blocks(batch, "t")):
+            sets = [shingles(t, size) for t in block["t"]]
+            same = [len(s) > 0 and signed(xxhash.xxh3_64_intdigest(s.tobytes())) == c for s, c in zip(sets, block["cls"], strict=True)]
+            yield pd.DataFrame({"cls": [c for c, ok in zip(block["cls"], same, strict=True) if ok], "shingles": [s.view(np.int64) for s, ok in zip(sets, same, strict=True) if ok]})
+
+    return stage_table(rows.select("cls", "t").mapInPandas(run, "cls long, shingles array<long>").dropDuplicates(["cls"]), f"{name}-sets")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -207,14 +250,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 class Region:
     """Sets of one region's block in one task: intersections by a flag for each distinct shingle."""
 
-    def __init__(self, sets: list[np.ndarray], groups: list[int], sides: list[int], percent: int):
+    def __init__(self, sets: list[np.ndarray], groups: list[int], percent: int):
         self.sizes = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
         distinct, self.ids = np.unique(flat, return_inverse=True)
         self.ends = np.cumsum(self.sizes)
         self.flags = np.zeros(len(distinct), dtype=bool)
         self.percent, self.reach = percent, 2 * (100 - percent) / 100 + 1e-9
-        self.sides = np.array(sides)
         self.parent = list(range(len(sets)))
         first: dict[int, int] = {}
         for i, g in enumerate(groups):
@@ -286,49 +328,105 @@ class Region:
                 self.measure(int(i), near)
 
 
-def links(found: DataFrame, percent: int, name: str = "jaccard") -> DataFrame:
+def near_members(words: list[np.ndarray], roots: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of a region's block have a member of another component that a sketch can't part from them."""
+    least = min(map(len, words))
+    for i, w in enumerate(words):
+        while len(w) > least:
+            w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+        words[i] = w
+    t, out = np.stack(words), np.zeros(len(words), dtype=bool)
+    both = side[0] != side[-1] or (side != side[0]).any()
+    rows = max(1, 1_000_000 // t.size)
+    for lo in range(0, len(t), rows):
+        r, m = roots[lo : lo + rows, None], n[lo : lo + rows, None]
+        near = (r != roots) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+        if both:
+            near &= side[lo : lo + rows, None] != side
+        if near.any():
+            near &= np.bitwise_count(t[lo : lo + rows, None] ^ t).sum(axis=2, dtype=np.int64) <= (m + n) * (100 - percent) // (100 + percent)
+            out[lo : lo + rows] = near.any(axis=1)
+    return out
+
+
+def in_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows as frames of whole groups with their borders; only a last group is carried over."""
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        new = np.zeros(len(batch), dtype=bool)
+        for k in keys:
+            v = batch[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        borders = np.flatnonzero(new)
+        if len(borders):
+            rest = batch.iloc[borders[-1] :]
+            yield batch.iloc[: borders[-1]], np.concatenate(([0], borders))
+        else:
+            rest = batch
+    if rest is not None and len(rest):
+        yield rest, np.array([0, len(rest)])
+
+
+def links(docs: DataFrame, doc: str, text: str, size: int, found: DataFrame, percent: int, name: str = "jaccard") -> DataFrame:
     """Edges (a, b) between classes whose components are those of all links."""
     rows = found.where("sigs IS NOT NULL")
-    sets = stage_table(rows.select("cls", "n", "shingles").dropDuplicates(["cls"]), f"{name}-candidates")
     members = stage_table(rows.select("cls", "n", F.explode("sigs").alias("sig")).distinct(), f"{name}-members")
     # regions with the same members are one; their number of members, least member and a checksum tell them
     region = members.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.min("cls").alias("pivot"), F.bit_xor(F.xxhash64("cls")).alias("check")).where("k > 1")
     region = stage_table(region.groupBy("k", "total", "pivot", "check").agg(F.min("sig").alias("sig")), f"{name}-regions")
     inside = stage_table(members.join(region, "sig"), f"{name}-inside")
+    sketches = stage_table(rows.select("cls", "n", "sketch").dropDuplicates(["cls"]).join(inside.select("cls").distinct(), "cls"), f"{name}-sketches")
+    # the least member of each region is a pivot that the others are measured against
     pairs = inside.where("cls <> pivot").select("pivot", "cls").distinct()
-    a, b = sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("x"), F.col("n").alias("nx")), sets.select("cls", F.col("shingles").alias("y"), F.col("n").alias("ny"))
-    met = pairs.join(b, "cls").join(a, "pivot").withColumn("common", F.size(F.array_intersect("x", "y")))
+    x = sketches.select(F.col("cls").alias("pivot"), F.col("n").alias("nx"), F.col("sketch").alias("x"))
+    y = sketches.select("cls", F.col("n").alias("ny"), F.col("sketch").alias("y"))
+    most = F.floor((F.col("nx") + F.col("ny")) * (100 - percent) / (100 + percent))
+    near = stage_table(pairs.join(y, "cls").join(x, "pivot").where(apart(F.col("x"), F.col("y")) <= most).select("pivot", "cls", "nx", "ny"), f"{name}-pairs")
+    sets = fetch(docs, doc, text, size, near.select("cls").unionByName(near.select(F.col("pivot").alias("cls"))), found, f"{name}-stars")
+    met = near.join(sets.withColumnRenamed("shingles", "y"), "cls").join(sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("x")), "pivot").withColumn("common", F.size(F.array_intersect("x", "y")))
     stars = stage_table(met.where(linked(F.col("common"), F.col("nx"), F.col("ny"), percent)).select(F.col("pivot").alias("a"), F.col("cls").alias("b")), f"{name}-stars")
     labels = components(stars, f"{name}-stars")
+    # regions that still hold several components, in blocks of bounded size; each pair of blocks is a task's work
     grouped = inside.where("k > 2").join(labels.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = grouped.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    # regions are dealt into blocks of bounded size; each pair of blocks is a task's work
     parts = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    rest = grouped.join(mixed, "sig").select("sig", "cls", "root", parts.alias("parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"))
-    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("sig", "cls", "root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part")
-    loaded = dealt.join(sets.select("cls", "shingles"), "cls")
+    rest = grouped.join(mixed, "sig").select("sig", "cls", "n", "root", parts.alias("parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"))
+    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("sig", "cls", "n", "root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part")
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, borders in in_groups(batches, ["sig", "p", "q"]):
+            words = [np.asarray(x, dtype=np.int64).view(U) for x in part["sketch"]]
+            roots, n, side = (part[c].to_numpy() for c in ("root", "n", "part"))
+            keep = [near_members(words[a:b], roots[a:b], n[a:b], side[a:b], percent) for a, b in zip(borders, borders[1:], strict=False)]
+            yield part.loc[np.concatenate(keep), ["sig", "p", "q", "cls", "root"]]
+
+    # a block's rows come to one task in a row; their number is bounded, so a task holds one block at a time
+    placed = dealt.join(sketches.select("cls", "sketch"), "cls").repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
+    asked = placed.mapInPandas(look, "sig long, p int, q int, cls long, root long")
+    asked = stage_table(asked, f"{name}-asked")
 
-    def join(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("cls")
-        block = Region([np.asarray(s) for s in part["shingles"]], part["root"].tolist(), part["part"].tolist(), percent)
-        cls = part["cls"].to_numpy()
-        out = [(cls[i], cls[j]) for i, j in block.join()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, borders in in_groups(batches, ["sig", "p", "q"]):
+            shingles_, roots, cls = [np.asarray(s) for s in part["shingles"]], part["root"].tolist(), part["cls"].to_numpy()
+            out = [(cls[a + i], cls[a + j]) for a, b in zip(borders, borders[1:], strict=False) for i, j in Region(shingles_[a:b], roots[a:b], percent).join()]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    more = stage_table(loaded.groupBy("sig", "p", "q").applyInPandas(join, "a long, b long"), f"{name}-more")
-    return stars.unionByName(more)
+    sets = fetch(docs, doc, text, size, asked, found, f"{name}-rest")
+    more = asked.join(sets, "cls").repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q", "cls").mapInPandas(join, "a long, b long")
+    return stars.unionByName(stage_table(more.distinct(), f"{name}-more"))
 
 
 def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc, n_shingles and component_id, the least doc reachable by links of similarity ``percent`` and more.
 
     Null, empty and wordless texts have no shingles and stand alone, also among themselves. Equal sets link with each
-    other. A null doc keeps its n_shingles and has no number to be a component's least, so its component is the others'
-    least or null. Rows that share a doc are one vertex if their sets are equal, else each its own. An empty table gives
+    other. A row without a doc keeps its n_shingles, links with nothing and has a null component. Rows that share a doc
+    are one vertex if their sets are equal, else each its own. An empty table gives
     an empty one. Only ``doc`` and ``text`` are read. Sets are told apart by 64-bit hashes of shingles and of sets.
     """
     found = measured(docs, doc, text, size, percent, shared_filter(regions_of(docs, text, size, percent)))
-    labels = components(links(found, percent))
+    labels = components(links(docs, doc, text, size, found, percent))
     least = found.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least"))
     rooted = stage_table(least.join(labels.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "jaccard-rooted")
     least_of = stage_table(rooted.groupBy("root").agg(F.min("least").alias("component")), "jaccard-least")
