@@ -125,7 +125,7 @@ def regions_of(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for block in (b for batch in batches for b in blocks(batch, "t")):
+        for block in (b for batch in batches for b in blocks(batch, "t", 1_000_000)):
             sigs, classes = [], []
             for t in block["t"]:
                 s = shingles(t, size)
@@ -192,7 +192,7 @@ def measured(docs: DataFrame, doc: str, text: str, size: int, percent: int, bitm
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, seen = held.value, set()
-        for block in (b for batch in batches for b in blocks(batch, "t")):
+        for block in (b for batch in batches for b in blocks(batch, "t", 1_000_000)):
             rows = []
             for missing, t in zip(block["id"].isna(), block["t"], strict=True):
                 s = shingles(t, size)
@@ -221,7 +221,7 @@ def fetch(docs: DataFrame, doc: str, text: str, size: int, wanted: DataFrame, fo
     rows = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(few, "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in (b for batch in batches for b in blocks(batch, "t")):
+        for block in (b for batch in batches for b in blocks(batch, "t", 1_000_000)):
             sets = [shingles(t, size) for t in block["t"]]
             same = [len(s) > 0 and signed(xxhash.xxh3_64_intdigest(s.tobytes())) == c for s, c in zip(sets, block["cls"], strict=True)]
             yield pd.DataFrame({"cls": [c for c, ok in zip(block["cls"], same, strict=True) if ok], "shingles": [s.view(np.int64) for s, ok in zip(sets, same, strict=True) if ok]})
@@ -399,12 +399,18 @@ def links(docs: DataFrame, doc: str, text: str, size: int, found: DataFrame, per
             words = [np.asarray(x, dtype=np.int64).view(U) for x in part["sketch"]]
             roots, n, side = (part[c].to_numpy() for c in ("root", "n", "part"))
             keep = [near_members(words[a:b], roots[a:b], n[a:b], side[a:b], percent) for a, b in zip(borders, borders[1:], strict=False)]
-            yield part.loc[np.concatenate(keep), ["sig", "p", "q", "cls", "root"]]
+            part = part.assign(check=0)
+            for k, a, b in zip(keep, borders, borders[1:], strict=False):
+                if k.any():
+                    part.iloc[a:b, -1] = signed(xxhash.xxh3_64_intdigest(np.sort(part["cls"].to_numpy()[a:b][k]).tobytes()))
+            yield part.loc[np.concatenate(keep), ["sig", "p", "q", "cls", "root", "check"]]
 
     # a block's rows come to one task in a row; their number is bounded, so a task holds one block at a time
     placed = dealt.join(sketches.select("cls", "sketch"), "cls").repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
-    asked = placed.mapInPandas(look, "sig long, p int, q int, cls long, root long")
-    asked = stage_table(asked, f"{name}-asked")
+    asked = stage_table(placed.mapInPandas(look, "sig long, p int, q int, cls long, root long, check long"), f"{name}-asked")
+    # of blocks with the same members left, one is joined
+    once = asked.groupBy("check").agg(F.min(F.struct("sig", "p", "q")).alias("o")).select("check", "o.*")
+    asked = stage_table(asked.join(once, ["check", "sig", "p", "q"]).drop("check"), f"{name}-once")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, borders in in_groups(batches, ["sig", "p", "q"]):
