@@ -19,6 +19,8 @@ from pagequarry.llm import bpe, decontaminate, jaccard, quality, secrets
 from pagequarry.llm.common import stage_table, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids up to this number are sent to every task (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,21 +28,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """Ids written once, with a hint to send them to every task where their number is within the bound."""
+    ids = stage_table(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least doc_id of each component; rows that repeat it are dropped too. Rows without a doc_id stay."""
-    grouped = jaccard.jaccard_groups(docs.select("doc_id", "text"), size=5, percent=80)
-    first = grouped.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
-    # a doc_id may be repeated: one of its rows stays
-    once = kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return once.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    """The row of least doc_id of each component; rows that repeat it are dropped too. Rows without a doc_id stay.
+
+    Only ids are shuffled, and the texts of rows that share a doc_id, of which one stays.
+    """
+    grouped = jaccard.jaccard_groups(docs.select("doc_id", "text"), size=5, percent=80).where("doc_id IS NOT NULL")
+    ids = grouped.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    marked = docs.select(*COLUMNS).join(few(ids.where("NOT __first OR __n > 1")), "doc_id", "left")
+    again = marked.where("__first AND __n > 1").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    return marked.where("__n IS NULL").select(*COLUMNS).unionByName(again)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark window."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, "doc_id", "left_anti")
+    return docs.select(*COLUMNS).join(few(found.where("contaminated").select("doc_id").distinct()), "doc_id", "left_anti")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
