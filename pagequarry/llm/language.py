@@ -1,6 +1,6 @@
 """Language identification by rank-order n-gram profiles.
 
-A profile lists the most frequent character n-grams (1 to 4 characters, within words padded by a blank on each side) by
+A profile lists the most frequent character n-grams (1 to 3 characters, within words padded by a blank on each side) by
 rank. A text's own profile is compared with each language's: every n-gram of the text adds the distance between its two
 ranks, or the greatest distance if the language's profile lacks it. The nearest profile names the language.
 
@@ -24,7 +24,7 @@ from pagequarry.llm.common import table, text_crc
 
 #: N-grams in a profile.
 PROFILE = 400
-LENGTHS = (1, 2, 3, 4)
+LENGTHS = (1, 2, 3)
 #: Most labelled texts a language's profile is learned from, and characters read of each task's sample at a time.
 SAMPLE_PER_LANGUAGE = 1500
 #: Words whose n-grams a worker remembers before it starts anew.
@@ -104,9 +104,10 @@ class Scorer:
         words = Counter(SPLIT.split(text.lower()))
         words.pop("", None)
         parts = [self.word(w) for w in words]
-        weights = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), [len(p) for p in parts])
-        at, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = np.bincount(inverse, weights=weights).astype(np.int64)
+        weights = np.repeat(np.fromiter(words.values(), dtype=np.float64, count=len(words)), [len(p) for p in parts])
+        every = np.bincount(np.concatenate(parts), weights=weights, minlength=self.n_profile)
+        at = np.flatnonzero(every)
+        counts = every[at].astype(np.int64)
         if len(at) > self.size:
             # ties by the n-gram itself, as in the learned profiles: only those at the border need their names
             border = np.partition(counts, len(counts) - self.size)[len(counts) - self.size]
