@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm.bpe import blocks
-from pagequarry.llm.common import stage_table, table
+from pagequarry.llm.common import shuffles_go, stage_table, table
 
 #: Bits of the filter that tells which regions have several classes. Its size is fixed; a fuller filter lets more through.
 FILTER_BITS = 1 << 26
@@ -147,6 +147,7 @@ def regions_of(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame
 
 def shared_filter(memberships: DataFrame) -> np.ndarray:
     """A bitmap of the regions that hold more than one class, of fixed size: FILTER_BITS / 8 bytes."""
+    spark = memberships.sparkSession
     several = memberships.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b")
     bit = F.pmod("sig", F.lit(FILTER_BITS))
     bits = several.select(bit.alias("bit")).distinct().select((F.col("bit") / SEGMENT).cast("int").alias("seg"), (F.col("bit") % SEGMENT).cast("int").alias("at"))
@@ -158,7 +159,9 @@ def shared_filter(memberships: DataFrame) -> np.ndarray:
 
     out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     step = SEGMENT // 8
-    for r in bits.groupBy("seg").applyInPandas(pack, "seg int, bits binary").collect():
+    with shuffles_go(spark):
+        packed = bits.groupBy("seg").applyInPandas(pack, "seg int, bits binary").collect()
+    for r in packed:
         out[r["seg"] * step : (r["seg"] + 1) * step] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out
 
