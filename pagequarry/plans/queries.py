@@ -203,6 +203,41 @@ WHERE {{0}} EXISTS (SELECT 1 FROM regions r WHERE r.sys = k.sys AND r.page_id =
 _IOU = f"({COVER}) / (((l.x2 - l.x1) * (l.y2 - l.y1) + (r.x2 - r.x1) * (r.y2 - r.y1)) - ({COVER}))::DOUBLE"
 _MAJOR = "majority AS (SELECT page_id, blk, cls, votes FROM (SELECT page_id, blk, cls, count(*) AS votes, row_number() OVER (PARTITION BY page_id, blk ORDER BY count(*) DESC, min(sys)) AS k FROM regions GROUP BY page_id, blk, cls) WHERE k = 1)"
 
+_MORE = f"""more AS (SELECT * FROM regions UNION ALL SELECT sys, page_id, doc, blk + 100, x1 + 1, y1 + 1, x2 + 1, y2 + 1, cls FROM regions WHERE sys = 3 AND (page_id + blk) % 5 = 0),
+b AS (SELECT *, {BUCKET.format('cls')} AS bucket FROM more)"""
+_REPEATED = "SELECT l.sys, l.page_id, l.blk FROM b l WHERE EXISTS (SELECT 1 FROM b r WHERE r.sys = l.sys AND r.page_id = l.page_id AND r.bucket = l.bucket AND r.blk < l.blk AND abs(l.x1 - r.x1) <= 4 AND abs(l.y1 - r.y1) <= 4 AND abs(l.x2 - r.x2) <= 4 AND abs(l.y2 - r.y2) <= 4)"
+_RUNS = """o AS (SELECT sys, page_id, line_id, x1, y1, y2, lag(y2) OVER w AS b, lag(x1) OVER w AS bx FROM orphan JOIN lines USING (page_id, line_id) WINDOW w AS (PARTITION BY sys, page_id ORDER BY x1, y1, line_id)),
+r AS (SELECT *, sum(CASE WHEN y1 - b <= 1.8 * (y2 - y1) AND bx = x1 THEN 0 ELSE 1 END) OVER (PARTITION BY sys, page_id ORDER BY x1, y1, line_id) AS run FROM o),
+longest AS (SELECT sys, page_id, max(n) AS longest FROM (SELECT sys, page_id, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL)"""
+_SPANS = " + ".join(f"(greatest(least(x2, {x9}) - greatest(x1, {x0}), 0) / {x9 - x0}::DOUBLE > 0.2)::INT" for _, x0, x9 in layout.BANDS)
+_FINDINGS = f"""{WITH}, {_MORE}, {OWNED.replace("JOIN regions r", "JOIN more r")}, {_RUNS},
+nl AS (SELECT page_id, count(*) AS n_lines, (max(x2) - min(x1)) * (max(y2) - min(y1)) AS body FROM lines GROUP BY page_id),
+no_ AS (SELECT sys, page_id, count(*) / any_value(n_lines)::DOUBLE AS share, count(*) AS n FROM orphan JOIN nl USING (page_id) GROUP BY sys, page_id),
+nr AS (SELECT sys, page_id, count(*) AS n_regions, count(*) FILTER (bucket = 'TEXT') AS n_text, sum((x2 - x1) * (y2 - y1))::DOUBLE AS total, max(greatest(-x1, -y1, x2 - {layout.PAGE_WIDTH}, y2 - {layout.PAGE_HEIGHT})) AS beyond FROM b GROUP BY sys, page_id),
+partly AS (SELECT l.sys, l.page_id, l.blk AS a, r.blk AS c, ({COVER}) / least((l.x2 - l.x1) * (l.y2 - l.y1), (r.x2 - r.x1) * (r.y2 - r.y1))::DOUBLE AS share
+  FROM b l JOIN b r ON l.sys = r.sys AND l.page_id = r.page_id AND l.bucket = r.bucket AND l.blk < r.blk AND {TOUCH}),
+parts AS (SELECT sys, page_id, count(DISTINCT blk) AS n FROM (SELECT sys, page_id, unnest([a, c]) AS blk FROM partly WHERE share > 0.5 AND share <= 0.9) GROUP BY ALL),
+again AS (SELECT sys, page_id, count(*) AS n FROM ({_REPEATED}) GROUP BY ALL),
+thrown AS (SELECT o.sys, o.page_id, count(*) / any_value(n_lines)::DOUBLE AS share FROM owned o JOIN b USING (sys, page_id, blk) JOIN nl ON nl.page_id = o.page_id WHERE bucket = 'DISCARD' GROUP BY ALL),
+found AS (
+  SELECT sys, page_id, 'C1-01' AS check_id, share AS value FROM no_ WHERE n >= 4 AND share > 0.12
+  UNION ALL SELECT sys, page_id, 'C1-03', longest::DOUBLE FROM longest WHERE longest >= 3
+  UNION ALL SELECT sys, page_id, 'C1-05', n_lines::DOUBLE FROM nr JOIN nl USING (page_id) WHERE n_text = 0 AND n_lines >= 10
+  UNION ALL SELECT sys, page_id, 'C3-02', count(*)::DOUBLE FROM b WHERE bucket = 'TEXT' AND {_SPANS} >= 2 GROUP BY sys, page_id
+  UNION ALL SELECT sys, page_id, 'C5-01', n / n_regions::DOUBLE FROM parts JOIN nr USING (sys, page_id) WHERE n >= 4 AND n / n_regions::DOUBLE > 0.30
+  UNION ALL SELECT sys, page_id, 'C5-04', n / n_regions::DOUBLE FROM again JOIN nr USING (sys, page_id) WHERE n_regions >= 4 AND n / n_regions::DOUBLE > 0.20
+  UNION ALL SELECT sys, page_id, 'C6-06', share FROM thrown WHERE share > 0.15
+  UNION ALL SELECT sys, page_id, 'C7-01', beyond::DOUBLE FROM nr WHERE beyond > 0.02 * {max(layout.PAGE_WIDTH, layout.PAGE_HEIGHT)}
+  UNION ALL SELECT sys, page_id, 'C7-05', total / body FROM nr JOIN nl USING (page_id) WHERE total / body < 0.40)"""
+_GATE = f"""{_FINDINGS},
+judged AS (SELECT *, CASE WHEN check_id IN ('C5-01', 'C6-06') THEN 'MAJOR' WHEN check_id = 'C7-05' THEN 'ADV' ELSE 'BLOCK' END AS severity,
+  CASE substr(check_id, 1, 2) WHEN 'C1' THEN 'E1' WHEN 'C3' THEN 'E2' WHEN 'C5' THEN 'E2' WHEN 'C6' THEN 'E4' ELSE 'E6' END AS task FROM found),
+counted AS (SELECT sys, page_id, count(*) FILTER (severity = 'BLOCK') AS n_block, count(*) FILTER (severity = 'MAJOR') AS n_major, count(*) FILTER (severity = 'ADV') AS n_adv, min(task) FILTER (severity = 'BLOCK') AS first FROM judged GROUP BY ALL),
+gated AS (SELECT s.sys, d.doc_id AS page_id, CASE WHEN doc_id % 37 = 0 THEN 'defer' WHEN n_block > 0 OR doc_id % 41 = 0 THEN 'escalate' ELSE 'accept' END AS decision,
+  CASE WHEN doc_id % 37 = 0 THEN NULL WHEN n_block > 0 THEN first WHEN doc_id % 41 = 0 THEN 'E6' END AS task,
+  coalesce(n_block, 0) AS n_block, coalesce(n_major, 0) AS n_major, coalesce(n_adv, 0) AS n_adv, round(least(1, 0.25 * coalesce(n_major, 0) + 0.05 * coalesce(n_adv, 0)), 4)::DOUBLE AS risk
+  FROM documents d CROSS JOIN systems s LEFT JOIN counted c ON c.sys = s.sys AND c.page_id = d.doc_id)"""
+
 SQL: dict[str, str] = {
     "line_assignment": f"{WITH}, {OWNED} SELECT sys, page_id, line_id, blk, round(cov, 6) AS cov FROM owned",
     "orphan_lines": f"{WITH}, {OWNED} SELECT * FROM orphan",
@@ -224,6 +259,14 @@ SELECT sys, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.1), 6) AS p10, ro
     "longest_orphan_run": f"""{WITH}, {OWNED}, o AS (SELECT sys, page_id, line_id, x1, y1, y2, lag(y2) OVER w AS b, lag(x1) OVER w AS bx FROM orphan JOIN lines USING (page_id, line_id) WINDOW w AS (PARTITION BY sys, page_id ORDER BY x1, y1, line_id)),
 r AS (SELECT *, sum(CASE WHEN y1 - b <= 1.8 * (y2 - y1) AND bx = x1 THEN 0 ELSE 1 END) OVER (PARTITION BY sys, page_id ORDER BY x1, y1, line_id) AS run FROM o)
 SELECT sys, page_id, max(n) AS longest FROM (SELECT sys, page_id, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL""",
+    "gate_findings": f"{_FINDINGS} SELECT * FROM found",
+    "page_gate": f"{_GATE} SELECT * FROM gated",
+    "gate_summary": f"{_GATE} SELECT sys, decision, count(*) AS n FROM gated GROUP BY ALL",
+    "review_queue": f"{_GATE} SELECT task, sys, page_id, risk FROM gated WHERE decision = 'escalate' UNION ALL SELECT 'E7', sys, page_id, risk FROM gated WHERE decision = 'accept' AND substr(sha256('20260904|' || sys || '|' || page_id), 1, 8) < '0ccccccc'",
+    "union_areas": f"""{WITH}, u AS (SELECT sys, page_id, x1 // 4 AS a, (x2 + 3) // 4 AS b, unnest(range(y1 // 4, (y2 + 3) // 4)) AS row FROM regions),
+s AS (SELECT sys, page_id, row, x, sum(d) AS d FROM (SELECT sys, page_id, row, a AS x, 1 AS d FROM u UNION ALL SELECT sys, page_id, row, b, -1 FROM u) GROUP BY ALL),
+r AS (SELECT sys, page_id, sum(d) OVER w AS depth, lead(x) OVER w - x AS len FROM s WINDOW w AS (PARTITION BY sys, page_id, row ORDER BY x))
+SELECT sys, page_id, sum(CASE WHEN depth > 0 THEN len ELSE 0 END)::BIGINT * 16 AS area, sum(CASE WHEN depth > 1 THEN len ELSE 0 END)::BIGINT * 16 AS shared FROM r GROUP BY ALL""",
     "verdict_estimate": """WITH s AS (SELECT count(*) FILTER (toxic = 0) AS audit_n, count(*) FILTER (toxic = 0 AND quality <> 1) AS audit_wrong, count(*) FILTER (toxic <> 0) AS escalation_n, count(*) FILTER (toxic <> 0 AND quality <> 1) AS escalation_right FROM labels),
 p AS (SELECT *, audit_wrong / audit_n::DOUBLE AS q, 3.8416 AS zz FROM s)
 SELECT audit_n, audit_wrong, escalation_n, escalation_right, round(q, 6) AS false_accept,
