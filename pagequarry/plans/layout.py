@@ -61,3 +61,19 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("page_id"), F.when(F.col("toxic") == 0, "audit").otherwise("escalation").alias("frame"), F.when(F.col("quality") == 1, "confirm").otherwise("correct").alias("outcome")
     )
+
+
+#: Stand-in page signals: name and SQL expression over documents, alike in both engines.
+SIGNALS = {
+    "page_id": "doc_id", "doc": "source", "n_chars": "CASE WHEN doc_id % 29 = 0 THEN 0 ELSE length(text) END", "n_lines": "(doc_id * 7) % 60", "n_spans": "(doc_id * 11) % 400", "rotation": "CASE WHEN doc_id % 31 = 0 THEN 45 ELSE 90 END",
+    "glyph_area_frac": "((doc_id * 13) % 40) / 100.0", "vector_area_frac": "((doc_id * 17) % 30) / 100.0", "image_area_frac": "((doc_id * 19) % 50) / 100.0", "big_image_area_frac": "((doc_id * 23) % 100) / 100.0",
+    "lines_in_big_image_frac": "((doc_id * 29) % 100) / 100.0", "median_chars_per_span": "(doc_id * 3) % 7", "invisible_frac": "((doc_id * 5) % 60) / 100.0", "white_frac": "((doc_id * 37) % 50) / 100.0", "pua_cp_frac": "((doc_id * 41) % 30) / 100.0",
+    "undecoded_cp_frac": "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE ((doc_id * 43) % 20) / 100.0 END", "rtl_cp_frac": "CASE WHEN source LIKE '%7' THEN 0.25 ELSE 0.0 END", "lines_outside_crop_frac": "((doc_id * 47) % 12) / 100.0",
+}
+FRACTIONS = [k for k in SIGNALS if k.endswith("_frac")]
+SIGNALS_SQL = "signals AS (SELECT " + ", ".join(f"({v})::DOUBLE AS {k}" if k in FRACTIONS else f"{v} AS {k}" for k, v in SIGNALS.items()) + " FROM documents)"
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a page with the signals that routing reads."""
+    return table(spark, sf_dir, "documents").selectExpr(*[f"cast({v} as double) AS {k}" if k in FRACTIONS else f"{v} AS {k}" for k, v in SIGNALS.items()])

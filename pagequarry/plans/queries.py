@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagequarry.operators import gate, spatial
+from pagequarry.operators import gate, routing, spatial
 from pagequarry.plans import layout
 
 WITH = f"WITH {layout.LAYOUT_SQL.strip()}"
@@ -190,11 +190,32 @@ def script_profile(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.regexp_count("text", F.lit("[A-Za-z]")).cast("long").alias("latin"), F.regexp_count("text", F.lit("[0-9]")).cast("long").alias("digits"))
 
 
+def page_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Kind, trust, direction and routing findings of every page; the lists as text."""
+    r = routing.route(layout.signals(spark, d))
+    return r.withColumn("available", F.array_join("available", " ")).withColumn("findings", F.array_join("findings", " "))
+
+
+def routing_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each routing rule fires, by kind of page."""
+    r = routing.route(layout.signals(spark, d)).select("page_kind", F.explode("findings").alias("check_id"))
+    return r.groupBy("page_kind", "check_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def signal_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Seven percentiles of each signal over all pages, in one pass over a long form."""
+    points = ("0.01", "0.05", "0.25", "0.5", "0.75", "0.95", "0.99")
+    long = layout.signals(spark, d).select(*layout.FRACTIONS).unpivot([], layout.FRACTIONS, "signal", "v")
+    q = long.groupBy("signal").agg(F.expr(f"percentile(v, array({', '.join(points)}))").alias("q"))
+    return q.select("signal", *[F.round(F.col("q")[k], 6).alias(f"p{float(x) * 100:g}") for k, x in enumerate(points)])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         page_gate, line_assignment, orphan_lines, text_cover_semi, text_cover_anti, repeated_regions, system_agreement, class_counts, region_profile, region_outliers, metric_quantiles, longest_orphan_run, union_areas, gate_findings, gate_summary,
         review_queue, verdict_estimate, reading_order, band_transitions, majority_class, class_confusion, stratified_sample, char_ngrams, event_windows, order_rollup, script_profile,
+        page_routes, routing_rates, signal_percentiles,
     )
 }
 
@@ -238,7 +259,25 @@ gated AS (SELECT s.sys, d.doc_id AS page_id, CASE WHEN doc_id % 37 = 0 THEN 'def
   coalesce(n_block, 0) AS n_block, coalesce(n_major, 0) AS n_major, coalesce(n_adv, 0) AS n_adv, round(least(1, 0.25 * coalesce(n_major, 0) + 0.05 * coalesce(n_adv, 0)), 4)::DOUBLE AS risk
   FROM documents d CROSS JOIN systems s LEFT JOIN counted c ON c.sys = s.sys AND c.page_id = d.doc_id)"""
 
+_NULL0 = "coalesce({0}, 0) + coalesce({1}, 0)".format
+_T = routing.THRESHOLDS
+_RULES = {
+    "C0-01": f"n_chars < {_T['min_chars']}", "C0-02": f"n_chars >= {_T['min_chars']} AND n_lines < {_T['sparse_max_lines']} AND greatest(image_area_frac, glyph_area_frac) > {_T['sparse_min_ink']}",
+    "C0-03": f"{_NULL0('invisible_frac', 'white_frac')} > {_T['invisible_frac']}", "C0-04": f"lines_in_big_image_frac > {_T['ocr_lines_in_image']} AND big_image_area_frac > {_T['ocr_image_area']}", "C0-05": "rotation % 90 <> 0",
+    "C0-06": f"{_NULL0('pua_cp_frac', 'undecoded_cp_frac')} > {_T['undecodable_frac']}", "C0-07": f"median_chars_per_span <= {_T['frag_max_chars_per_span']} AND n_spans > {_T['frag_min_spans']}", "C0-08": "direction = 'unknown'",
+    "C0-09": f"lines_outside_crop_frac > {_T['clipped_frac']}", "C0-10": f"vector_area_frac > {_T['outline_vector_ink']} AND glyph_area_frac < {_T['outline_max_glyph']}",
+}
+_ROUTES = f"""WITH {layout.SIGNALS_SQL},
+directions AS (SELECT doc, CASE WHEN sum(n_chars) < {_T['doc_min_chars']} THEN 'unknown' WHEN sum(n_chars * rtl_cp_frac) / greatest(sum(n_chars), 1) > {_T['doc_rtl_aggregate']} OR max(rtl_cp_frac) > {_T['doc_rtl_max_page']} THEN 'rtl' ELSE 'ltr' END AS direction FROM signals GROUP BY doc),
+rules AS (SELECT *, {', '.join(f"({v}) AS {k.replace('-', '_')}" for k, v in _RULES.items())} FROM signals JOIN directions USING (doc)),
+kinds AS (SELECT *, CASE WHEN C0_01 THEN 'scanned' WHEN C0_02 OR C0_04 OR C0_10 THEN 'hybrid' ELSE 'born_digital' END AS page_kind FROM rules),
+routes AS (SELECT page_id, doc, page_kind, CASE WHEN page_kind = 'scanned' OR coalesce(invisible_frac, 0) + coalesce(white_frac, 0) > 0.90 OR C0_10 THEN 'unusable' WHEN page_kind = 'hybrid' OR C0_07 OR C0_06 OR C0_09 THEN 'degraded' ELSE 'full' END AS psr_trust, direction,
+  CASE page_kind {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in routing.AVAILABLE.items())} END AS available, concat_ws(' ', {', '.join(f"CASE WHEN {k.replace('-', '_')} THEN '{k}' END" for k in _RULES)}) AS findings FROM kinds)"""
+
 SQL: dict[str, str] = {
+    "page_routes": f"{_ROUTES} SELECT * FROM routes",
+    "routing_rates": f"{_ROUTES} SELECT page_kind, check_id, count(*) AS n FROM (SELECT page_kind, unnest(string_split(findings, ' ')) AS check_id FROM routes WHERE findings <> '') GROUP BY ALL",
+    "signal_percentiles": f"WITH {layout.SIGNALS_SQL}, q AS (SELECT signal, quantile_cont(v, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q FROM (UNPIVOT (SELECT {', '.join(layout.FRACTIONS)} FROM signals) ON COLUMNS(*) INTO NAME signal VALUE v) GROUP BY signal) SELECT signal, " + ", ".join(f"round(q[{k + 1}], 6) AS p{x}" for k, x in enumerate((1, 5, 25, 50, 75, 95, 99))) + " FROM q",
     "line_assignment": f"{WITH}, {OWNED} SELECT sys, page_id, line_id, blk, round(cov, 6) AS cov FROM owned",
     "orphan_lines": f"{WITH}, {OWNED} SELECT * FROM orphan",
     "text_cover_semi": f"{WITH} " + _SEMI.format(""),
