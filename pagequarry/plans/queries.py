@@ -104,8 +104,29 @@ def union_areas(spark: SparkSession, d: str) -> DataFrame:
     return spatial.union_area(layout.regions(spark, d), ["sys", "page_id"], stride=4).select("sys", "page_id", "area", "shared")
 
 
+def shifted(spark: SparkSession, d: str) -> DataFrame:
+    """Regions with repeats, some of them stretched over the next column or the next block."""
+    r = with_repeats(spark, d)
+    k = F.col("page_id") + F.col("blk")
+    return r.withColumn("x2", F.col("x2") + F.when(k % 13 == 0, 1100).otherwise(0)).withColumn("y2", F.col("y2") + F.when(k % 3 == 0, 270).otherwise(0))
+
+
 def gate_findings(spark: SparkSession, d: str) -> DataFrame:
-    lines, regions = layout.lines(spark, d), with_repeats(spark, d)
+    return checked(spark, d, with_repeats(spark, d))
+
+
+def shifted_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings on stretched regions: these overlap each other, span bands and leave the page."""
+    return checked(spark, d, shifted(spark, d))
+
+
+def shared_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Areas of stretched regions: of their union, and of what several cover."""
+    return spatial.union_area(shifted(spark, d), ["sys", "page_id"], stride=4).select("sys", "page_id", "area", "shared")
+
+
+def checked(spark: SparkSession, d: str, regions: DataFrame) -> DataFrame:
+    lines = layout.lines(spark, d)
     own = spatial.assign_lines(lines, regions)
     return gate.findings(
         lines, regions, own, spatial.orphans(lines, systems(spark), own), spatial.spans_bands(regions, bands(spark)), spatial.partial_overlaps(regions), spatial.repeats(regions), layout.PAGE_WIDTH, layout.PAGE_HEIGHT
@@ -215,7 +236,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         page_gate, line_assignment, orphan_lines, text_cover_semi, text_cover_anti, repeated_regions, system_agreement, class_counts, region_profile, region_outliers, metric_quantiles, longest_orphan_run, union_areas, gate_findings, gate_summary,
         review_queue, verdict_estimate, reading_order, band_transitions, majority_class, class_confusion, stratified_sample, char_ngrams, event_windows, order_rollup, script_profile,
-        page_routes, routing_rates, signal_percentiles,
+        page_routes, routing_rates, signal_percentiles, shifted_findings, shared_areas,
     )
 }
 
@@ -226,6 +247,11 @@ _MAJOR = "majority AS (SELECT page_id, blk, cls, votes FROM (SELECT page_id, blk
 
 _MORE = f"""more AS (SELECT * FROM regions UNION ALL SELECT sys, page_id, doc, blk + 100, x1 + 1, y1 + 1, x2 + 1, y2 + 1, cls FROM regions WHERE sys = 3 AND (page_id + blk) % 5 = 0),
 b AS (SELECT *, {BUCKET.format('cls')} AS bucket FROM more)"""
+_SHIFTED = _MORE.replace("more AS", "plain AS", 1).replace("b AS (SELECT *", "more AS (SELECT sys, page_id, doc, blk, x1, y1, x2 + CASE WHEN (page_id + blk) % 13 = 0 THEN 1100 ELSE 0 END AS x2, y2 + CASE WHEN (page_id + blk) % 3 = 0 THEN 270 ELSE 0 END AS y2, cls FROM plain),\nb AS (SELECT *", 1)
+_AREAS = """u AS (SELECT sys, page_id, x1 // 4 AS a, (x2 + 3) // 4 AS b, unnest(range(y1 // 4, (y2 + 3) // 4)) AS row FROM {0}),
+s AS (SELECT sys, page_id, row, x, sum(d) AS d FROM (SELECT sys, page_id, row, a AS x, 1 AS d FROM u UNION ALL SELECT sys, page_id, row, b, -1 FROM u) GROUP BY ALL),
+r AS (SELECT sys, page_id, sum(d) OVER w AS depth, lead(x) OVER w - x AS len FROM s WINDOW w AS (PARTITION BY sys, page_id, row ORDER BY x))
+SELECT sys, page_id, sum(CASE WHEN depth > 0 THEN len ELSE 0 END)::BIGINT * 16 AS area, sum(CASE WHEN depth > 1 THEN len ELSE 0 END)::BIGINT * 16 AS shared FROM r GROUP BY ALL"""
 _REPEATED = "SELECT l.sys, l.page_id, l.blk FROM b l WHERE EXISTS (SELECT 1 FROM b r WHERE r.sys = l.sys AND r.page_id = l.page_id AND r.bucket = l.bucket AND r.blk < l.blk AND abs(l.x1 - r.x1) <= 4 AND abs(l.y1 - r.y1) <= 4 AND abs(l.x2 - r.x2) <= 4 AND abs(l.y2 - r.y2) <= 4)"
 _RUNS = """o AS (SELECT sys, page_id, line_id, x1, y1, y2, lag(y2) OVER w AS b, lag(x1) OVER w AS bx FROM orphan JOIN lines USING (page_id, line_id) WINDOW w AS (PARTITION BY sys, page_id ORDER BY x1, y1, line_id)),
 r AS (SELECT *, sum(CASE WHEN y1 - b <= 1.8 * (y2 - y1) AND bx = x1 THEN 0 ELSE 1 END) OVER (PARTITION BY sys, page_id ORDER BY x1, y1, line_id) AS run FROM o),
@@ -298,14 +324,13 @@ SELECT sys, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.1), 6) AS p10, ro
     "longest_orphan_run": f"""{WITH}, {OWNED}, o AS (SELECT sys, page_id, line_id, x1, y1, y2, lag(y2) OVER w AS b, lag(x1) OVER w AS bx FROM orphan JOIN lines USING (page_id, line_id) WINDOW w AS (PARTITION BY sys, page_id ORDER BY x1, y1, line_id)),
 r AS (SELECT *, sum(CASE WHEN y1 - b <= 1.8 * (y2 - y1) AND bx = x1 THEN 0 ELSE 1 END) OVER (PARTITION BY sys, page_id ORDER BY x1, y1, line_id) AS run FROM o)
 SELECT sys, page_id, max(n) AS longest FROM (SELECT sys, page_id, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL""",
+    "shifted_findings": _FINDINGS.replace(_MORE, _SHIFTED) + " SELECT * FROM found",
+    "shared_areas": f"{WITH}, {_SHIFTED}, {_AREAS.format('more')}",
     "gate_findings": f"{_FINDINGS} SELECT * FROM found",
     "page_gate": f"{_GATE} SELECT * FROM gated",
     "gate_summary": f"{_GATE} SELECT sys, decision, count(*) AS n FROM gated GROUP BY ALL",
     "review_queue": f"{_GATE} SELECT task, sys, page_id, risk FROM gated WHERE decision = 'escalate' UNION ALL SELECT 'E7', sys, page_id, risk FROM gated WHERE decision = 'accept' AND substr(sha256('20260904|' || sys || '|' || page_id), 1, 8) < '0ccccccc'",
-    "union_areas": f"""{WITH}, u AS (SELECT sys, page_id, x1 // 4 AS a, (x2 + 3) // 4 AS b, unnest(range(y1 // 4, (y2 + 3) // 4)) AS row FROM regions),
-s AS (SELECT sys, page_id, row, x, sum(d) AS d FROM (SELECT sys, page_id, row, a AS x, 1 AS d FROM u UNION ALL SELECT sys, page_id, row, b, -1 FROM u) GROUP BY ALL),
-r AS (SELECT sys, page_id, sum(d) OVER w AS depth, lead(x) OVER w - x AS len FROM s WINDOW w AS (PARTITION BY sys, page_id, row ORDER BY x))
-SELECT sys, page_id, sum(CASE WHEN depth > 0 THEN len ELSE 0 END)::BIGINT * 16 AS area, sum(CASE WHEN depth > 1 THEN len ELSE 0 END)::BIGINT * 16 AS shared FROM r GROUP BY ALL""",
+    "union_areas": f"{WITH}, {_AREAS.format('regions')}",
     "verdict_estimate": """WITH s AS (SELECT count(*) FILTER (toxic = 0) AS audit_n, count(*) FILTER (toxic = 0 AND quality <> 1) AS audit_wrong, count(*) FILTER (toxic <> 0) AS escalation_n, count(*) FILTER (toxic <> 0 AND quality <> 1) AS escalation_right FROM labels),
 p AS (SELECT *, audit_wrong / audit_n::DOUBLE AS q, 3.8416 AS zz FROM s)
 SELECT audit_n, audit_wrong, escalation_n, escalation_right, round(q, 6) AS false_accept,
