@@ -21,7 +21,10 @@ POLICY = {
     "weights": {"MAJOR": 0.25, "ADV": 0.05, "unverifiable": 0.15},
 }
 THRESHOLDS = {"min_text_lines": 10, "orphan_line_rate": 0.12, "lost_lines": 4, "cluster": 3, "discard_rate": 0.15, "overlap_regions": 4, "overlap_rate": 0.30, "out_of_bounds": 0.02, "coverage": 0.40}
-SEVERITY = {"C1-01": "BLOCK", "C1-03": "BLOCK", "C1-05": "BLOCK", "C3-02": "BLOCK", "C5-01": "MAJOR", "C5-04": "BLOCK", "C6-06": "BLOCK", "C7-01": "BLOCK", "C7-05": "ADV"}
+SEVERITY = {
+    "C1-01": "BLOCK", "C1-02": "BLOCK", "C1-03": "BLOCK", "C1-04": "BLOCK", "C1-05": "BLOCK", "C1-06": "MAJOR", "C2-01": "MAJOR", "C2-06": "ADV", "C3-02": "BLOCK", "C3-05": "MAJOR", "C4-03": "BLOCK", "C4-09": "ADV", "C5-01": "MAJOR",
+    "C5-03": "MAJOR", "C5-04": "BLOCK", "C6-05": "BLOCK", "C6-06": "BLOCK", "C7-01": "BLOCK", "C7-03": "ADV", "C7-04": "BLOCK", "C7-05": "ADV", "C8-01": "MAJOR", "C8-02": "ADV", "C8-03": "ADV", "C8-05": "MAJOR",
+}
 
 
 def finding(df: DataFrame, check: str, value: Column) -> DataFrame:

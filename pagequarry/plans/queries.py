@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagequarry.operators import gate, routing, spatial
+from pagequarry.operators import checks, gate, routing, spatial
 from pagequarry.plans import layout
 
 WITH = f"WITH {layout.LAYOUT_SQL.strip()}"
@@ -125,6 +125,29 @@ def shared_areas(spark: SparkSession, d: str) -> DataFrame:
     return spatial.union_area(shifted(spark, d), ["sys", "page_id"], stride=4).select("sys", "page_id", "area", "shared")
 
 
+def disturbed(spark: SparkSession, d: str) -> DataFrame:
+    """Stretched regions, empty thin ones, and a mixed order of blocks on every fifth page."""
+    r = shifted(spark, d)
+    at = {"blk": 200, "x1": 2300, "y1": 100, "x2": 2304, "y2": 500}
+    thin = layout.regions(spark, d).where("sys = 2 AND page_id % 6 = 0").select("sys", "page_id", "doc").distinct().select("*", *[F.lit(v).cast("long").alias(k) for k, v in at.items()], F.lit("text").alias("cls"))
+    return r.unionByName(thin).withColumn("rank", F.when(F.col("page_id") % 5 == 0, F.col("blk") * 7 % 11).otherwise(F.col("blk")))
+
+
+def page_features(spark: SparkSession, d: str) -> DataFrame:
+    pages = layout.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("doc")).join(systems(spark).withColumnRenamed("id", "sys"))
+    return checks.features(pages, layout.lines(spark, d), disturbed(spark, d), bands(spark), layout.PAGE_WIDTH, layout.PAGE_HEIGHT, systems(spark))
+
+
+def feature_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of the checks that read a page's features."""
+    return checks.findings(page_features(spark, d), len(layout.BANDS))
+
+
+def finding_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Pages, and mean value, of each check's findings by system."""
+    return feature_findings(spark, d).groupBy("sys", "check_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 5).alias("mean_value"))
+
+
 def checked(spark: SparkSession, d: str, regions: DataFrame) -> DataFrame:
     lines = layout.lines(spark, d)
     own = spatial.assign_lines(lines, regions)
@@ -236,7 +259,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         page_gate, line_assignment, orphan_lines, text_cover_semi, text_cover_anti, repeated_regions, system_agreement, class_counts, region_profile, region_outliers, metric_quantiles, longest_orphan_run, union_areas, gate_findings, gate_summary,
         review_queue, verdict_estimate, reading_order, band_transitions, majority_class, class_confusion, stratified_sample, char_ngrams, event_windows, order_rollup, script_profile,
-        page_routes, routing_rates, signal_percentiles, shifted_findings, shared_areas,
+        page_routes, routing_rates, signal_percentiles, shifted_findings, shared_areas, feature_findings, finding_rates,
     )
 }
 
@@ -285,6 +308,55 @@ gated AS (SELECT s.sys, d.doc_id AS page_id, CASE WHEN doc_id % 37 = 0 THEN 'def
   coalesce(n_block, 0) AS n_block, coalesce(n_major, 0) AS n_major, coalesce(n_adv, 0) AS n_adv, round(least(1, 0.25 * coalesce(n_major, 0) + 0.05 * coalesce(n_adv, 0)), 4)::DOUBLE AS risk
   FROM documents d CROSS JOIN systems s LEFT JOIN counted c ON c.sys = s.sys AND c.page_id = d.doc_id)"""
 
+_BAND = "CASE WHEN x2 - x1 > 0.62 * {w} THEN NULL WHEN {a} AND NOT {b} THEN 0 WHEN {b} AND NOT {a} THEN 1 END".format(w=layout.PAGE_WIDTH, **{n: f"(least(x2, {x9}) - greatest(x1, {x0}) > 0.5 * (x2 - x1))" for n, (_, x0, x9) in zip("ab", layout.BANDS)})
+_REV = "(least(l.x2, r.x2) - greatest(l.x1, r.x1)) * (least(l.y2, r.y2) - greatest(l.y1, r.y1)) / ((r.x2 - r.x1) * (r.y2 - r.y1))::DOUBLE"
+_HELD = f"({COVER}) / ((l.x2 - l.x1) * (l.y2 - l.y1))::DOUBLE"
+_WIDE = "((least(l.x2, r.x2) - greatest(l.x1, r.x1)) / (l.x2 - l.x1)::DOUBLE)"
+_FEATURES = f"""{WITH}, {_SHIFTED},
+dis AS (SELECT *, CASE WHEN page_id % 5 = 0 THEN blk * 7 % 11 ELSE blk END AS rank, {BUCKET.format('cls')} AS bucket, {_BAND} AS band FROM (
+  SELECT sys, page_id, doc, blk, x1, y1, x2, y2, cls FROM more UNION ALL SELECT DISTINCT sys, page_id, doc, 200, 2300, 100, 2304, 500, 'text' FROM regions WHERE sys = 2 AND page_id % 6 = 0)),
+{OWNED.replace("JOIN regions r", "JOIN dis r")},
+bl AS (SELECT *, {_BAND} AS band FROM lines),
+pg AS (SELECT page_id, count(*) AS n_lines, sum((x2 - x1) * (y2 - y1)) AS ink, count(band) AS in_band, median(y2 - y1) AS line_h, count(DISTINCT band) AS n_columns,
+  least(nullif(count(*) FILTER (band = 0), 0), nullif(count(*) FILTER (band = 1), 0)) AS least_band FROM bl GROUP BY page_id),
+oa AS (SELECT sys, page_id, count(*) AS n_orphans, sum((x2 - x1) * (y2 - y1)) AS lost, count(band) AS lost_band, count(*) FILTER (y1 >= {layout.PAGE_HEIGHT} * 0.88) AS foot FROM orphan JOIN bl USING (page_id, line_id) GROUP BY ALL),
+hd AS (SELECT d.*, (SELECT count(*) FROM owned o WHERE o.sys = d.sys AND o.page_id = d.page_id AND o.blk = d.blk) AS k FROM dis d),
+ra AS (SELECT sys, page_id, count(*) AS n_regions, count(DISTINCT cls) AS n_classes, max((bucket = 'DISCARD')::INT) AS running,
+  count(*) FILTER ((x2 - x1) * (y2 - y1) > 0 AND k = 0 AND greatest(x2 - x1, y2 - y1) > 60 * least(x2 - x1, y2 - y1)) AS n_thin,
+  count(*) FILTER (bucket = 'DISCARD' AND k > 3 AND band IS NOT NULL AND (y1 + y2) / 2 BETWEEN 0.08 * {layout.PAGE_HEIGHT} AND 0.92 * {layout.PAGE_HEIGHT}) AS n_inside,
+  greatest(coalesce(sum(k) FILTER (band = 0), 0), coalesce(sum(k) FILTER (band = 1), 0)) / greatest(sum(k) FILTER (band IS NOT NULL), 1)::DOUBLE AS share, count(band) AS n_banded FROM hd GROUP BY ALL),
+cl AS (SELECT r.sys, l.page_id, count(DISTINCT line_id) AS n_cut FROM lines l JOIN dis r ON l.page_id = r.page_id AND {TOUCH} WHERE {_WIDE} > 0.15 AND {_WIDE} < 0.85 AND {_HELD} > 0.05 GROUP BY ALL),
+hl AS (SELECT r.sys, l.page_id, line_id, blk, r.x1, r.y1, r.x2, r.y2 FROM lines l JOIN dis r ON l.page_id = r.page_id AND {TOUCH} AND bucket = 'TEXT' AND {_HELD} >= 0.5),
+tw AS (SELECT l.sys, l.page_id, count(DISTINCT l.line_id) AS n_twice FROM hl l JOIN hl r ON l.sys = r.sys AND l.page_id = r.page_id AND l.line_id = r.line_id AND l.blk < r.blk AND {_HELD} < 0.9 AND {_REV} < 0.9 GROUP BY ALL),
+em AS (SELECT sys, page_id, count(*) AS n_empty FROM dis r WHERE bucket = 'TEXT' AND NOT EXISTS (SELECT 1 FROM lines l WHERE l.page_id = r.page_id AND {TOUCH} AND ({_HELD} >= 0.5 OR {_REV} >= 0.5)) GROUP BY ALL),
+mv AS (SELECT sys, page_id, count(*) FILTER (band <> before) AS transitions FROM (SELECT o.sys, o.page_id, l.band, lag(l.band) OVER (PARTITION BY o.sys, o.page_id ORDER BY rank, o.blk, l.y1, l.x1, l.line_id) AS before
+  FROM owned o JOIN dis d USING (sys, page_id, blk) JOIN bl l ON l.page_id = o.page_id AND l.line_id = o.line_id WHERE l.band IS NOT NULL) GROUP BY ALL),
+jm AS (SELECT sys, page_id, count(*) FILTER (y1 < b2 - greatest(3 * line_h, 40) AND NOT coalesce(band <> bb, false)) AS jumps FROM (
+  SELECT *, lag(y2) OVER w AS b2, lag(band) OVER w AS bb FROM hd WHERE k > 0 WINDOW w AS (PARTITION BY sys, page_id ORDER BY rank, blk)) JOIN pg USING (page_id) GROUP BY ALL),
+ft AS (SELECT s.sys, d.doc_id AS page_id, d.source AS doc, coalesce(n_lines, 0) AS n_lines, ink, coalesce(in_band, 0) AS in_band, least_band, coalesce(n_columns, 0) AS n_columns, n_orphans, lost, lost_band, foot, coalesce(n_regions, 0) AS n_regions, coalesce(n_classes, 0) AS n_classes,
+  coalesce(running, 0) AS running, n_thin, n_inside, share, coalesce(n_banded, 0) AS n_banded, n_cut, n_twice, n_empty, transitions, jumps
+  FROM documents d CROSS JOIN systems s LEFT JOIN pg ON pg.page_id = d.doc_id LEFT JOIN oa ON oa.sys = s.sys AND oa.page_id = d.doc_id LEFT JOIN ra ON ra.sys = s.sys AND ra.page_id = d.doc_id LEFT JOIN cl ON cl.sys = s.sys AND cl.page_id = d.doc_id
+  LEFT JOIN tw ON tw.sys = s.sys AND tw.page_id = d.doc_id LEFT JOIN em ON em.sys = s.sys AND em.page_id = d.doc_id LEFT JOIN mv ON mv.sys = s.sys AND mv.page_id = d.doc_id LEFT JOIN jm ON jm.sys = s.sys AND jm.page_id = d.doc_id),
+dp AS (SELECT sys, doc, count(*) AS doc_n, avg(running) AS doc_running, avg(n_regions) AS doc_mean, stddev_pop(n_regions) AS doc_sd, median(n_classes) AS doc_classes FROM ft GROUP BY ALL),
+dm AS (SELECT sys, doc, n_columns AS doc_columns FROM (SELECT sys, doc, n_columns, row_number() OVER (PARTITION BY sys, doc ORDER BY count(*) DESC, min(page_id)) AS k FROM ft GROUP BY sys, doc, n_columns) WHERE k = 1),
+all_ AS (SELECT * FROM ft JOIN dp USING (sys, doc) JOIN dm USING (sys, doc)),
+hits AS (
+  SELECT sys, page_id, 'C1-02' AS check_id, lost / ink::DOUBLE AS value FROM all_ WHERE n_orphans >= 4 AND lost / ink::DOUBLE > 0.12
+  UNION ALL SELECT sys, page_id, 'C1-04', lost_band / in_band::DOUBLE FROM all_ WHERE in_band >= 10 AND lost_band / in_band::DOUBLE > 0.12
+  UNION ALL SELECT sys, page_id, 'C1-06', foot::DOUBLE FROM all_ WHERE foot >= 4
+  UNION ALL SELECT sys, page_id, 'C2-01', n_cut / n_lines::DOUBLE FROM all_ WHERE n_cut / n_lines::DOUBLE > 0.15
+  UNION ALL SELECT sys, page_id, 'C2-06', n_empty::DOUBLE FROM all_ WHERE n_empty > 0
+  UNION ALL SELECT sys, page_id, 'C3-05', CASE WHEN n_banded = 0 THEN 1.0 ELSE share END FROM all_ WHERE n_columns = 2 AND least_band >= 5 AND (n_banded = 0 OR share > 0.85)
+  UNION ALL SELECT sys, page_id, 'C4-03', (transitions - 1)::DOUBLE FROM all_ WHERE transitions - 1 > 2
+  UNION ALL SELECT sys, page_id, 'C4-09', jumps::DOUBLE FROM all_ WHERE jumps >= 3
+  UNION ALL SELECT sys, page_id, 'C5-03', n_twice / n_lines::DOUBLE FROM all_ WHERE n_twice / n_lines::DOUBLE > 0.02
+  UNION ALL SELECT sys, page_id, 'C6-05', n_inside::DOUBLE FROM all_ WHERE n_inside > 0
+  UNION ALL SELECT sys, page_id, 'C7-03', n_thin::DOUBLE FROM all_ WHERE n_thin > 0
+  UNION ALL SELECT sys, page_id, 'C8-01', doc_running FROM all_ WHERE doc_n >= 5 AND doc_running >= 0.8 AND n_lines >= 20 AND running = 0
+  UNION ALL SELECT sys, page_id, 'C8-02', n_columns::DOUBLE FROM all_ WHERE doc_n >= 5 AND n_columns <> doc_columns
+  UNION ALL SELECT sys, page_id, 'C8-03', abs(n_regions - doc_mean) / doc_sd FROM all_ WHERE doc_n >= 5 AND doc_sd >= 1 AND abs(n_regions - doc_mean) / doc_sd > 4
+  UNION ALL SELECT sys, page_id, 'C8-05', n_classes::DOUBLE FROM all_ WHERE doc_n >= 5 AND doc_classes >= 4 AND n_classes <= 1 AND n_regions > 3)"""
+
 _NULL0 = "coalesce({0}, 0) + coalesce({1}, 0)".format
 _T = routing.THRESHOLDS
 _RULES = {
@@ -325,6 +397,8 @@ SELECT sys, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.1), 6) AS p10, ro
 r AS (SELECT *, sum(CASE WHEN y1 - b <= 1.8 * (y2 - y1) AND bx = x1 THEN 0 ELSE 1 END) OVER (PARTITION BY sys, page_id ORDER BY x1, y1, line_id) AS run FROM o)
 SELECT sys, page_id, max(n) AS longest FROM (SELECT sys, page_id, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL""",
     "shifted_findings": _FINDINGS.replace(_MORE, _SHIFTED) + " SELECT * FROM found",
+    "feature_findings": f"{_FEATURES} SELECT sys, page_id, check_id, round(value, 6) AS value FROM hits",
+    "finding_rates": f"{_FEATURES} SELECT sys, check_id, count(*) AS n, round(avg(round(value, 6)), 5) AS mean_value FROM hits GROUP BY ALL",
     "shared_areas": f"{WITH}, {_SHIFTED}, {_AREAS.format('more')}",
     "gate_findings": f"{_FINDINGS} SELECT * FROM found",
     "page_gate": f"{_GATE} SELECT * FROM gated",
