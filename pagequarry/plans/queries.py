@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagequarry.operators import checks, gate, routing, spatial
+from pagequarry.operators import checks, consensus, gate, routing, spatial
 from pagequarry.plans import layout
 
 WITH = f"WITH {layout.LAYOUT_SQL.strip()}"
@@ -133,6 +133,27 @@ def disturbed(spark: SparkSession, d: str) -> DataFrame:
     return r.unionByName(thin).withColumn("rank", F.when(F.col("page_id") % 5 == 0, F.col("blk") * 7 % 11).otherwise(F.col("blk")))
 
 
+def families(spark: SparkSession) -> DataFrame:
+    """Systems 2 and 3 are two configurations of one family."""
+    return systems(spark).withColumnRenamed("id", "sys").withColumn("family", F.least("sys", F.lit(2)))
+
+
+def page_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.page_consensus(layout.regions(spark, d), families(spark))
+
+
+def system_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.system_consensus(page_consensus(spark, d))
+
+
+def class_scores(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.class_scores(layout.regions(spark, d), families(spark))
+
+
+def class_routes(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.class_routes(class_scores(spark, d))
+
+
 def page_features(spark: SparkSession, d: str) -> DataFrame:
     pages = layout.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("doc")).join(systems(spark).withColumnRenamed("id", "sys"))
     return checks.features(pages, layout.lines(spark, d), disturbed(spark, d), bands(spark), layout.PAGE_WIDTH, layout.PAGE_HEIGHT, systems(spark))
@@ -260,6 +281,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         page_gate, line_assignment, orphan_lines, text_cover_semi, text_cover_anti, repeated_regions, system_agreement, class_counts, region_profile, region_outliers, metric_quantiles, longest_orphan_run, union_areas, gate_findings, gate_summary,
         review_queue, verdict_estimate, reading_order, band_transitions, majority_class, class_confusion, stratified_sample, char_ngrams, event_windows, order_rollup, script_profile,
         page_routes, routing_rates, signal_percentiles, shifted_findings, shared_areas, feature_findings, finding_rates,
+        page_consensus, system_consensus, class_scores, class_routes,
     )
 }
 
@@ -357,6 +379,23 @@ hits AS (
   UNION ALL SELECT sys, page_id, 'C8-03', abs(n_regions - doc_mean) / doc_sd FROM all_ WHERE doc_n >= 5 AND doc_sd >= 1 AND abs(n_regions - doc_mean) / doc_sd > 4
   UNION ALL SELECT sys, page_id, 'C8-05', n_classes::DOUBLE FROM all_ WHERE doc_n >= 5 AND doc_classes >= 4 AND n_classes <= 1 AND n_regions > 3)"""
 
+# On the stand-in pages a block is a cluster: its regions nearly coincide and others do not meet it.
+_CONSENSUS = f"""{WITH}, m AS (SELECT *, least(sys, 2) AS family FROM regions),
+votes AS (SELECT page_id, blk, cls, row_number() OVER (PARTITION BY page_id, blk ORDER BY count(*) DESC, min(sys)) AS k FROM m GROUP BY page_id, blk, cls),
+seen AS (SELECT page_id, blk, count(DISTINCT family) AS n_fam FROM m GROUP BY ALL),
+total AS (SELECT page_id, count(*) FILTER (n_fam >= 2) AS total FROM seen GROUP BY ALL),
+per_page AS (SELECT m.sys, m.page_id, count(*) FILTER (n_fam >= 2) AS found, any_value(total) AS total, count(*) FILTER (n_fam >= 2 AND m.cls = v.cls) AS agree, count(*) FILTER (n_fam >= 3) AS backed, count(*) FILTER (n_fam = 1) AS solo, count(*) AS n
+  FROM m JOIN seen USING (page_id, blk) JOIN votes v ON v.page_id = m.page_id AND v.blk = m.blk AND v.k = 1 JOIN total t ON t.page_id = m.page_id GROUP BY ALL)"""
+_SCORES = f"""{WITH}, m AS (SELECT *, least(sys, 2) AS family FROM regions),
+seen AS (SELECT page_id, cls, blk, count(DISTINCT family) AS n_fam FROM m GROUP BY ALL),
+total AS (SELECT page_id, cls, count(*) AS total FROM seen WHERE n_fam >= 3 GROUP BY ALL),
+page AS (SELECT m.page_id, m.cls, m.sys, count(*) FILTER (n_fam >= 3) AS found, count(*) AS mine, any_value(total) AS total FROM m JOIN seen USING (page_id, cls, blk) JOIN total USING (page_id, cls) GROUP BY ALL),
+won AS (SELECT *, 2.0 * found / (mine + total) AS f, max(2.0 * found / (mine + total)) OVER (PARTITION BY page_id, cls) AS top FROM page),
+sums AS (SELECT cls, sys, sum(found) AS found, sum(mine - found) AS unbacked, count(*) FILTER (top > 0 AND f >= top - 0.01) AS wins FROM won GROUP BY ALL),
+classes AS (SELECT cls, sum(total) AS regions, count(*) AS pages FROM total GROUP BY ALL),
+scores AS (SELECT c.cls, s.sys, regions::BIGINT AS regions, pages, coalesce(found, 0)::BIGINT AS found, coalesce(unbacked, 0)::BIGINT AS unbacked, coalesce(wins, 0) AS wins, round(coalesce(found, 0) / regions::DOUBLE, 4) AS recall,
+  coalesce(round(found / nullif(found + unbacked, 0)::DOUBLE, 4), 0) AS precision, coalesce(round(2 * found / nullif(found + unbacked + regions, 0)::DOUBLE, 4), 0) AS f1
+  FROM classes c CROSS JOIN (SELECT unnest(range(0, 4)) AS sys) s LEFT JOIN sums u ON u.cls = c.cls AND u.sys = s.sys)"""
 _NULL0 = "coalesce({0}, 0) + coalesce({1}, 0)".format
 _T = routing.THRESHOLDS
 _RULES = {
@@ -399,6 +438,12 @@ SELECT sys, page_id, max(n) AS longest FROM (SELECT sys, page_id, run, count(*)
     "shifted_findings": _FINDINGS.replace(_MORE, _SHIFTED) + " SELECT * FROM found",
     "feature_findings": f"{_FEATURES} SELECT sys, page_id, check_id, round(value, 6) AS value FROM hits",
     "finding_rates": f"{_FEATURES} SELECT sys, check_id, count(*) AS n, round(avg(round(value, 6)), 5) AS mean_value FROM hits GROUP BY ALL",
+    "page_consensus": f"{_CONSENSUS} SELECT * FROM per_page",
+    "system_consensus": f"""{_CONSENSUS} SELECT sys, round(sum(found) / sum(total)::DOUBLE, 4) AS recall, round(sum(agree) / sum(found)::DOUBLE, 4) AS class_agreement, round(sum(backed) / sum(n)::DOUBLE, 4) AS precision, round(sum(solo) / sum(n)::DOUBLE, 4) AS solo_rate, sum(n)::BIGINT AS n FROM per_page GROUP BY sys""",
+    "class_scores": f"{_SCORES} SELECT * FROM scores",
+    "class_routes": f"""{_SCORES}, x AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY f1 DESC, sys) AS k, max(f1) OVER (PARTITION BY cls) AS top FROM scores),
+y AS (SELECT cls, max(sys) FILTER (k = 1) AS leader, max(top) AS f1, round(max(top) - max(f1) FILTER (k = 2), 4) AS margin, round(max(wins) FILTER (k = 1) / max(pages)::DOUBLE, 3) AS win_rate, count(*) FILTER (f1 >= round(top - 0.02, 6)) AS n_equal, max(regions) AS regions FROM x GROUP BY cls)
+SELECT cls, CASE WHEN regions < 8 THEN 'insufficient evidence' WHEN n_equal > 1 AND f1 >= 0.97 THEN 'tied at ceiling' WHEN n_equal > 1 THEN 'no separable leader' WHEN win_rate < 0.5 THEN 'unstable leader' ELSE 'route' END AS decision, leader, f1, margin, win_rate, n_equal FROM y""",
     "shared_areas": f"{WITH}, {_SHIFTED}, {_AREAS.format('more')}",
     "gate_findings": f"{_FINDINGS} SELECT * FROM found",
     "page_gate": f"{_GATE} SELECT * FROM gated",
