@@ -38,24 +38,24 @@ def orphan_features(banded: DataFrame, orphan: DataFrame, height: float, t: dict
     return o.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_orphans"), F.sum(area(Box())).alias("lost_ink"), F.count("band").alias("lost_in_band"), F.count_if(F.col("y1") >= height * (1 - t["foot_band"])).alias("lost_at_foot"))
 
 
-def cut_lines(lines: DataFrame, regions: DataFrame, t: dict) -> DataFrame:
-    """(sys, page_id, n_cut): lines that some region ends within, measured along the line."""
+def line_states(lines: DataFrame, regions: DataFrame, t: dict, least: float = 0.5, nested: float = 0.9) -> DataFrame:
+    """(sys, page_id, n_cut, n_twice): lines that some region ends within, measured along the line, and lines that two text
+    regions hold, neither of which lies in the other. One join; the regions on a line are few, so pairs stay in its row."""
     l, r = lines.alias("l"), regions.alias("r")
     part = (F.least("l.x2", "r.x2") - F.greatest("l.x1", "r.x1")) / F.greatest(F.col("l.x2") - F.col("l.x1"), F.lit(1e-6))
-    on = (F.col("l.page_id") == F.col("r.page_id")) & touches(Box("l."), Box("r.")) & (part > t["cut_min"]) & (part < t["cut_max"]) & (cover(Box("l."), Box("r.")) > t["cut_cover"])
-    return l.join(r, on).select("r.sys", "l.page_id", "l.line_id").distinct().groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_cut"))
+    held = cover(Box("l."), Box("r."))
+    cut = (part > t["cut_min"]) & (part < t["cut_max"]) & (held > t["cut_cover"])
+    text = (bucket(F.col("r.cls")) == "TEXT") & (held >= least)
+    on = (F.col("l.page_id") == F.col("r.page_id")) & touches(Box("l."), Box("r.")) & (cut | text)
+    box = F.struct(*[F.col(f"r.{c}").alias(c) for c in ("blk", "x1", "y1", "x2", "y2")])
+    per_line = l.join(r, on).groupBy("r.sys", "l.page_id", "l.line_id").agg(F.max(cut).alias("cut"), F.collect_list(F.when(text, box)).alias("held"))
 
+    def within(a: Column, b: Column) -> Column:
+        both = F.greatest(F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1), F.lit(0)) * F.greatest(F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1), F.lit(0))
+        return both / F.greatest((a.x2 - a.x1) * (a.y2 - a.y1), F.lit(1e-6))
 
-def twice_owned(lines: DataFrame, regions: DataFrame, least: float = 0.5, nested: float = 0.9) -> DataFrame:
-    """(sys, page_id, n_twice): lines that two text regions hold, neither of which lies in the other."""
-    text = regions.where(bucket(F.col("cls")) == "TEXT")
-    l, r = lines.alias("l"), text.alias("r")
-    on = (F.col("l.page_id") == F.col("r.page_id")) & touches(Box("l."), Box("r.")) & (cover(Box("l."), Box("r.")) >= least)
-    held = l.join(r, on).select("r.sys", "l.page_id", "l.line_id", *[f"r.{c}" for c in ("blk", "x1", "y1", "x2", "y2")])
-    a, b = held.alias("a"), held.alias("b")
-    both = (F.col("a.sys") == F.col("b.sys")) & (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.line_id") == F.col("b.line_id")) & (F.col("a.blk") < F.col("b.blk"))
-    side = (cover(Box("a."), Box("b.")) < nested) & (cover(Box("b."), Box("a.")) < nested)
-    return a.join(b, both & side).select("a.sys", "a.page_id", "a.line_id").distinct().groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_twice"))
+    twice = F.exists("held", lambda a: F.exists("held", lambda b: (a.blk < b.blk) & (within(a, b) < nested) & (within(b, a) < nested)))
+    return per_line.groupBy(*KEYS).agg(F.count_if("cut").alias("n_cut"), F.count_if(twice).alias("n_twice"))
 
 
 def empty_text(lines: DataFrame, regions: DataFrame, least: float = 0.5) -> DataFrame:
@@ -97,11 +97,19 @@ def order_features(held: DataFrame, banded: DataFrame, owned: DataFrame, page: D
 
 def document_profile(facts: DataFrame) -> DataFrame:
     """(sys, doc, doc_n, doc_running, doc_mean, doc_sd, doc_classes, doc_columns): each document's usual page. Of equally
-    frequent numbers of columns, the one of the first page."""
-    usual = facts.groupBy("sys", "doc").agg(F.count(F.lit(1)).alias("doc_n"), F.avg("running").alias("doc_running"), F.avg("n_regions").alias("doc_mean"), F.stddev_pop("n_regions").alias("doc_sd"), F.percentile("n_classes", F.lit(0.5)).alias("doc_classes"))
-    first = Window.partitionBy("sys", "doc").orderBy(F.desc("n"), "first")
-    mode = facts.groupBy("sys", "doc", "n_columns").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).withColumn("k", F.row_number().over(first)).where("k = 1")
-    return usual.join(mode.select("sys", "doc", F.col("n_columns").alias("doc_columns")), ["sys", "doc"])
+    frequent numbers of columns, the one of the first page.
+
+    Pages are counted by their few distinct pairs of columns and classes before a document meets in one task.
+    """
+    n = F.col("n_regions")
+    by_kind = facts.groupBy("sys", "doc", "n_columns", "n_classes").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"), F.sum("running").alias("running"), F.sum(n).alias("s"), F.sum(n * n).alias("ss"))
+    w = Window.partitionBy("sys", "doc", "n_columns")
+    x = by_kind.withColumn("place", F.struct((-F.sum("n").over(w)).alias("n"), F.min("first").over(w).alias("first")))
+    x = x.groupBy("sys", "doc").agg(
+        F.sum("n").alias("doc_n"), F.sum("running").alias("running"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.percentile("n_classes", F.lit(0.5), F.col("n")).alias("doc_classes"), F.min_by("n_columns", "place").alias("doc_columns")
+    )
+    sd = F.sqrt((F.col("doc_n") * F.col("ss") - F.col("s") * F.col("s")).cast("double")) / F.col("doc_n")
+    return x.select("sys", "doc", "doc_n", (F.col("running") / F.col("doc_n")).alias("doc_running"), (F.col("s") / F.col("doc_n")).alias("doc_mean"), sd.alias("doc_sd"), "doc_classes", "doc_columns")
 
 
 def features(pages: DataFrame, lines: DataFrame, regions: DataFrame, bands: DataFrame, width: float, height: float, systems: DataFrame, t: dict | None = None) -> DataFrame:
@@ -111,13 +119,12 @@ def features(pages: DataFrame, lines: DataFrame, regions: DataFrame, bands: Data
     banded, page = line_features(lines, bands, width)
     k = owned.groupBy(*KEYS, "blk").agg(F.count(F.lit(1)).alias("k"))
     held = spatial.band_of(regions, bands, width).join(k, [*KEYS, "blk"], "left").fillna(0, ["k"])
-    x = pages.select(*KEYS, "doc").join(page, "page_id", "left")
-    parts = [region_features(held, width, height, t), orphan_features(banded, spatial.orphans(lines, systems, owned), height, t), cut_lines(lines, regions, t), twice_owned(lines, regions), empty_text(lines, regions), order_features(held, banded, owned, page)]
-    for part in parts:
+    x = pages.select(*KEYS, "doc").join(page, "page_id", "left").join(region_features(held, width, height, t), KEYS, "left")
+    profile = document_profile(x.fillna(0, ["n_columns", "n_regions", "n_classes", "running"]))
+    for part in (orphan_features(banded, spatial.orphans(lines, systems, owned), height, t), line_states(lines, regions, t), empty_text(lines, regions), order_features(held, banded, owned, page)):
         x = x.join(part, KEYS, "left")
     counts = [c for c in x.columns if c not in (*KEYS, "doc", "least_band", "line_h", "top_band")]
-    x = x.fillna(0, counts)
-    return x.join(document_profile(x), ["sys", "doc"], "left")
+    return x.fillna(0, counts).join(profile, ["sys", "doc"], "left")
 
 
 def rules(n_bands: int, t: dict) -> dict[str, tuple[Column, Column]]:
