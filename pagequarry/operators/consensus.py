@@ -156,3 +156,45 @@ def class_routes(scores: DataFrame) -> DataFrame:
     one = F.col("n_equal") > 1
     decision = F.when(F.col("regions") < ROUTES["regions"], "insufficient evidence").when(one & (F.col("f1") >= ROUTES["ceiling"]), "tied at ceiling").when(one, "no separable leader").when(F.col("win_rate") < ROUTES["won"], "unstable leader").otherwise("route")
     return x.select("cls", decision.alias("decision"), "leader", "f1", "margin", "win_rate", "n_equal")
+
+
+def greedy_pairs(a: np.ndarray, b: np.ndarray, near: float) -> list[int]:
+    """For each box of ``a`` in order, the place of the free box of ``b`` of greatest overlap, or -1 if none is near enough."""
+    both = np.concatenate([a, b], axis=1)
+    at, free, out = a.shape[1], np.ones(b.shape[1], dtype=bool), []
+    for i in range(at):
+        met = np.where(free, overlap(i, np.arange(at, both.shape[1]), both), -1) if free.any() else np.array([-1.0])
+        best = int(met.argmax())
+        hit = met[best] >= near
+        if hit:
+            free[best] = False
+        out.append(best if hit else -1)
+    return out
+
+
+def one_to_one(pages: DataFrame, left: DataFrame, right: DataFrame, near: float = 0.7) -> DataFrame:
+    """(page_id, n_left, n_right, matched, same_class, box_agreement, class_agreement) for each row of ``pages`` (page_id):
+    regions of two runs matched one to one, in the order of ``left``. A page without regions in both agrees by 0."""
+
+    @F.pandas_udf("array<int>")
+    def pairs(a1: pd.Series, b1: pd.Series, a2: pd.Series, b2: pd.Series, c1: pd.Series, d1: pd.Series, c2: pd.Series, d2: pd.Series) -> pd.Series:
+        stack = lambda v: np.array([np.asarray(x, dtype=float) for x in v])
+        return pd.Series([greedy_pairs(stack(v[:4]), stack(v[4:]), near) for v in zip(a1, b1, a2, b2, c1, d1, c2, d2)])
+
+    entry = F.struct("blk", *COORDINATES, "cls")
+    side = lambda df, name: df.groupBy("page_id").agg(F.array_sort(F.collect_list(entry)).alias(name))
+    x = pages.select("page_id").join(side(left, "l"), "page_id", "left").join(side(right, "r"), "page_id", "left")
+    kind = side(left, "l").schema["l"].dataType.simpleString()
+    x = x.select("page_id", *[F.coalesce(c, F.array().cast(kind)).alias(c) for c in ("l", "r")])
+    x = x.withColumn("m", pairs(*arrays(F.col("l")), *arrays(F.col("r"))))
+    met = F.zip_with(F.col("l")["cls"], F.col("m"), lambda c, m: F.when(m >= 0, F.when(c == F.get(F.col("r")["cls"], m), 2).otherwise(1)).otherwise(0))
+    x = x.select("page_id", F.size("l").alias("n_left"), F.size("r").alias("n_right"), met.alias("met"))
+    x = x.select("page_id", "n_left", "n_right", F.size(F.filter("met", lambda v: v > 0)).alias("matched"), F.size(F.filter("met", lambda v: v == 2)).alias("same_class"))
+    n = F.greatest("n_left", "n_right", F.lit(1))
+    return x.select("*", F.round(F.col("matched") / n, 4).alias("box_agreement"), F.round(F.col("same_class") / n, 4).alias("class_agreement"))
+
+
+def run_verdict(agreement: DataFrame, least: float = 0.85) -> DataFrame:
+    """One row (n_pages, mean_agreement, verdict) over pages that two runs share."""
+    s = agreement.agg(F.count(F.lit(1)).alias("n_pages"), F.avg("box_agreement").alias("m"))
+    return s.select("n_pages", F.round("m", 4).alias("mean_agreement"), F.when(F.col("n_pages") == 0, "no_result").when(F.col("m") >= least, "ok").otherwise("MISMATCH").alias("verdict"))

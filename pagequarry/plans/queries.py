@@ -154,6 +154,17 @@ def class_routes(spark: SparkSession, d: str) -> DataFrame:
     return consensus.class_routes(class_scores(spark, d))
 
 
+def run_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Systems 0 and 1 as two runs of one detector, on the pages that both have."""
+    a, b = (layout.regions(spark, d).where(F.col("sys") == k) for k in (0, 1))
+    both = a.select("page_id").distinct().join(b, "page_id", "left_semi")
+    return consensus.one_to_one(both, a, b)
+
+
+def run_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.run_verdict(run_agreement(spark, d))
+
+
 def page_features(spark: SparkSession, d: str) -> DataFrame:
     pages = layout.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("doc")).join(systems(spark).withColumnRenamed("id", "sys"))
     return checks.features(pages, layout.lines(spark, d), disturbed(spark, d), bands(spark), layout.PAGE_WIDTH, layout.PAGE_HEIGHT, systems(spark))
@@ -281,7 +292,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         page_gate, line_assignment, orphan_lines, text_cover_semi, text_cover_anti, repeated_regions, system_agreement, class_counts, region_profile, region_outliers, metric_quantiles, longest_orphan_run, union_areas, gate_findings, gate_summary,
         review_queue, verdict_estimate, reading_order, band_transitions, majority_class, class_confusion, stratified_sample, char_ngrams, event_windows, order_rollup, script_profile,
         page_routes, routing_rates, signal_percentiles, shifted_findings, shared_areas, feature_findings, finding_rates,
-        page_consensus, system_consensus, class_scores, class_routes,
+        page_consensus, system_consensus, class_scores, class_routes, run_agreement, run_verdict,
     )
 }
 
@@ -396,6 +407,12 @@ classes AS (SELECT cls, sum(total) AS regions, count(*) AS pages FROM total GROU
 scores AS (SELECT c.cls, s.sys, regions::BIGINT AS regions, pages, coalesce(found, 0)::BIGINT AS found, coalesce(unbacked, 0)::BIGINT AS unbacked, coalesce(wins, 0) AS wins, round(coalesce(found, 0) / regions::DOUBLE, 4) AS recall,
   coalesce(round(found / nullif(found + unbacked, 0)::DOUBLE, 4), 0) AS precision, coalesce(round(2 * found / nullif(found + unbacked + regions, 0)::DOUBLE, 4), 0) AS f1
   FROM classes c CROSS JOIN (SELECT unnest(range(0, 4)) AS sys) s LEFT JOIN sums u ON u.cls = c.cls AND u.sys = s.sys)"""
+# Of one system no two blocks overlap another's by 0.7, so the greedy match is the best match.
+_AGREE = f"""{WITH}, n AS (SELECT page_id, count(*) FILTER (sys = 0)::INT AS n_left, count(*) FILTER (sys = 1)::INT AS n_right FROM regions GROUP BY page_id HAVING n_left > 0 AND n_right > 0),
+m AS (SELECT l.page_id, count(*)::INT AS matched, count(*) FILTER (l.cls = r.cls)::INT AS same_class FROM regions l JOIN regions r ON l.page_id = r.page_id AND l.sys = 0 AND r.sys = 1 AND {TOUCH}
+  WHERE ({COVER}) / ((l.x2 - l.x1) * (l.y2 - l.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - ({COVER}))::DOUBLE >= 0.7 GROUP BY ALL),
+agree AS (SELECT page_id, n_left, n_right, coalesce(matched, 0) AS matched, coalesce(same_class, 0) AS same_class, round(coalesce(matched, 0) / greatest(n_left, n_right)::DOUBLE, 4) AS box_agreement, round(coalesce(same_class, 0) / greatest(n_left, n_right)::DOUBLE, 4) AS class_agreement
+  FROM n LEFT JOIN m USING (page_id))"""
 _NULL0 = "coalesce({0}, 0) + coalesce({1}, 0)".format
 _T = routing.THRESHOLDS
 _RULES = {
@@ -444,6 +461,8 @@ SELECT sys, page_id, max(n) AS longest FROM (SELECT sys, page_id, run, count(*)
     "class_routes": f"""{_SCORES}, x AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY f1 DESC, sys) AS k, max(f1) OVER (PARTITION BY cls) AS top FROM scores),
 y AS (SELECT cls, max(sys) FILTER (k = 1) AS leader, max(top) AS f1, round(max(top) - max(f1) FILTER (k = 2), 4) AS margin, round(max(wins) FILTER (k = 1) / max(pages)::DOUBLE, 3) AS win_rate, count(*) FILTER (f1 >= round(top - 0.02, 6)) AS n_equal, max(regions) AS regions FROM x GROUP BY cls)
 SELECT cls, CASE WHEN regions < 8 THEN 'insufficient evidence' WHEN n_equal > 1 AND f1 >= 0.97 THEN 'tied at ceiling' WHEN n_equal > 1 THEN 'no separable leader' WHEN win_rate < 0.5 THEN 'unstable leader' ELSE 'route' END AS decision, leader, f1, margin, win_rate, n_equal FROM y""",
+    "run_agreement": f"{_AGREE} SELECT * FROM agree",
+    "run_verdict": f"{_AGREE} SELECT count(*) AS n_pages, round(avg(box_agreement), 4) AS mean_agreement, CASE WHEN count(*) = 0 THEN 'no_result' WHEN avg(box_agreement) >= 0.85 THEN 'ok' ELSE 'MISMATCH' END AS verdict FROM agree",
     "shared_areas": f"{WITH}, {_SHIFTED}, {_AREAS.format('more')}",
     "gate_findings": f"{_FINDINGS} SELECT * FROM found",
     "page_gate": f"{_GATE} SELECT * FROM gated",

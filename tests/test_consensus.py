@@ -61,3 +61,27 @@ def test_merge_boxes(spark):
             want.append((min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])))
         assert sorted(found) == sorted(want)
     assert consensus.merge_boxes(df.where("page_id < 0"), ["page_id"]).count() == 0
+
+
+def test_one_to_one(spark):
+    schema = f"sys long, page_id long, blk long, {BOX}, cls string"
+    given = [(s, p, k, x, y, x + 20, y + 20, "text" if k % 2 else "table") for s, p, k, x, y, *_ in pages(30, 5, 9)]
+    left, right = ([r for r in given if r[0] == s] for s in (0, 1))
+    every = spark.createDataFrame([(p,) for p in range(31)], "page_id long")
+    got = {r["page_id"]: r for r in consensus.one_to_one(every, spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), near=0.3).collect()}
+    assert len(got) == 31 and got[30]["box_agreement"] == 0
+    some = 0
+    for p in range(31):
+        a, b = (sorted(r for r in side if r[1] == p) for side in (left, right))
+        used, same = set(), 0
+        for r in a:
+            best = max(((iou(r[3:7], q[3:7]), -j) for j, q in enumerate(b) if j not in used), default=(0, 0))
+            if best[0] >= 0.3:
+                used.add(-best[1])
+                same += r[7] == b[-best[1]][7]
+        some += len(used)
+        n = max(len(a), len(b), 1)
+        assert (got[p]["matched"], got[p]["same_class"], got[p]["box_agreement"]) == (len(used), same, round(len(used) / n, 4))
+    assert some > 10
+    nothing = consensus.one_to_one(every.limit(0), spark.createDataFrame([], schema), spark.createDataFrame([], schema))
+    assert consensus.run_verdict(nothing).first()["verdict"] == "no_result"
