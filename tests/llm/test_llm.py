@@ -207,6 +207,23 @@ def test_html_blocks(spark):
     assert got[2] == "Head\n\nOne & two three\n\nFour 2 words" and got[9] == got[10] == "" and got[11] == "plain text < here"
 
 
+def odd_pages(n, rare=0):
+    """Pages with neutral marks: a menu and a lead of its own on all, a notice on two thirds; of these ``rare`` of another layout."""
+    menu = "<div class=x1><div class=q><a>Home</a><a>All our stories</a></div>"
+    notice = "<div class=x2>This site keeps your data for a year</div>"
+    common = [menu + notice * (k % 3 > 0) + f"<div class=x3>Lead{k}</div><div class=x4><p>" + " ".join(f"w{k * 7 + j}" for j in range(40)) + "</p></div></div>" for k in range(n - rare)]
+    other = [f"<section class=y1><div class=y2>Follow this other page at home</div><p>Story{k} of a kind</p></section>" for k in range(rare)]
+    return [f"<html><body>{b}</body></html>" for b in common + other]
+
+
+def test_html_classes_decide(spark):
+    pages = odd_pages(16) + ["<html><body><b>an odd page</b></body></html>"]
+    template = html_text.deduce(html_text.vectors(pages))
+    for k in range(16):
+        assert html_text.extract(pages[k], template) == f"Lead{k}\n\n" + " ".join(f"w{k * 7 + j}" for j in range(40))
+    assert html_text.extract(pages[16], template) == "an odd page"
+
+
 def test_lm_base_score(spark, none):
     rows = {r["doc_id"]: r for r in lm.op10_lm_scoring(spark, SMALL).collect()}
     docs = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), b" "] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
