@@ -212,7 +212,7 @@ def odd_pages(n, rare=0):
     menu = "<div class=x1><div class=q><a>Home</a><a>All our stories</a></div>"
     notice = "<div class=x2>This site keeps your data for a year</div>"
     common = [menu + notice * (k % 3 > 0) + f"<div class=x3>Lead{k}</div><div class=x4><p>" + " ".join(f"w{k * 7 + j}" for j in range(40)) + "</p></div></div>" for k in range(n - rare)]
-    other = [f"<section class=y1><div class=y2>Follow this other page at home</div><p>Story{k} of a kind</p></section>" for k in range(rare)]
+    other = [f"<section class=y1><div class=y2>Follow this other page at home</div><p>Story{k} of{k} its{k} kind</p></section>" for k in range(rare)]
     return [f"<html><body>{b}</body></html>" for b in common + other]
 
 
@@ -224,6 +224,19 @@ def test_html_classes_decide(spark):
     assert html_text.extract(pages[16], template) == "an odd page"
 
 
+def test_html_templates_of_all_pages(spark):
+    import json
+
+    pages = odd_pages(240, rare=12)
+    rows = [(k, f"http://h/{k}", p) for k, p in enumerate(pages + pages[:20])] + [(900 + k, f"http://small{k % 2}/", p) for k, p in enumerate(odd_pages(40))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["host"]: json.loads(r["template"]) for r in html_text.templates(df, 32).collect()}
+    assert got == {h: html_text.deduce(html_text.vectors([p for _, u, p in rows if u.split("/")[2] == h])) for h in ("h", "small0", "small1")}
+    texts = {r["page_id"]: r["text"] for r in html_text.extract_text(df, 32).collect()}
+    assert all(texts[k] == f"Lead{k}\n\n" + " ".join(f"w{k * 7 + j}" for j in range(40)) for k in range(228))
+    assert all(texts[228 + k] == f"Story{k} of{k} its{k} kind" for k in range(12))
+
+
 def test_lm_base_score(spark, none):
     rows = {r["doc_id"]: r for r in lm.op10_lm_scoring(spark, SMALL).collect()}
     docs = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), b" "] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
