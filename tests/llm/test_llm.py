@@ -258,6 +258,27 @@ def test_lm_is_normalised():
     assert np.sum(10 ** net.log10(units, before)) == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_grows_with_the_vocabulary():
+    import numpy as np
+
+    assert lm.UNITS >= 512 and lm.DIM >= 24 and lm.NOISE >= 64
+    frequent = [(b"w%d" % i, 1000 - i) for i in range(1000)]
+    few, many = (lm.Words(frequent, 10**7, distinct, {}) for distinct in (1000, 810_000))
+    assert (few.n_units, many.n_units) == (lm.UNITS, 900 + lm.SHARED) and many.units[898] == 899 - 1 and few.units[898] >= few.own
+    net = lm.LogBilinear(many.unigram())
+    units, rng = np.arange(many.n_units, dtype=np.int32), np.random.default_rng(1)
+    for last in (3, 931, 932):  # 932: before the text
+        before = np.full((lm.CONTEXT, many.n_units), last, dtype=np.int32)
+        assert np.sum(10 ** net.log10(units, before)) == pytest.approx(1, abs=1e-4)
+    at = rng.integers(0, many.n_units, 5000).astype(np.int32)
+    before = lm.contexts(at, np.array([0, 100]), many.n_units)
+    got = net.log10(at, before)
+    vin, vout, bias, maps = net.params
+    for i in (0, 1, 100, 101, 4999):
+        s = sum(vin[before[k, i]] @ maps[k] for k in range(lm.CONTEXT)) @ vout.T + bias
+        assert got[i] == pytest.approx((s[at[i]] - np.log(np.exp(s).sum())) / math.log(10), abs=1e-4)
+
+
 def test_lm_odd_rows(odd, none):
     counted = lm.word_counts(odd)
     words = lm.learn_words(counted)
