@@ -178,6 +178,10 @@ def test_language_held_out(spark, odd, none):
     assert language.learn(none) == {} and language.identify(none, {}).count() == 0
 
 
+def test_language_four_grams():
+    assert sorted(language.word_grams("abc")) == sorted([*"abc", " a", "ab", "bc", "c ", " ab", "abc", "bc ", " abc", "abc "])
+
+
 def test_secret_spans(odd, none):
     rows = secrets.find_secrets(odd, keep=["doc_id", "text"]).collect()
     pattern = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
