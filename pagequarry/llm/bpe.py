@@ -129,7 +129,7 @@ class Vocabulary:
 
 def blocks(batch: pd.DataFrame, column: str, chars: int = BLOCK_CHARS) -> Iterator[pd.DataFrame]:
     """A batch in runs of rows with about ``chars`` characters each; one long text is a run of its own."""
-    size = (batch[column].str.len().fillna(0).cumsum() // chars).to_numpy()
+    size = np.cumsum([len(t) if isinstance(t, str) else 0 for t in batch[column]]) // chars
     for at in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(size)) + 1):
         if len(at):
             yield batch.iloc[at]

@@ -194,14 +194,75 @@ def test_secret_spans(odd, none):
     assert clean[5].startswith("the [secret]\" and [secret] here") and clean[4] == LONG and clean[1] is None
 
 
-def test_automaton_learns_a_format():
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def key(rng, length, of=LETTERS + LETTERS.upper() + DIGITS):
+    return "".join(rng.choice(of) for _ in range(length))
+
+
+@pytest.fixture(scope="module")
+def formats(spark):
+    return secrets.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_unseen_credentials_are_caught(formats):
     import random
 
     rng = random.Random(5)
-    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
-    words = ["-".join(rng.choice(("release", "candidate", "notes", "2024", "draft")) for _ in range(4)) for _ in range(60)]
-    f = secrets.Formats({"assign": keys[:50], "other": words[:50]})
-    assert all(map(f.is_secret, keys[50:])) and not any(map(f.is_secret, words[50:]))
+    shapes = {
+        "hex": lambda: key(rng, 40, "0123456789abcdef"), "prefixed": lambda: "ghp_" + key(rng, 36), "live": lambda: "sk_live_" + key(rng, 24), "web": lambda: "eyJhbGciOiJIUzI1NiJ9." + key(rng, 40) + "." + key(rng, 43),
+        "short": lambda: key(rng, 12), "lower": lambda: key(rng, 16, LETTERS + DIGITS), "letters": lambda: key(rng, 24, LETTERS), "upper": lambda: key(rng, 32, "0123456789ABCDEF"),
+    }
+    for name, shape in shapes.items():
+        found = [formats.spans(f"we put {k} here") == [(7, 7 + len(k), "hex" if name == "hex" else "format")] for k in (shape() for _ in range(200))]
+        assert sum(found) >= 0.9 * len(found)
+
+
+def test_ordinary_runs_are_left_alone(spark, formats):
+    ordinary = ["characteristically", "INTERNATIONALISATION", "release-candidate-notes-2024", "v1.2.3-beta4", "97.51.17.173", "build-20240101-rc12", "2024-01-01T00", "getElementById", "1234567890", "20240101120000", "one_two_three", "someone@mail7.example.com"]
+    assert [w for w in ordinary if formats.spans(w)] == []
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert sum(k == "format" for t in texts for _, _, k in formats.spans(t)) <= 2
+
+
+def test_spans_of_method(spark, formats):
+    import random
+
+    rng = random.Random(7)
+    long, short = key(rng, 20), "xK9" + key(rng, 7)
+    joined = "0123456789abcdef0" + key(rng, 20, LETTERS.upper() + "ghijk")
+    docs = spark.createDataFrame([(1, f"see {long}. and password: {short}, id {joined};"), (2, None), (3, "no secret in these ordinary words")], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs, formats=formats).collect()}
+    text = docs.first()["text"]
+    at = {v: text.index(v) for v in (long, short, joined)}
+    want = sorted([(at[long], "format", at[long] + 20), (at[joined], "hex", at[joined] + 17), (at[joined], "format", at[joined] + len(joined))] + [(at[short], "format", at[short] + 10)] * formats.is_secret(short), key=lambda x: (x[0], secrets.KINDS.index(x[1])))
+    assert got == {1: ",".join(f"{k}:{s}:{e}" for s, k, e in want), 2: "", 3: ""}
+    assert secrets.redact(text, formats.spans(text)).count("[secret]") == 2 + formats.is_secret(short)
+    # without labelled examples nothing is inferred, and base spans alone remain
+    unlabelled = spark.createDataFrame([(1, f"see {long} and more words")], "doc_id long, text string")
+    assert secrets.find_secrets(unlabelled).first()["spans"] == ""
+
+
+def test_examples_are_the_least_by_hash(spark):
+    import random
+
+    rng = random.Random(9)
+    values = [key(rng, 20) for _ in range(300)]
+    docs = spark.createDataFrame([(i, f"token={v} and words{'' if i % 2 else ' more'}") for i, v in enumerate(values + values[:50])], "doc_id long, text string").repartition(7)
+    drawn = secrets.examples(docs, labelled=40, ordinary=2).collect()
+    import xxhash
+
+    by_hash = lambda vs, n: set(sorted(vs, key=lambda v: (xxhash.xxh3_64_intdigest(v.encode()) >> 1, v))[:n])
+    assert {r["value"] for r in drawn if r["kind"] == "assign"} == by_hash(set(values), 40)
+    assert {r["value"] for r in drawn if r["kind"] == "other"} <= {"and", "words", "more"} and sum(r["kind"] == "other" for r in drawn) == 2
+
+
+def test_merging_keeps_the_counts():
+    a = secrets.Automaton(["ab", "aab", "ab", "b", "aaab"] * 40)
+    assert sum(k.get(secrets.END, 0) for k in a.count) == 200 and all(t == sum(k.values()) for t, k in zip(a.total, a.count, strict=True))
+    p = lambda w: math.exp(a.ln_likelihood(w))
+    assert p("ab") > 100 * p("ba") and 0 < sum(p(x + y) for x in secrets.ALPHABET for y in secrets.ALPHABET) < 1
 
 
 def test_html_blocks(spark):
