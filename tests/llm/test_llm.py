@@ -281,14 +281,80 @@ def odd_pages(n, rare=0):
     return [f"<html><body>{b}</body></html>" for b in common + other]
 
 
+def body_of(k):
+    return f"Lead{k}\n\n" + " ".join(f"w{k * 7 + j}" for j in range(40))
+
+
 def test_html_classes_decide(spark):
     pages = odd_pages(16) + ["<html><body><b>an odd page</b></body></html>"]
-    template = html_text.deduce(html_text.vectors(pages))
+    template = html_text.host_template(pages)
     for k in range(16):
-        assert html_text.extract(pages[k], template) == f"Lead{k}\n\n" + " ".join(f"w{k * 7 + j}" for j in range(40))
+        assert html_text.extract(pages[k], template, names=False) == body_of(k)
     assert html_text.extract(pages[16], template) == "an odd page"
 
 
+def test_html_template_alone_on_neutral_pages():
+    """No tag or mark says what a part is: the menu has more words than the article and varies, adverts come from a few."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    adverts = [" ".join(word() for _ in range(6)) for _ in range(4)]
+    pages, want = [], []
+    for k in range(24):
+        menu = "".join(f"<div class=c3><a href=/{word()}>{word()} {word()} {word()}</a></div>" for _ in range(12))
+        parts = [" ".join(word() for _ in range(rng.choice((3, 8)))) for _ in range(3)]
+        pages.append(f"<html><body><div class=c1><div class=c2>{menu}</div><div class=c4><h2>{parts[0]}</h2><div class=c5><p>{parts[1]}</p><p>see{k} <a href=x>{word()}</a> {parts[2]}</p></div></div><div class=c6>{adverts[k % 4]}</div><div class=c7>All rights are kept {k}</div></div></body></html>")
+        link = re.search(r"<a href=x>(\w+)</a>", pages[-1])[1]
+        want.append(f"{parts[0]}\n\n{parts[1]}\n\nsee{k} {link} {parts[2]}")
+    template = html_text.host_template(pages)
+    got = [html_text.extract(p, template, names=False) for p in pages]
+    assert [g.removesuffix(f"\n\n{k}") for k, g in enumerate(got)] == want
+    assert sum(g != html_text.extract(p, None, names=False) for g, p in zip(got, pages, strict=True)) == len(pages)
+
+
+def test_html_template_alone_on_the_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    both = [{r["page_id"]: r["text"] for r in html_text.extract_text(pages, names=n).collect()} for n in (True, False)]
+    own = {r["page_id"]: html_text.extract(r["html"], None, names=False) for r in pages.collect()}
+    hosts = {r["host"] for r in pages.select(html_text.host_of(pages["url"]).alias("host"), "html").distinct().groupBy("host").count().where(f"count >= {html_text.SURE_PAGES}").collect()}
+    deep = [r["page_id"] for r in pages.select("page_id", html_text.host_of(pages["url"]).alias("host")).collect() if r["host"] in hosts]
+    assert sum(both[0][k] == both[1][k] for k in deep) >= 0.5 * len(deep) > 0
+    assert sum(both[1][k] != own[k] for k in deep) >= 0.95 * len(deep)
+
+
+def test_html_main_part_beats_names():
+    """A mark around everything, and one on the article itself, would set it aside by name."""
+    pages = [f"<html><body><div class='layout with-sidebar'><div class=menu><a href=/{k}>Go to {k}</a></div><div class='share post'>" + "".join(f"<p>t{k} p{k} r{k * j}</p>" for j in range(9)) + f"<div class=comments>reply{k} by{k} someone{k}</div></div></div></body></html>" for k in range(12)]
+    assert html_text.extract(pages[3], html_text.host_template(pages)) == "\n\n".join(f"t3 p3 r{3 * j}" for j in range(9))
+    assert html_text.extract(pages[3], None) == ""
+
+
+def test_html_copies_keep_their_text():
+    """Pages that share one article are no template of it."""
+    same = "<p>" + " ".join(f"s{j}" for j in range(50)) + "</p>"
+    pages = [f"<html><body><article><i>{k}</i>{same if k < 14 else '<p>own ' + str(k) + ' ' + ' '.join(f'o{k}x{j}' for j in range(50)) + '</p>'}</article></body></html>" for k in range(20)]
+    template = html_text.host_template(pages)
+    assert all(" ".join(f"s{j}" for j in range(50)) in html_text.extract(p, template) for p in pages[:14])
+
+
+def test_html_vectors_by_brute_force():
+    pages = odd_pages(30, rare=9)
+    read = html_text.page_keys(pages)
+    got = html_text.vectors(read)
+    words, having = {}, Counter()
+    for elements, texts in read.values():
+        having.update(elements.keys())
+        for path, nodes in texts.items():
+            for ws in nodes:
+                padded = ["", *ws, ""]
+                for k in range(len(ws)):
+                    words.setdefault((path, tuple(padded[k : k + 3])), []).append(id(texts))
+    often = {t: len(set(at)) for t, at in words.items() if having[t[0]] >= html_text.SURE_PAGES and len(set(at)) >= html_text.LEAST_SUPPORT * having[t[0]]}
+    assert {t: n for t, (n, _) in got.items() if t[1]} == often
+    assert all(n == having[t[0]] for t, (n, _) in got.items() if not t[1])
+
+
 def test_html_templates_of_all_pages(spark):
     import json
 
@@ -296,12 +362,22 @@ def test_html_templates_of_all_pages(spark):
     rows = [(k, f"http://h/{k}", p) for k, p in enumerate(pages + pages[:20])] + [(900 + k, f"http://small{k % 2}/", p) for k, p in enumerate(odd_pages(40))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["host"]: json.loads(r["template"]) for r in html_text.templates(df, 32).collect()}
-    assert got == {h: html_text.deduce(html_text.vectors([p for _, u, p in rows if u.split("/")[2] == h])) for h in ("h", "small0", "small1")}
+    assert got == {h: html_text.host_template([p for _, u, p in rows if u.split("/")[2] == h]) for h in ("h", "small0", "small1")}
     texts = {r["page_id"]: r["text"] for r in html_text.extract_text(df, 32).collect()}
-    assert all(texts[k] == f"Lead{k}\n\n" + " ".join(f"w{k * 7 + j}" for j in range(40)) for k in range(228))
+    assert all(texts[k] == body_of(k) for k in range(228))
     assert all(texts[228 + k] == f"Story{k} of{k} its{k} kind" for k in range(12))
 
 
+def test_html_odd_rows(spark):
+    long = "<article><p>" + "many words " * 100_000 + "</p></article>"
+    rows = [(1, None, None, "x"), (1, None, None, "x"), (2, "http://a/", "", "y"), (3, "not an address", "<p>one", None), (None, "http://a/", "<article>two</article>", "z"), (5, "http://a/", long, "z"), (6, "http://a/", "<div><span>a<b>c</span>d</b><", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = [(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html_text.extract_text(df).collect()]
+    want = [(1, None, "", 0), (1, None, "", 0), (2, "http://a/", "", 0), (3, "not an address", "one", 3), (None, "http://a/", "two", 3), (5, "http://a/", long[12:-15].strip(), 1_099_999), (6, "http://a/", "acd<", 4)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert html_text.extract_text(df.limit(0)).count() == 0
+
+
 def test_lm_base_score(spark, none):
     rows = {r["doc_id"]: r for r in lm.op10_lm_scoring(spark, SMALL).collect()}
     docs = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), b" "] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
