@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.common import new_path, stage_table, table
 
-#: An archive file is closed once it holds so many payload bytes, so that one file is a bounded piece of work.
-ROLL_BYTES = 32 << 20
+#: An archive file is closed once it holds so many payload bytes or records, so that one file is a bounded piece of work.
+ROLL_BYTES, ROLL_RECORDS = 32 << 20, 20_000
+#: Tasks that normalise files, at most; fewer files have a task each.
+TASKS = 100_000
 #: Records with a payload of at least so many bytes may become revisits.
 MIN_REVISIT_BYTES = 0
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -126,7 +128,7 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def write_monolithic(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def write_monolithic(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, roll_records: int = ROLL_RECORDS) -> DataFrame:
     """Writes each partition of ``pages`` (page_id, url, html) as monolithic gzip archives of ``response`` records.
 
     Returns a row a record: file, seq (its place), page_id, payload_bytes, payload_digest. A null html is an empty
@@ -156,7 +158,7 @@ def write_monolithic(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES
                 out.write(z.compress(record("response", page_id, url, payload, digest, len(payload))))
                 rows.append((name, len(rows), page_id, len(payload), digest))
                 size += len(payload)
-                if size >= roll_bytes:
+                if size >= roll_bytes or len(rows) >= roll_records:
                     yield close()
                     out = None
         if out is not None:
@@ -186,8 +188,10 @@ def normalise(files: DataFrame, revisits: DataFrame, source: str, target: str) -
     """Rewrites each monolithic file record by record and writes its sidecar index.
 
     ``files`` (file) and ``revisits`` (of, seq, refers_to) meet by file: a file is bounded by the writer's roll
-    size, so a group is too. Returns (file, index, n_records).
+    sizes, so a group is too. Their rows are few and small but each stands for a file, so they are dealt to as many tasks
+    as there are files. Returns (file, index, n_records).
     """
+    tasks = max(1, min(TASKS, files.count()))
 
     def rewrite(key, _: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
         system, root = filesystem(source)
@@ -213,7 +217,7 @@ def normalise(files: DataFrame, revisits: DataFrame, source: str, target: str) -
             side.write("".join(json.dumps(x) + "\n" for x in index).encode())
         return pd.DataFrame({"file": [name], "index": [f"{name}.idx.jsonl"], "n_records": [len(index)]})
 
-    return files.groupBy("file").cogroup(revisits.groupBy("of")).applyInPandas(rewrite, "file string, index string, n_records long")
+    return files.repartition(tasks, "file").groupBy("file").cogroup(revisits.repartition(tasks, "of").groupBy("of")).applyInPandas(rewrite, "file string, index string, n_records long")
 
 
 def read_indexed(manifest: DataFrame, folder: str) -> DataFrame:
@@ -250,10 +254,11 @@ def read_indexed(manifest: DataFrame, folder: str) -> DataFrame:
 def archive(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes, deduplicates and normalises ``pages`` under ``folder``; returns the manifest (file, index, n_records).
 
-    An empty table gives an empty manifest. The monolithic files stay beside the normalised ones.
+    An empty table gives an empty manifest. Null and repeated page_ids are records like others. The monolithic files stay
+    beside the normalised ones.
     """
     rows = stage_table(write_monolithic(pages, f"{folder}/mono", roll_bytes), "warc-records")
-    files = rows.select("file").distinct()
+    files = stage_table(rows.select("file").distinct(), "warc-files")
     return stage_table(normalise(files, decide(rows, min_bytes), f"{folder}/mono", f"{folder}/records"), "warc-manifest")
 
 
@@ -261,8 +266,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     manifest = archive(table(spark, sf_dir, "pages"), folder)
     # a file is a task's work: deal the manifest's few rows out
-    dealt = manifest.repartition(max(1, min(spark.sparkContext.defaultParallelism * 8, manifest.count())), "file")
-    return read_indexed(dealt, f"{folder}/records")
+    dealt = manifest.repartition(max(1, min(TASKS, manifest.count())), "file")
+    return read_indexed(dealt, f"{folder}/records").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP1_SQL = """

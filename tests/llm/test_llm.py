@@ -89,6 +89,24 @@ def test_warc_round_trip(spark):
     assert warc.read_indexed(warc.archive(pages.limit(0), empty), f"{empty}/records").count() == 0
 
 
+def test_warc_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SMALL}/pages.parquet'")
+    done = con.execute(warc.OP1_SQL)
+    got = warc.op1_warc(spark, SMALL)
+    assert got.columns == [c[0] for c in done.description]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(done.fetchall(), key=str)
+
+
+def test_warc_rolls_by_records(spark):
+    pages = spark.createDataFrame([(k, None, None, k, "x") for k in range(25)], "page_id long, url string, html string, file long, digest string").coalesce(1)
+    folder = new_path(spark, "test-warc")
+    manifest = warc.archive(pages, folder)
+    assert manifest.count() == 1
+    rows = warc.write_monolithic(pages, f"{folder}/many", roll_records=10)
+    assert sorted(r["count"] for r in rows.groupBy("file").count().collect()) == [5, 10, 10]
+
+
 def sets_of(text, size):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
