@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (tests, a single machine), a folder of this machine becomes the checkpoint folder.
+    Where a session on one machine names none (tests), a folder of this machine becomes the checkpoint folder; on a
+    cluster that is an error, since the others could not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
@@ -31,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = context._jsc.sc().getCheckpointDir()
         named = found.get() if found.isDefined() else None
         if not named:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="pagequarry-"))
             named = context._jsc.sc().getCheckpointDir().get()
     return named if "://" in named or named.startswith("file:") else "file://" + os.path.abspath(named)
@@ -58,9 +62,31 @@ def shuffles_go(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(SHUFFLES_GO, before)
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: work done once, and no lineage behind it to lose."""
+#: Paths of stage tables by the blocks of ``scratch`` that are open, outermost first.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Stage tables written inside are deleted when the block ends, but for those written with ``keep``."""
+    token = _written.set((*_written.get(), []))
+    try:
+        yield
+    finally:
+        for path in _written.get()[-1]:
+            drop_path(spark, path)
+        _written.reset(token)
+
+
+def stage_table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: work done once, and no lineage behind it to lose.
+
+    Inside ``scratch`` the table goes when the block ends; with ``keep`` when the block around it does, if there is one.
+    """
     path = new_path(df.sparkSession, name)
+    held = _written.get()[: -1 if keep else None]
+    if held:
+        held[-1].append(path)
     with shuffles_go(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import lower_ascii, stage_table, table
+from pagequarry.llm.common import lower_ascii, scratch, stage_table, table
 
 WINDOW = 10
 #: What parts words: ASCII without digits and lower-case letters (after A-Z are lowered).

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm.bpe import blocks
-from pagequarry.llm.common import shuffles_go, stage_table, table
+from pagequarry.llm.common import scratch, shuffles_go, stage_table, table
 
 #: Bits of the filter that tells which regions have several classes. Its size is fixed; a fuller filter lets more through.
 FILTER_BITS = 1 << 26
@@ -189,8 +189,8 @@ def signed(c: int) -> int:
     return c - (c >> 63 << 64)
 
 
-def measured(docs: DataFrame, doc: str, text: str, size: int, percent: int, bitmap: np.ndarray) -> DataFrame:
-    """(id, cls, n, sigs, sketch) of every row, written once; the arrays only where a region may be shared."""
+def measured(docs: DataFrame, doc: str, text: str, size: int, percent: int, bitmap: np.ndarray, order: str) -> DataFrame:
+    """(id, place, cls, n, sigs, sketch) of every row, written once; the arrays only where a region may be shared."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,9 +211,10 @@ def measured(docs: DataFrame, doc: str, text: str, size: int, percent: int, bitm
                     at = g & U(FILTER_BITS - 1)
                     g = g[(bits[at >> U(3)] >> (U(7) - (at & U(7))).astype(np.uint8)) & 1 == 1]
                 rows.append((signed(c), len(s), g.view(np.int64) if len(g) else None, sketch(s).view(np.int64) if len(g) else None))
-            yield pd.DataFrame({"id": block["id"], "cls": pd.array([r[0] for r in rows], dtype="Int64"), "n": [r[1] for r in rows], "sigs": [r[2] for r in rows], "sketch": [r[3] for r in rows]})
+            yield pd.DataFrame({"id": block["id"], "place": block["place"], "cls": pd.array([r[0] for r in rows], dtype="Int64"), "n": [r[1] for r in rows], "sigs": [r[2] for r in rows], "sketch": [r[3] for r in rows]})
 
-    return stage_table(docs.select(F.col(doc).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInPandas(run, "id long, cls long, n long, sigs array<long>, sketch array<long>"), "jaccard-sets")
+    rows = docs.select(F.col(doc).cast("long").alias("id"), F.col(order).cast("long").alias("place"), F.col(text).cast("string").alias("t"))
+    return stage_table(rows.mapInPandas(run, "id long, place long, cls long, n long, sigs array<long>, sketch array<long>"), "jaccard-sets", keep=True)
 
 
 def fetch(docs: DataFrame, doc: str, text: str, size: int, wanted: DataFrame, found: DataFrame, name: str) -> DataFrame:
@@ -426,23 +427,30 @@ def links(docs: DataFrame, doc: str, text: str, size: int, found: DataFrame, per
     return stars.unionByName(stage_table(more.distinct(), f"{name}-more"))
 
 
-def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc, n_shingles and component_id, the least doc reachable by links of similarity ``percent`` and more.
+def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
+    """Per row: doc, n_shingles, component_id and, if ``order`` is given, first.
 
-    Null, empty and wordless texts have no shingles and stand alone, also among themselves. Equal sets link with each
-    other. A row without a doc keeps its n_shingles, links with nothing and has a null component. Rows that share a doc
-    are one vertex if their sets are equal, else each its own. An empty table gives
-    an empty one. Only ``doc`` and ``text`` are read. Sets are told apart by 64-bit hashes of shingles and of sets.
+    component_id is the least doc reachable by links of similarity ``percent`` and more; ``first`` says whether the row is
+    its component's least by the column ``order`` (nulls last), then by doc. Null, empty and wordless texts have no
+    shingles and stand alone, also among themselves. Equal sets link with each other. A row without a doc keeps its
+    n_shingles, links with nothing and has a null component. Rows that share a doc are one vertex if their sets are equal,
+    else each its own. An empty table gives an empty one. Only ``doc``, ``text`` and ``order`` are read. Sets are told apart
+    by 64-bit hashes of shingles and of sets.
     """
-    found = measured(docs, doc, text, size, percent, shared_filter(regions_of(docs, text, size, percent)))
-    labels = components(links(docs, doc, text, size, found, percent))
-    least = found.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least"))
-    rooted = stage_table(least.join(labels.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "jaccard-rooted")
-    least_of = stage_table(rooted.groupBy("root").agg(F.min("least").alias("component")), "jaccard-least")
-    of_class = stage_table(rooted.join(least_of, "root").select("cls", "component"), "jaccard-classes")
+    spark = docs.sparkSession
+    with scratch(spark):
+        found = measured(docs, doc, text, size, percent, shared_filter(regions_of(docs, text, size, percent)), order or doc)
+        labels = components(links(docs, doc, text, size, found, percent))
+        place = F.struct(F.col("place").isNull().alias("none"), "place", "id")
+        least = found.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least"), F.min(place).alias("first"))
+        rooted = stage_table(least.join(labels.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "jaccard-rooted")
+        least_of = stage_table(rooted.groupBy("root").agg(F.min("least").alias("component"), F.min("first").alias("first")), "jaccard-least")
+        of_class = stage_table(rooted.drop("first").join(least_of, "root").select("cls", "component", F.col("first.id").alias("first")), "jaccard-classes", keep=True)
     rows = found.select("id", "cls", "n")
-    joined = rows.where("cls IS NOT NULL").join(of_class, "cls").select("id", "n", "component").unionByName(rows.where("cls IS NULL").select("id", "n", F.col("id").alias("component")))
-    return joined.select(F.col("id").alias(doc), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    alone = rows.where("cls IS NULL").select("id", "n", F.col("id").alias("component"), F.lit(True).alias("first"))
+    joined = rows.where("cls IS NOT NULL").join(of_class, "cls").select("id", "n", "component", (F.col("id") == F.col("first")).alias("first")).unionByName(alone)
+    out = joined.select(F.col("id").alias(doc), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "first")
+    return out if order else out.drop("first")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

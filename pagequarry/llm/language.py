@@ -30,14 +30,27 @@ SAMPLE_PER_LANGUAGE = 1500
 #: Words whose n-grams a worker remembers before it starts anew.
 KNOWN_WORDS = 200_000
 
-LETTER = re.compile(r"[^\W\d_]")
-#: A word is a run of letters; all else parts words.
+#: A word is a run of letters; all else parts words. The pattern leaves signs of numbers such as fractions in words, which
+#: are parted again.
 SPLIT = re.compile(r"[\W\d_]+")
 
 
+def words_of(text: str) -> Counter:
+    """Lower-case words of a text, by number."""
+    words = Counter(SPLIT.split(text.lower()))
+    words.pop("", None)
+    for w in [w for w in words if not w.isalpha()]:
+        n = words.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            words[part] += n
+    return words
+
+
 def word_grams(word: str) -> list[str]:
     padded = f" {word} "
-    out = [g for n in LENGTHS for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g != " "]
+    out = [*word]
+    for n in LENGTHS[1:]:
+        out += [padded[i : i + n] for i in range(len(padded) - n + 1)]
     return out
 
 
@@ -54,6 +67,19 @@ def ranked(grams: dict[str, int], size: int = PROFILE) -> list[str]:
     return [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:size]]
 
 
+class Numbers(dict):
+    """N-grams by number; a new one takes the next."""
+
+    def __init__(self):
+        super().__init__()
+        self.grams: list[str] = []
+
+    def __missing__(self, gram: str) -> int:
+        i = self[gram] = len(self.grams)
+        self.grams.append(gram)
+        return i
+
+
 class Scorer:
     """Out-of-place distances of texts to all profiles, in numpy.
 
@@ -63,47 +89,38 @@ class Scorer:
 
     def __init__(self, profiles: dict[str, list[str]], size: int = PROFILE):
         self.langs, self.size = sorted(profiles), size
-        self.ids: dict[str, int] = {}
-        self.grams: list[str] = []
+        self.ids = Numbers()
         self.known: dict[str, np.ndarray] = {}
         for lang in self.langs:
             for g in profiles[lang]:
-                self.number(g)
-        self.n_profile = len(self.grams)
+                self.ids[g]
+        self.n_profile = len(self.ids)
         self.ranks = np.full((len(self.langs), self.n_profile), -1, dtype=np.int32)
         for k, lang in enumerate(self.langs):
             for r, g in enumerate(profiles[lang]):
                 self.ranks[k, self.ids[g]] = r
 
-    def number(self, gram: str) -> int:
-        i = self.ids.get(gram)
-        if i is None:
-            i = self.ids[gram] = len(self.grams)
-            self.grams.append(gram)
-        return i
-
     def word(self, word: str) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            found = self.known[word] = np.array([self.number(g) for g in word_grams(word)], dtype=np.int32)
+        grams = word_grams(word)
+        found = self.known[word] = np.fromiter(map(self.ids.__getitem__, grams), dtype=np.int32, count=len(grams))
         return found
 
     def forget(self) -> None:
         """Lets go of what texts added, so that memory stays bounded."""
-        for g in self.grams[self.n_profile :]:
+        for g in self.ids.grams[self.n_profile :]:
             del self.ids[g]
-        del self.grams[self.n_profile :]
+        del self.ids.grams[self.n_profile :]
         self.known.clear()
 
     def score(self, text: str | None) -> tuple[str, float]:
         """(language, confidence): 0 where the two nearest profiles are equally far, 1 where only one is near."""
-        if not text or not self.langs or LETTER.search(text) is None:
+        words = words_of(text) if text and self.langs else None
+        if not words:
             return "und", 0.0
         if len(self.known) > KNOWN_WORDS:
             self.forget()
-        words = Counter(SPLIT.split(text.lower()))
-        words.pop("", None)
-        parts = [self.word(w) for w in words]
+        known = self.known.get
+        parts = [p if (p := known(w)) is not None else self.word(w) for w in words]
         weights = np.repeat(np.fromiter(words.values(), dtype=np.float64, count=len(words)), [len(p) for p in parts])
         every = np.bincount(np.concatenate(parts), weights=weights, minlength=self.n_profile)
         at = np.flatnonzero(every)
@@ -113,8 +130,8 @@ class Scorer:
             border = np.partition(counts, len(counts) - self.size)[len(counts) - self.size]
             keep = counts >= border
             at, counts = at[keep], counts[keep]
-        names = np.array([self.grams[i] for i in at])
-        order = np.lexsort((names, -counts))[: self.size]
+        names = self.ids.grams
+        order = np.lexsort((np.array([names[i] for i in at]), -counts))[: self.size]
         at, own = at[order], np.arange(min(len(order), self.size))
         inside = at < self.n_profile
         theirs = np.where(inside, self.ranks[:, np.where(inside, at, 0)], -1)
@@ -142,8 +159,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
             for name, part in batch.groupby("l"):
                 words: Counter = Counter()
                 for t in part["t"]:
-                    words.update(SPLIT.split(t.lower()))
-                words.pop("", None)
+                    words.update(words_of(t))
                 found = count_grams(words)
                 yield pd.DataFrame({"l": name, "g": list(found), "n": list(found.values())})
 

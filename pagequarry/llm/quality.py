@@ -90,6 +90,11 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     return m.select(*keep, *[F.col(f"__m.{n}").alias(n) for n in names], F.col("__m.lines.n_lines").alias("n_lines"), F.col("__m.lines.n_dup_lines").alias("n_dup_lines"))
 
 
+def column(rule: str) -> str:
+    """A rule's votes stand in a column of this name, beside whatever the caller keeps."""
+    return f"__vote_{rule}"
+
+
 def vote(bad: str | None, good: str | None) -> Column:
     return F.when(F.expr(bad or "false"), F.lit(-1)).when(F.expr(good or "false"), F.lit(1)).otherwise(F.lit(0)).cast("byte")
 
@@ -101,7 +106,7 @@ def posterior(model: dict, rules: dict) -> Column:
         p = {(v, y): model[n][v, y] if has else 0.0 for v, has in (("bad", bad), ("good", good)) for y in ("good", "bad")}
         ln = lambda x, y: F.lit(math.log(x / y) if x and y else 0.0)
         silent = ln(1 - p["bad", "good"] - p["good", "good"], 1 - p["bad", "bad"] - p["good", "bad"])
-        odds = odds + F.when(F.col(n) == -1, ln(p["bad", "good"], p["bad", "bad"])).when(F.col(n) == 1, ln(p["good", "good"], p["good", "bad"])).otherwise(silent)
+        odds = odds + F.when(F.col(column(n)) == -1, ln(p["bad", "good"], p["bad", "bad"])).when(F.col(column(n)) == 1, ln(p["good", "good"], p["good", "bad"])).otherwise(silent)
     return 1 / (1 + F.exp(-odds))
 
 
@@ -111,14 +116,14 @@ def estimate(votes: DataFrame, rules: dict, iterations: int = ITERATIONS) -> dic
     Expectation maximisation over at most 3**len(rules) vote patterns, to which the votes are reduced first; estimates
     stay within BOUNDS. With no rows the first guess is returned.
     """
-    patterns = stage_table(votes.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
+    patterns = stage_table(votes.groupBy(*map(column, rules)).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
     model: dict = {"good": FIRST_GOOD} | {n: dict(FIRST) for n in rules}
     for _ in range(iterations):
         p = patterns.withColumn("p", posterior(model, rules))
         sums = [F.sum("n").alias("all"), F.sum(F.col("n") * F.col("p")).alias("good")]
         for n in rules:
             for v, at in (("bad", -1), ("good", 1)):
-                here = F.when(F.col(n) == at, F.col("n")).otherwise(0)
+                here = F.when(F.col(column(n)) == at, F.col("n")).otherwise(0)
                 sums += [F.sum(here * F.col("p")).alias(f"{n}_{v}_good"), F.sum(here * (1 - F.col("p"))).alias(f"{n}_{v}_bad")]
         s = p.agg(*sums).first()
         if not s["all"]:
@@ -140,10 +145,10 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, ru
     keep = ["doc_id"] if keep is None else keep
     measured = measure(docs, text, keep)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    voted = stage_table(measured.select("*", failed.alias("base_failed"), *[vote(*rules[n]).alias(n) for n in rules]), "quality-votes")
+    voted = stage_table(measured.select("*", failed.alias("base_failed"), *[vote(*rules[n]).alias(column(n)) for n in rules]), "quality-votes")
     model = estimate(voted, rules)
     out = voted.withColumn("quality", posterior(model, rules))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT)).drop(*rules)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT)).drop(*map(column, rules))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,120 @@ def test_language_held_out(spark, odd, none):
     assert language.learn(none) == {} and language.identify(none, {}).count() == 0
 
 
+def test_language_by_brute_force(docs):
+    """Distances by the definition: each n-gram of the text's own profile adds how far its rank is from the language's."""
+    rows = [(r["text"], r["lang"]) for r in docs.collect() if r["text"] and r["lang"]]
+    grams = {}
+    for t, name in rows[::2]:
+        for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+            padded = f" {w} "
+            grams.setdefault(name, Counter()).update(g for n in (1, 2, 3, 4) for g in (padded[k : k + n] for k in range(len(padded) - n + 1)) if g != " ")
+    rank = lambda c: sorted(c, key=lambda g: (-c[g], g))[: language.PROFILE]
+    profiles = {name: rank(c) for name, c in grams.items()}
+    scorer = language.Scorer(profiles)
+    for t in [t for t, _ in rows] + ["a", "\u00bd", "x\u00bdy", "\u00e9\u00e9 ab"]:
+        own = Counter()
+        for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+            padded = f" {w} "
+            own.update(g for n in (1, 2, 3, 4) for g in (padded[k : k + n] for k in range(len(padded) - n + 1)) if g != " ")
+        if not own:
+            assert scorer.score(t) == ("und", 0.0)
+            continue
+        mine = rank(own)
+        far = {name: sum(abs(p.index(g) - k) if g in p else language.PROFILE for k, g in enumerate(mine)) / (language.PROFILE * len(mine)) for name, p in profiles.items()}
+        first, second = sorted(far.values())[:2]
+        got = scorer.score(t)
+        assert got[0] == min(far, key=lambda n: (far[n], n)) and got[1] == pytest.approx(0 if second <= 0 else min(1, max(0, (second - first) / second)))
+
+
+def test_language_ties_and_signs_of_numbers():
+    same = {"b": ["a", "x"], "a": ["a", "x"]}
+    assert language.Scorer(same).score("a x") == ("a", 0.0)
+    assert language.Scorer(same).score("\u00bd \u00b2 12 _") == ("und", 0.0) and language.words_of("ab\u00bdCd 1 ef") == Counter({"ab": 1, "cd": 1, "ef": 1})
+
+
+def test_quality_beside_clashing_columns(spark):
+    rows = [(1, "some words here and there", 5, "x", "y"), (2, None, 6, "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, length long, symbols string, prose string")
+    got = quality.judge(df, keep=["doc_id", "length", "symbols", "prose"]).collect()
+    assert sorted((r["doc_id"], r["length"], r["symbols"], r["prose"]) for r in got) == [(1, 5, "x", "y"), (2, 6, "x", "y")]
+
+
+def test_quality_estimate_by_brute_force(docs):
+    """The same expectation maximisation, vote by vote, in plain Python."""
+    rows = quality.measure(docs).collect()
+    names = list(quality.RULES)
+    votes = []
+    for r in rows:
+        env = {k: r[k] for k in r.__fields__ if k != "doc_id"}
+        test = lambda rule: bool(rule) and eval(rule.replace("AND", "and").replace("OR", "or"), {}, env)  # noqa: B023, E731, S307
+        votes.append([-1 if test(quality.RULES[n][0]) else 1 if test(quality.RULES[n][1]) else 0 for n in names])
+    model = {"good": quality.FIRST_GOOD} | {n: dict(quality.FIRST) for n in names}
+
+    def good(v):
+        odds = math.log(model["good"] / (1 - model["good"]))
+        for n, x in zip(names, v, strict=True):
+            has = {"bad": quality.RULES[n][0], "good": quality.RULES[n][1]}
+            p = {(k, y): model[n][k, y] if has[k] else 0.0 for k in has for y in ("good", "bad")}
+            a, b = {-1: (p["bad", "good"], p["bad", "bad"]), 1: (p["good", "good"], p["good", "bad"])}.get(x, (1 - p["bad", "good"] - p["good", "good"], 1 - p["bad", "bad"] - p["good", "bad"]))
+            odds += math.log(a / b) if a and b else 0.0
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(quality.ITERATIONS):
+        ps = [good(v) for v in votes]
+        of = {"good": sum(ps), "bad": len(ps) - sum(ps)}
+        new = {"good": min(0.995, max(0.05, of["good"] / len(ps)))}
+        for i, n in enumerate(names):
+            new[n] = {}
+            for (k, y), (lo, hi) in quality.BOUNDS.items():
+                at = {"bad": -1, "good": 1}[k]
+                s = sum((p if y == "good" else 1 - p) for p, v in zip(ps, votes, strict=True) if v[i] == at)
+                new[n][k, y] = min(hi, max(lo, (s + quality.FIRST[k, y]) / (of[y] + 1)))
+        model = new
+    got = {r["doc_id"]: (r["quality"], r["kept"]) for r in quality.judge(docs).collect()}
+    for r, v in zip(rows, votes, strict=True):
+        failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+        assert got[r["doc_id"]][0] == pytest.approx(good(v), abs=1e-6)
+        assert got[r["doc_id"]][1] == (not failed and good(v) >= quality.KEEP_AT)
+
+
+def test_jaccard_regions_above_a_cell():
+    """The cut by pivots with windows, on blocks with more sets than a cell, against all pairs."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(6):
+        sets = []
+        for _ in range(20):
+            base = rng.sample(range(2000), rng.choice((10, 40)))
+            for _ in range(rng.choice((3, 12))):
+                s = set(base)
+                for _ in range(rng.randrange(0, 3)):
+                    s.discard(rng.choice(base))
+                    s.add(rng.randrange(2000))
+                sets.append(np.array(sorted(s), dtype=np.int64))
+        assert len(sets) > 2 * jaccard.CELL
+        found = jaccard.Region(sets, list(range(len(sets))), 80).join()
+        root = list(range(len(sets)))
+
+        def top(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        def united(pairs, root=root):
+            root[:] = range(len(root))
+            for a, b in pairs:
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+            return [top(i) for i in range(len(root))]
+
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        assert all(p in pairs or (p[1], p[0]) in pairs for p in found) and united(found) == united(pairs)
+
+
 def test_language_four_grams():
     assert sorted(language.word_grams("abc")) == sorted([*"abc", " a", "ab", "bc", "c ", " ab", "abc", "bc ", " abc", "abc "])
 
