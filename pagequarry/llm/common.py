@@ -78,15 +78,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _written.reset(token)
 
 
-def stage_table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stage_table(df: DataFrame, name: str, path: str | None = None, keep: bool = False) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: work done once, and no lineage behind it to lose.
 
     Inside ``scratch`` the table goes when the block ends; with ``keep`` when the block around it does, if there is one.
+    A table at a given ``path`` is the caller's to delete.
     """
-    path = new_path(df.sparkSession, name)
     held = _written.get()[: -1 if keep else None]
-    if held:
-        held[-1].append(path)
+    if path is None:
+        path = new_path(df.sparkSession, name)
+        if held:
+            held[-1].append(path)
     with shuffles_go(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -562,20 +562,132 @@ def test_lm_odd_rows(odd, none):
     assert all(math.isfinite(r["score"]) and r["n_known"] == 0 for r in lm.score(odd, nothing, words, lm.fit(none, words, rounds=1)).collect())
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plain_near_duplicates(rows):
+    """Rows that stay, by all pairs: (doc_id, text) are vertices, of each component the least by doc_id, nulls last, stays."""
+    vertices = list(dict.fromkeys((r["doc_id"], r["text"]) for r in rows))
+    sets, root = [sets_of(t, 5) for _, t in vertices], list(range(len(vertices)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if a and sets[j] and root[i] != root[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+                    changed = True
+    groups = {}
+    for i, v in enumerate(vertices):
+        if sets[i]:
+            groups.setdefault(root[i], []).append(v)
+    return groups, [v for i, v in enumerate(vertices) if not sets[i]]
+
+
+def odd_documents(spark):
+    import random
+
+    rng = random.Random(21)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(6)]
+    near = [t.replace(" ", "  ", 1) + " more" for t in texts]
+    rows = [(k, t, "en", "a", len(t)) for k, t in enumerate(texts)]
+    rows += [(3, near[0], "en", "a", 1), (3, near[0], "fr", "b", 2), (None, texts[4] + " end", "en", "a", 3), (None, near[5], None, None, None), (None, "a b c d e f", "en", "a", 4), (7, "a b c d e f", "en", "a", 4)]
+    rows += [(20, None, "en", "a", None), (20, None, "en", "a", None), (21, "", "en", "a", 0), (None, " ", "en", "a", 1)]
+    return spark.createDataFrame(rows, DOCUMENTS)
+
+
+def test_near_duplicate_stage(spark):
+    import corpus_pipeline
+
+    docs = odd_documents(spark)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs.withColumn("n", docs["source"]), SMALL)
+    assert got.columns == docs.columns
+    groups, alone = plain_near_duplicates(docs.collect())
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    wordless = Counter((r["doc_id"], r["text"]) for r in docs.collect() if (r["doc_id"], r["text"]) in alone)
+    assert {v: n for v, n in kept.items() if v in alone} == wordless
+    for members in groups.values():
+        stay = [v for v in members if kept[v]]
+        assert len(stay) == 1 and kept[stay[0]] == 1
+        assert (stay[0][0] is None, stay[0][0] or 0) == min((i is None, i or 0) for i, _ in members)
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def benchmark_windows(spark):
+    items = [re.findall(r"[a-z0-9\x80-\U0010ffff]+", (r["text"] or "").lower()) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    return {tuple(w[k : k + 10]) for w in items if w for k in range(max(1, len(w) - 9))}
+
+
+def holds(text, windows):
+    w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+    sizes = {len(x) for x in windows}
+    return any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
+
+
+def test_decontamination_stage(spark):
+    import corpus_pipeline
+
+    bad = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()["text"]
+    rows = [(1, bad, "en", "a", 1), (1, "a clean text", "en", "a", 1), (None, "so they said: " + bad.upper(), "en", "a", 1), (None, "clean too", "en", "a", 1), (2, None, "en", "a", None), (3, "", "en", "a", 0), (4, bad, "en", "a", 1), (4, bad, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    windows = benchmark_windows(spark)
+    got = corpus_pipeline.decontamination_stage(spark, docs.withColumn("ws", docs["source"]), SMALL)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([r for r in rows if not holds(r[1], windows)], key=str) and got.count() == 4
+    assert corpus_pipeline.decontamination_stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_secret_and_bpe_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(5, ODD[4][1], "en", "a", 9), (5, ODD[4][1], "en", "a", 9), (None, None, None, None, None), (6, "", "en", "a", 0), (7, LONG, "en", "a", len(LONG))], DOCUMENTS)
+    got = corpus_pipeline.secret_stage(spark, docs.withColumn("length", docs["doc_id"]), SMALL)
+    want = []
+    for r in docs.collect():
+        t = secrets.redact(r["text"], [(s, e) for s, e, *_ in secrets.base_spans(r["text"] or "")])
+        want.append((r["doc_id"], t, r["lang"], r["source"], r["n_chars"] if t == r["text"] else len(t)))
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    tok, ids = reference_ids([w[1] for w in want])
+    coded = corpus_pipeline.bpe_stage(spark, spark.createDataFrame(want, DOCUMENTS), SMALL).collect()
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in coded) == sorted((str(w[0]), len(e), digest(",".join(map(str, e))), digest(tok.decode(e, skip_special_tokens=False))) for w, e in zip(want, ids, strict=True))
+    empty = docs.limit(0)
+    assert corpus_pipeline.secret_stage(spark, empty, SMALL).count() == corpus_pipeline.bpe_stage(spark, empty, SMALL).count() == corpus_pipeline.quality_stage(spark, empty, SMALL).count() == 0
+
+
 def test_pipeline_stages(spark):
+    """All stages over the small tables, each against a plain version of it on what it was given."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        after = stage(spark, docs, SMALL).cache()
-        assert 0 < after.count() <= docs.count()
-        if k < 4:
-            assert after.columns == docs.columns
-        docs = after
-    items = [re.findall(r"[a-z0-9\x80-\U0010ffff]+", (r["text"] or "").lower()) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-    windows = {tuple(w[k : k + 10]) for w in items for k in range(max(1, len(w) - 9))}
-    kept = {r["doc_id"] for r in docs.collect()}
-    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
-        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (r["text"] or "").lower())
-        if any(tuple(w[k : k + 10]) in windows for k in range(len(w) - 9)):
-            assert r["doc_id"] not in kept
+    given = [docs]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, given[-1], SMALL).cache()
+        assert after.columns == docs.columns
+        given.append(after)
+    rows = [{r["doc_id"]: r for r in g.collect()} for g in given]
+    judged = {r["doc_id"]: r["kept"] for r in quality.judge(docs).collect()}
+    assert set(rows[1]) == {k for k, ok in judged.items() if ok}
+    groups, alone = plain_near_duplicates(rows[1].values())
+    assert set(rows[2]) == {min(i for i, _ in g) for g in groups.values()} | {i for i, _ in alone}
+    windows = benchmark_windows(spark)
+    assert set(rows[3]) == {i for i, r in rows[2].items() if not holds(r["text"], windows)}
+    formats = secrets.learn(given[3])
+    assert {i: r["text"] for i, r in rows[4].items()} == {i: secrets.redact(r["text"], formats.spans(r["text"])) for i, r in rows[3].items()}
+    done = corpus_pipeline.run(spark, SMALL).collect()
+    _, ids = reference_ids([rows[4][r["doc_id"]]["text"] for r in done])
+    assert [r["n_tokens"] for r in done] == [len(e) for e in ids] and {r["doc_id"] for r in done} == set(rows[4])
+
+
+def test_stage_tables_go(spark):
+    import os
+
+    from pagequarry.llm import common
+
+    files = lambda: {d for d in os.listdir(common.new_path(spark, "x").removeprefix("file://").rpartition("/")[0]) if d.startswith("gone")}
+    with common.scratch(spark):
+        with common.scratch(spark):
+            common.stage_table(spark.range(3), "gone-a")
+            kept = common.stage_table(spark.range(3), "gone-b", keep=True)
+        assert {d[:6] for d in files()} == {"gone-b"} and kept.count() == 3
+    assert not files()
