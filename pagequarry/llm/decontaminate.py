@@ -18,8 +18,9 @@ from pagequarry.llm.common import lower_ascii, stage_table, table
 WINDOW = 10
 #: What parts words: ASCII without digits and lower-case letters (after A-Z are lowered).
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Test terms or windows up to this count are sent to every task; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Windows and pairs up to this count are sent to every task; more are joined by a shuffle. Terms go to the texts in parts of
+#: at most so many terms and characters, each part with a scan of its own, so that no text is ever shuffled.
+BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 32_000_000
 
 
 def item_words(text: Column) -> Column:
@@ -48,9 +49,20 @@ def split_texts(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(F.struct(F.col(doc).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("h")).alias("ref"), item_words(F.col(text)).alias("ws"))
 
 
-def term_frequencies(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+def at_terms(docs: DataFrame, terms: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The tokens of texts that are among ``terms`` (term), which go to the texts in parts of a checked size."""
+    size = terms.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
+    parts = max(1, -(-size["n"] // most), -(-size["chars"] // BROADCAST_CHARS))
+    found = None
+    for k in range(parts):
+        mine = tokens(docs).join(F.broadcast(terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k) if parts > 1 else terms), "term")
+        found = mine if found is None else found.unionByName(mine)
+    return found
+
+
+def term_frequencies(docs: DataFrame, terms: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """(term, df): occurrences in all texts, 0 for terms that none has."""
-    found = tokens(docs).select("term").join(maybe_broadcast(terms, n_terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    found = at_terms(docs, terms, most).select("term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -63,12 +75,12 @@ def anchors(wins: DataFrame, frequencies: DataFrame) -> DataFrame:
     return lists.select("wid", "win", F.size("win").alias("size"), F.get("t", F.lit(0))["term"].alias("a"), F.get("t", F.lit(0))["off"].alias("a_off"), b["term"].alias("b"), b["off"].alias("b_off"), F.get("t", F.lit(0))["n"].alias("n"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, window: int = WINDOW) -> DataFrame:
+def build_index(docs: DataFrame, terms: DataFrame, window: int = WINDOW, most: int = BROADCAST_ROWS) -> DataFrame:
     """Postings of ``terms`` (term, ...) over texts from ``split_texts``: (term, ref, pos, around, lead).
 
     ``around`` has the words from ``lead`` before the position to ``window - 1`` after it. Written to the shared folder.
     """
-    hits = tokens(docs).join(maybe_broadcast(terms.select("term").distinct(), n_terms), "term")
+    hits = at_terms(docs, terms.select("term").distinct(), most)
     lead = F.least(F.col("pos"), F.lit(window - 1))
     return stage_table(hits.select("term", "ref", "pos", lead.alias("lead"), F.slice("ws", F.col("pos") - lead + 1, lead + window).alias("around")), "postings")
 
@@ -111,7 +123,7 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), step)["n"]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, most: int = BROADCAST_ROWS) -> DataFrame:
     """Per row of ``docs``: doc, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null, empty and wordless texts have no words and no hits; such items have no windows. Equal windows of several items
@@ -123,12 +135,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text:
     wins = stage_table(own.select("win").distinct().withColumn("wid", F.xxhash64("win")), "windows")
     owners = own.select(F.col(item).alias("item"), "win")
     terms = stage_table(wins.select(F.explode("win").alias("term")).distinct(), "terms")
-    n_windows, n_terms = wins.count(), terms.count()
-    wanted = stage_table(anchors(wins, term_frequencies(split, terms, n_terms)), "anchors")
+    n_windows = wins.count()
+    wanted = stage_table(anchors(wins, term_frequencies(split, terms, most)), "anchors")
     # a term that no text has needs no list, and a window with one cannot occur
     wanted = wanted.where("n > 0")
-    chosen = wanted.select(F.explode(F.array("a", "b")).alias("term")).distinct()
-    index = build_index(split, chosen, n_terms, window)
+    chosen = stage_table(wanted.select(F.explode(F.array("a", "b")).alias("term")).distinct(), "chosen")
+    index = build_index(split, chosen, window, most)
     found = intersect(index, wanted, phrases(index, wanted, n_windows), n_windows)
     hits = stage_table(found.distinct(), "hits")
     # per document: its spans in order, and the items of the windows that occur in it

@@ -50,7 +50,7 @@ PLAIN = re.compile(r"(?:[A-Z]?[a-z]{1,11}|[A-Z]{1,11}|[0-9]{1,8})(?:[-_/.]+(?:[A
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+|[^A-Za-z0-9]")
 
 #: Labelled examples a kind's automaton is inferred from, at most; ordinary ones; and the longest of either.
-EXAMPLES, ORDINARY, EXAMPLE_CHARS = 2000, 6000, 200
+EXAMPLES, ORDINARY, EXAMPLE_CHARS = 2048, 6144, 200
 #: Confidence of the Hoeffding test, and natural log of the likelihood ratio that makes a run a secret.
 ALPHA, RATIO = 0.05, 12.0
 #: Share of the background in a state's outcomes.
@@ -60,7 +60,7 @@ GROUND = 0.1
 ENDS, PARTED, JOINED, CASED, DIGIT = math.log(0.6), math.log(0.35 / 6), math.log(0.05), -math.log(3), -math.log(10)
 #: Runs a worker remembers the verdict of before it starts anew.
 KNOWN_RUNS = 200_000
-#: Parts in which the examples of a kind are drawn before they meet.
+#: Parts by hash in which the examples of a kind are drawn, an equal number from each.
 DRAWS = 256
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
@@ -270,8 +270,8 @@ class Formats:
 def examples(docs: DataFrame, text: str = "text", labelled: int = EXAMPLES, ordinary: int = ORDINARY) -> DataFrame:
     """(kind, value): distinct examples of each kind, as many as asked for, drawn by hash over all texts.
 
-    A task names the values of least hash it met, so what is shuffled is bounded by tasks, not by texts; the draw is made
-    in parts before a kind's values meet.
+    The draw takes the values of least hash of each of DRAWS parts, so no kind meets in one task. A task names the values
+    of least hash it met, at most as many as are asked for in all, so what is shuffled is bounded by tasks, not by texts.
     """
     most = {k: labelled for k in KINDS[:3]} | {"other": ordinary}
 
@@ -279,8 +279,13 @@ def examples(docs: DataFrame, text: str = "text", labelled: int = EXAMPLES, ordi
         held: dict[str, dict[str, int]] = {k: {} for k in most}
 
         def least(kind: str) -> None:
-            named = sorted(held[kind].items(), key=lambda x: (x[1], x[0]))[: most[kind]]
-            held[kind] = dict(named)
+            parts: dict[int, int] = {}
+            named = {}
+            for v, h in sorted(held[kind].items(), key=lambda x: (x[1], x[0])):
+                n = parts[h % DRAWS] = parts.get(h % DRAWS, 0) + 1
+                if n <= -(-most[kind] // DRAWS):
+                    named[v] = h
+            held[kind] = named
 
         for t in (t for batch in batches for block in blocks(batch, "t") for t in block["t"] if t):
             base, _ = patterns(t)
@@ -300,11 +305,9 @@ def examples(docs: DataFrame, text: str = "text", labelled: int = EXAMPLES, ordi
                 yield pd.DataFrame({"kind": kind, "value": list(held[kind]), "h": list(held[kind].values())})
 
     found = docs.select(F.col(text).cast("string").alias("t")).mapInPandas(run, "kind string, value string, h long").distinct()
-    bound = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in most.items()])
-    drawn = found.withColumn("part", F.pmod(F.col("h"), F.lit(DRAWS)))
-    for keys in (["kind", "part"], ["kind"]):
-        drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "value"))).where(F.col("r") <= max(most.values())).where(F.col("r") <= bound).drop("r")
-    return drawn.select("kind", "value")
+    each = F.coalesce(*[F.when(F.col("kind") == k, -(-n // DRAWS)) for k, n in most.items()])
+    within = Window.partitionBy("kind", F.pmod(F.col("h"), F.lit(DRAWS))).orderBy("h", "value")
+    return found.withColumn("r", F.row_number().over(within)).where(F.col("r") <= each).select("kind", "value")
 
 
 LETTERS = frozenset(ALPHABET)
