@@ -1,18 +1,14 @@
-"""Page checks and the gate: findings per (system, page), features, and one decision by a policy.
+"""The gate: findings and unverifiable checks per (system, page), their severity by a policy, and one decision a page.
 
-A check is a DataFrame of pages that it fires on. Checks are united, never looped over pages; severity comes from the
-policy, and the order of the decision's conditions is the contract.
+The order of the decision's conditions is the contract.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pagequarry.functions.geometry import bucket
-
-#: Defaults of the policy and of the checks used here (fixed values).
+#: Defaults of the policy (fixed values).
 POLICY = {
     "discard": "archive", "unusable": "defer", "reject": None, "escalate": None,
     "override": {"archive": {"C6-05": "MAJOR", "C6-06": "MAJOR"}, "drop": {}},
@@ -20,96 +16,49 @@ POLICY = {
     "task_order": ["E1", "E2", "E3", "E4", "E6"],
     "weights": {"MAJOR": 0.25, "ADV": 0.05, "unverifiable": 0.15},
 }
-THRESHOLDS = {"min_text_lines": 10, "orphan_line_rate": 0.12, "lost_lines": 4, "cluster": 3, "discard_rate": 0.15, "overlap_regions": 4, "overlap_rate": 0.30, "out_of_bounds": 0.02, "coverage": 0.40}
+#: Severity of each check before the policy has its say (fixed values).
 SEVERITY = {
-    "C1-01": "BLOCK", "C1-02": "BLOCK", "C1-03": "BLOCK", "C1-04": "BLOCK", "C1-05": "BLOCK", "C1-06": "MAJOR", "C2-01": "MAJOR", "C2-06": "ADV", "C3-02": "BLOCK", "C3-05": "MAJOR", "C4-03": "BLOCK", "C4-09": "ADV", "C5-01": "MAJOR",
-    "C5-03": "MAJOR", "C5-04": "BLOCK", "C6-05": "BLOCK", "C6-06": "BLOCK", "C7-01": "BLOCK", "C7-03": "ADV", "C7-04": "BLOCK", "C7-05": "ADV", "C8-01": "MAJOR", "C8-02": "ADV", "C8-03": "ADV", "C8-05": "MAJOR",
+    "C1-01": "BLOCK", "C1-02": "BLOCK", "C1-03": "BLOCK", "C1-04": "BLOCK", "C1-05": "BLOCK", "C1-06": "MAJOR", "C1-07": "MAJOR", "C2-01": "MAJOR", "C2-06": "ADV", "C3-01": "ADV", "C3-02": "BLOCK", "C3-05": "MAJOR",
+    "C4-02": "BLOCK", "C4-03": "BLOCK", "C4-07": "MAJOR", "C4-08": "BLOCK", "C4-09": "ADV", "C4-10": "MAJOR", "C4-11": "ADV", "C5-01": "MAJOR", "C5-03": "MAJOR", "C5-04": "BLOCK", "C6-01": "BLOCK", "C6-02": "BLOCK", "C6-03": "ADV",
+    "C6-05": "BLOCK", "C6-06": "BLOCK", "C7-01": "BLOCK", "C7-03": "ADV", "C7-04": "BLOCK", "C7-05": "ADV", "C8-01": "MAJOR", "C8-02": "ADV", "C8-03": "ADV", "C8-05": "MAJOR", "C8-06": "ADV",
 }
 
 
-def finding(df: DataFrame, check: str, value: Column) -> DataFrame:
-    return df.select("sys", "page_id", F.lit(check).alias("check_id"), value.cast("double").alias("value"))
+def lookup(mapping: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in mapping.items()) + ")"), key) if mapping else F.lit(None).cast("string")
 
 
-def lookup(mapping: dict[str, str], key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), key) if mapping else F.lit(None).cast("string")
-
-
-def orphan_runs(lines: DataFrame, orphan: DataFrame, tolerance: float = 1.8) -> DataFrame:
-    """(sys, page_id, longest): gaps and islands. The longest run of orphans in reading position whose gaps are at most
-    ``tolerance`` heights of a line."""
-    o = orphan.join(lines, ["page_id", "line_id"])
-    w = Window.partitionBy("sys", "page_id").orderBy("x1", "y1", "line_id")
-    gap = F.col("y1") - F.lag("y2").over(w)
-    broken = F.when((gap <= tolerance * (F.col("y2") - F.col("y1"))) & (F.lag("x1").over(w) == F.col("x1")), 0).otherwise(1)
-    runs = o.withColumn("new", broken).withColumn("run", F.sum("new").over(w))
-    return runs.groupBy("sys", "page_id", "run").count().groupBy("sys", "page_id").agg(F.max("count").alias("longest"))
-
-
-def findings(lines: DataFrame, regions: DataFrame, owned: DataFrame, orphan: DataFrame, spanning: DataFrame, overlaps: DataFrame, repeated: DataFrame, width: int, height: int, t: dict | None = None) -> DataFrame:
-    """(sys, page_id, check_id, value): what the checks find."""
-    t = THRESHOLDS | (t or {})
-    n_lines = lines.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_lines"), F.min("x1").alias("bx1"), F.min("y1").alias("by1"), F.max("x2").alias("bx2"), F.max("y2").alias("by2"))
-    n_orphans = orphan.groupBy("sys", "page_id").agg(F.count(F.lit(1)).alias("n_orphans")).join(n_lines, "page_id")
-    share = F.col("n_orphans") / F.col("n_lines")
-    n_regions = regions.groupBy("sys", "page_id").agg(
-        F.count(F.lit(1)).alias("n_regions"), F.sum(F.when(bucket(F.col("cls")) == "TEXT", 1).otherwise(0)).alias("n_text"),
-        F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("total"),
-        F.max(F.greatest(-F.col("x1"), -F.col("y1"), F.col("x2") - width, F.col("y2") - height)).alias("beyond"),
-    )
-    in_discard = owned.join(regions.select("sys", "page_id", "blk", bucket(F.col("cls")).alias("bucket")), ["sys", "page_id", "blk"]).where("bucket = 'DISCARD'").groupBy("sys", "page_id").agg(F.count(F.lit(1)).alias("n")).join(n_lines, "page_id")
-    parts = overlaps.select("sys", "page_id", F.explode(F.array("a", "b")).alias("blk")).groupBy("sys", "page_id").agg(F.countDistinct("blk").alias("n")).join(n_regions, ["sys", "page_id"])
-    again = repeated.groupBy("sys", "page_id").agg(F.count(F.lit(1)).alias("n")).join(n_regions, ["sys", "page_id"])
-    out = [
-        finding(n_orphans.where((F.col("n_orphans") >= t["lost_lines"]) & (share > t["orphan_line_rate"])), "C1-01", share),
-        finding(orphan_runs(lines, orphan).where(F.col("longest") >= t["cluster"]), "C1-03", F.col("longest")),
-        finding(n_regions.join(n_lines, "page_id").where((F.col("n_text") == 0) & (F.col("n_lines") >= t["min_text_lines"])), "C1-05", F.col("n_lines")),
-        finding(spanning.groupBy("sys", "page_id").agg(F.count(F.lit(1)).alias("n")), "C3-02", F.col("n")),
-        finding(parts.where((F.col("n") >= t["overlap_regions"]) & (F.col("n") / F.col("n_regions") > t["overlap_rate"])), "C5-01", F.col("n") / F.col("n_regions")),
-        finding(again.where((F.col("n_regions") >= 4) & (F.col("n") / F.col("n_regions") > 0.20)), "C5-04", F.col("n") / F.col("n_regions")),
-        finding(in_discard.where(F.col("n") / F.col("n_lines") > t["discard_rate"]), "C6-06", F.col("n") / F.col("n_lines")),
-        finding(n_regions.where(F.col("beyond") > t["out_of_bounds"] * max(width, height)), "C7-01", F.col("beyond")),
-        finding(n_regions.join(n_lines, "page_id").where(F.col("total") / ((F.col("bx2") - F.col("bx1")) * (F.col("by2") - F.col("by1"))) < t["coverage"]), "C7-05", F.col("total") / ((F.col("bx2") - F.col("bx1")) * (F.col("by2") - F.col("by1")))),
-    ]
-    first, *rest = out
-    for df in rest:
-        first = first.unionByName(df)
-    return first
-
-
-def with_severity(found: DataFrame, policy: dict | None = None) -> DataFrame:
-    """Findings with the severity that the policy gives them, and the task of their family."""
-    p = POLICY | (policy or {})
-    return found.select("*", F.coalesce(lookup(p["override"][p["discard"]], F.col("check_id")), lookup(SEVERITY, F.col("check_id"))).alias("severity"), lookup(p["tasks"], F.split("check_id", "-")[0]).alias("task"))
+def severity(check: Column, policy: dict) -> Column:
+    return lookup(SEVERITY | policy["override"][policy["discard"]], check)
 
 
-def decide(pages: DataFrame, found: DataFrame, policy: dict | None = None) -> DataFrame:
-    """(sys, page_id, decision, task, n_block, n_major, n_adv, risk): one decision for each row of ``pages``.
+def decide(pages: DataFrame, policy: dict | None = None) -> DataFrame:
+    """(sys, page_id, decision, task, n_block, n_major, n_adv, n_unverifiable, risk): one decision for each row of ``pages``.
 
-    ``pages`` has sys, page_id, psr_trust and n_unverifiable_block. An unusable page is deferred or escalated; then
-    blocking findings escalate by the first task in order, then blocking checks that could not run, then risk by its
-    thresholds, where the policy has them; else the page is accepted.
+    ``pages`` has sys, page_id, psr_trust, found, the ids of the checks that fired, and skipped, those that could not run.
+    An unusable page is deferred or escalated; then blocking findings escalate by the first task in order, then blocking
+    checks that could not run, then risk by its thresholds, where the policy has them; else the page is accepted.
+    n_unverifiable counts the other checks that could not run. All of it is read off the row: nothing is joined.
     """
     p = POLICY | (policy or {})
-    f = with_severity(found, policy)
-    rank = F.coalesce(*[F.when(F.col("task") == t, k) for k, t in enumerate(p["task_order"])])
-    counted = f.groupBy("sys", "page_id").agg(
-        *[F.sum(F.when(F.col("severity") == s, 1).otherwise(0)).alias(n) for s, n in (("BLOCK", "n_block"), ("MAJOR", "n_major"), ("ADV", "n_adv"))],
-        F.min(F.when(F.col("severity") == "BLOCK", rank)).alias("first_block"), F.min(rank).alias("first_any"),
-    )
-    x = pages.join(counted, ["sys", "page_id"], "left").fillna(0, ["n_block", "n_major", "n_adv"])
+    of = lambda level, ids="found": F.filter(ids, lambda c: severity(c, p) == level)
+    rank = {family: p["task_order"].index(task) for family, task in p["tasks"].items()}
+    ranks = F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in rank.items()) + ")")
+    first = lambda ids: F.array_min(F.transform(ids, lambda c: F.element_at(ranks, F.substring(c, 1, 2))))
+    x = pages.select("sys", "page_id", "psr_trust", *[F.size(of(level)).alias(n) for level, n in (("BLOCK", "n_block"), ("MAJOR", "n_major"), ("ADV", "n_adv"))], first(of("BLOCK")).alias("first_block"), first(F.col("found")).alias("first_any"), F.size(of("BLOCK", "skipped")).alias("n_veto"), F.size("skipped").alias("n_skipped"))
+    x = x.withColumn("n_unverifiable", F.col("n_skipped") - F.col("n_veto"))
     w = p["weights"]
     risk = F.round(F.least(F.lit(1.0), w["MAJOR"] * F.col("n_major") + w["ADV"] * F.col("n_adv") + w["unverifiable"] * F.col("n_unverifiable")), 4)
     x = x.withColumn("risk", risk)
     order = F.array(*[F.lit(t) for t in p["task_order"]])
     task = lambda c: F.coalesce(F.get(order, F.col(c)), F.lit("E6"))
-    unusable, blocked, unsure = F.col("psr_trust") == "unusable", F.col("n_block") > 0, F.col("n_unverifiable_block") > 0
+    unusable, blocked, unsure = F.col("psr_trust") == "unusable", F.col("n_block") > 0, F.col("n_veto") > 0
     never = F.lit(False)
     rejected = F.col("risk") >= p["reject"] if p["reject"] is not None else never
     risky = F.col("risk") >= p["escalate"] if p["escalate"] is not None else never
     decision = F.when(unusable, "defer" if p["unusable"] == "defer" else "escalate").when(blocked | unsure, "escalate").when(rejected, "reject").when(risky, "escalate").otherwise("accept")
     what = F.when(unusable, None if p["unusable"] == "defer" else "E6").when(blocked, task("first_block")).when(unsure, "E6").when(rejected, None).when(risky, task("first_any"))
-    return x.select("sys", "page_id", decision.alias("decision"), what.alias("task"), "n_block", "n_major", "n_adv", "risk")
+    return x.select("sys", "page_id", decision.alias("decision"), what.alias("task"), "n_block", "n_major", "n_adv", "n_unverifiable", "risk")
 
 
 def audit_sample(accepted: DataFrame, rate: float, seed: int) -> DataFrame:

@@ -6,13 +6,15 @@ and the planner chooses how pages meet. Ties go by stored indices, never by row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagequarry.functions.geometry import Box, area, bucket, cover, intersection, iou, overlap_1d, touches
 
-REGION_KEYS = ["sys", "page_id"]
+SIDES = ["x1", "y1", "x2", "y2"]
 
 
 def assign_lines(lines: DataFrame, regions: DataFrame, least: float = 0.5) -> DataFrame:
@@ -66,31 +68,79 @@ def best_match(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFra
 
 
 def band_of(boxes: DataFrame, bands: DataFrame, page_width: float, full: float = 0.62, least: float = 0.5) -> DataFrame:
-    """``boxes`` with ``band``: the only band that takes more than ``least`` of the width; none for wide boxes."""
-    keys = [c for c in ("sys", "page_id", "blk", "line_id") if c in boxes.columns]
-    met = boxes.join(F.broadcast(bands), overlap_1d(F.col("x1"), F.col("x2"), F.col("x0"), F.col("x9")) * F.least(F.col("x2") - F.col("x1"), F.col("x9") - F.col("x0")) > least * (F.col("x2") - F.col("x1")))
-    one = met.where(F.col("x2") - F.col("x1") <= full * page_width).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("band_id").alias("band")).where("n = 1").drop("n")
-    return boxes.join(one, keys, "left")
+    """``boxes`` with ``band``: the only band of the page that takes more than ``least`` of the width; none for wide boxes.
+
+    ``bands`` (page_id, bands) has a page's bands in one row, so a box stays one row.
+    """
+    width = F.col("x2") - F.col("x1")
+    taken = F.filter("bands", lambda b: F.least(F.col("x2"), b["x9"]) - F.greatest(F.col("x1"), b["x0"]) > least * width)
+    one = F.when((width <= full * page_width) & (F.size(taken) == 1), taken[0]["band_id"])
+    return boxes.join(bands.select("page_id", "bands"), "page_id", "left").withColumn("band", one).drop("bands")
+
+
+def in_rows_of(left: Column, right: Column) -> Column:
+    """The boxes of ``left`` that share their row with one of ``right``, by more than half of their height."""
+    height = lambda q: F.greatest(q["y2"] - q["y1"], F.lit(1e-6))
+    return F.filter(left, lambda q: F.exists(right, lambda r: F.least(q["y2"], r["y2"]) - F.greatest(q["y1"], r["y1"]) > 0.5 * height(q)))
+
+
+def merged_bands(bands: Column, lines: Column, most: float = 0.5) -> Column:
+    """Bands of running text. Neighbours become one where more than ``most`` of the left one's lines share their row with a
+    line of the right one, as a table's columns do; a band grows as it takes in the next."""
+    within = lambda b: F.filter(lines, lambda q: (q["x1"] >= b["x0"] - 2) & (q["x2"] <= b["x9"] + 2))
+
+    def step(done: Column, b: Column) -> Column:
+        last = F.element_at(done, -1)
+        left, right = within(last), within(b)
+        same = (F.size(left) > 0) & (F.size(right) > 0) & (F.size(in_rows_of(left, right)) > most * F.size(left))
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["band_id"].alias("band_id"), last["x0"].alias("x0"), b["x9"].alias("x9"))))
+        return F.when(same, grown).otherwise(F.concat(done, F.array(b)))
+
+    folded = F.aggregate(F.slice(bands, F.lit(2), F.greatest(F.size(bands) - 1, F.lit(0))), F.slice(bands, 1, 1), step)
+    return F.when(F.size(bands) > 1, folded).otherwise(bands)
+
+
+def page_columns(lines: DataFrame, bands: DataFrame) -> DataFrame:
+    """(page_id, bands): the bands of running text of each page."""
+    held = bands.join(lines.groupBy("page_id").agg(F.collect_list(F.struct(*SIDES)).alias("ls")), "page_id", "left")
+    return held.select("page_id", F.when(F.col("ls").isNull(), F.col("bands")).otherwise(merged_bands(F.col("bands"), F.col("ls"))).alias("bands"))
 
 
 def spans_bands(regions: DataFrame, bands: DataFrame, least: float = 0.2) -> DataFrame:
     """(sys, page_id, blk, n_bands): text regions that take more than ``least`` of two bands or more."""
-    text = regions.where(bucket(F.col("cls")) == "TEXT")
-    over = F.greatest(F.least(F.col("x2"), F.col("x9")) - F.greatest(F.col("x1"), F.col("x0")), F.lit(0)) / (F.col("x9") - F.col("x0"))
-    return text.join(F.broadcast(bands)).where(over > least).groupBy("sys", "page_id", "blk").agg(F.count(F.lit(1)).alias("n_bands")).where("n_bands >= 2")
+    text = regions.where(bucket(F.col("cls")) == "TEXT").join(bands.select("page_id", "bands"), "page_id")
+    over = F.filter("bands", lambda b: F.least(F.col("x2"), b["x9"]) - F.greatest(F.col("x1"), b["x0"]) > least * (b["x9"] - b["x0"]))
+    return text.select("sys", "page_id", "blk", F.size(over).alias("n_bands")).where("n_bands >= 2")
+
+
+def covered_cells(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, stride: int) -> tuple[int, int]:
+    """Cells of the grid that boxes cover, and those that two boxes or more cover; counted between the boxes' edges."""
+    a, b, c, d = np.floor(x1 / stride), np.floor(y1 / stride), np.ceil(x2 / stride), np.ceil(y2 / stride)
+    some = (c > a) & (d > b)
+    if not some.any():
+        return 0, 0
+    a, b, c, d = a[some], b[some], c[some], d[some]
+    xs, ys = np.unique(np.concatenate([a, c])), np.unique(np.concatenate([b, d]))
+    depth = np.zeros((len(ys), len(xs)), dtype=np.int32)
+    i, j, k, m = np.searchsorted(xs, a), np.searchsorted(ys, b), np.searchsorted(xs, c), np.searchsorted(ys, d)
+    for at_y, at_x, n in ((j, i, 1), (j, k, -1), (m, i, -1), (m, k, 1)):
+        np.add.at(depth, (at_y, at_x), n)
+    depth = depth.cumsum(axis=0).cumsum(axis=1)[:-1, :-1]
+    cells = np.outer(np.diff(ys), np.diff(xs))
+    return int(cells[depth > 0].sum()), int(cells[depth > 1].sum())
 
 
 def union_area(boxes: DataFrame, keys: list[str], stride: int = 4) -> DataFrame:
-    """Area of the union of boxes per key, on a grid of ``stride`` pixels, and the cells that several boxes share.
+    """Area of the union of boxes per key, on a grid of ``stride`` pixels, and the area of cells that several boxes share.
 
-    Rows of cells are intervals; a difference array along each row gives cover counts, so no cell becomes a row unless a
-    box begins or ends there.
+    A key's boxes are one row of arrays; the grid is looked at only where boxes begin or end, so work follows the number
+    of boxes, not their size.
     """
-    down, up = (lambda c: F.floor(F.col(c) / stride)), (lambda c: F.ceil(F.col(c) / stride))
-    rows = boxes.select(*keys, down("x1").alias("a"), up("x2").alias("b"), F.explode(F.sequence(down("y1"), up("y2") - 1)).alias("row")).where("b > a")
-    steps = rows.select(*keys, "row", F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("d")), F.struct(F.col("b").alias("x"), F.lit(-1).alias("d")))).alias("s"))
-    steps = steps.groupBy(*keys, "row", F.col("s.x").alias("x")).agg(F.sum("s.d").alias("d"))
-    along = Window.partitionBy(*keys, "row").orderBy("x")
-    runs = steps.withColumn("depth", F.sum("d").over(along)).withColumn("len", F.lead("x").over(along) - F.col("x"))
-    cell = stride * stride
-    return runs.groupBy(*keys).agg((F.sum(F.when(F.col("depth") > 0, F.col("len")).otherwise(0)) * cell).alias("area"), (F.sum(F.when(F.col("depth") > 1, F.col("len")).otherwise(0)) * cell).alias("shared"))
+
+    @F.pandas_udf("struct<area: long, shared: long>")
+    def areas(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.DataFrame:
+        found = [covered_cells(*(np.asarray(v, dtype=float) for v in page), stride) for page in zip(x1, y1, x2, y2)]
+        return pd.DataFrame(found, columns=["area", "shared"], dtype="int64") * stride * stride
+
+    page = boxes.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])).alias("b"))
+    return page.select(*keys, areas(*[F.col("b")[c] for c in ("x1", "y1", "x2", "y2")]).alias("a")).select(*keys, "a.*")

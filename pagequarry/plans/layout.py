@@ -1,4 +1,5 @@
-"""Stand-in layout tables derived from the driver's tables: a document is a page, its source the document it belongs to.
+"""Stand-in layout tables derived from the driver's tables: a text is laid out over pages of up to 80 lines in two columns;
+its source is the document that the pages belong to.
 
 All coordinates are integers, so every engine agrees on them exactly. ``LAYOUT_SQL`` states the same tables as common
 table expressions for an SQL engine.
@@ -11,19 +12,21 @@ from pyspark.sql import functions as F
 
 PAGE_WIDTH, PAGE_HEIGHT = 2480, 3508
 
-#: Column bands of every stand-in page.
-BANDS = ((0, 200, 1100), (1, 1300, 2200))
+#: Pages of a text at most, and where the two columns lie.
+PAGES, COLUMNS = 4096, ((200, 1100), (1300, 2200))
 
-LAYOUT_SQL = """
-doc_lines AS (SELECT doc_id, source, least(80, (length(text) - length(replace(text, ' ', ''))) // 10 + 1)::INT AS n FROM documents),
+LAYOUT_SQL = f"""
+doc_lines AS (SELECT doc_id, source, (length(text) - length(replace(text, ' ', ''))) // 10 + 1 AS n FROM documents WHERE text IS NOT NULL),
+pgs AS (SELECT doc_id * {PAGES} + c AS page_id, source AS doc, least(80, n - 80 * c) AS n FROM (SELECT *, unnest(range(0, (n + 79) // 80)) AS c FROM doc_lines)),
 lines AS (
-  SELECT page_id, doc, line_id, 200 + 1100 * ((k - k % 40) // 40) AS x1, 1100 + 1100 * ((k - k % 40) // 40) - ((page_id * 13 + k * 7) % 300) AS x2,
-    200 + 75 * (k % 40) AS y1, 250 + 75 * (k % 40) AS y2
-  FROM (SELECT doc_id AS page_id, source AS doc, unnest(range(0, n)) AS k, unnest(range(0, n)) AS line_id FROM doc_lines)),
+  SELECT page_id, doc, line_id, 200 + 1100 * (k // 40) AS x1, 1100 + 1100 * (k // 40) - ((page_id * 13 + k * 7) % 300) AS x2,
+    200 + 75 * (k % 40) + CASE WHEN k >= 40 AND page_id % 3 <> 0 THEN 37 ELSE 0 END AS y1, 250 + 75 * (k % 40) + CASE WHEN k >= 40 AND page_id % 3 <> 0 THEN 37 ELSE 0 END AS y2
+  FROM (SELECT page_id, doc, unnest(range(0, n)) AS k, unnest(range(0, n)) AS line_id FROM pgs)),
+raw_bands AS (SELECT page_id, unnest([0, 1]) AS band_id, unnest([200, 1300]) AS x0, unnest([1100, 2200]) AS x9 FROM pgs WHERE n > 40 AND page_id % 11 <> 0 UNION ALL SELECT page_id, 0, 200, 1100 FROM pgs WHERE n <= 40),
 regions AS (
   SELECT sys, page_id, doc, blk, min(x1) - 10 + sys * 3 AS x1, min(y1) - 5 + sys * 2 AS y1, max(x2) + 10 - sys * 4 AS x2, max(y2) + 5 + sys AS y2,
     CASE WHEN (page_id + blk) % 17 = 0 THEN 'table' WHEN (page_id * 3 + blk) % 23 = 0 THEN 'figure' WHEN (blk * 5 + page_id + sys) % 29 = 0 THEN 'header' ELSE 'text' END AS cls
-  FROM (SELECT s.sys, l.*, (line_id - line_id % 5) // 5 AS blk FROM lines l CROSS JOIN (SELECT unnest(range(0, 4)) AS sys) s)
+  FROM (SELECT s.sys, l.*, line_id // 5 AS blk FROM lines l CROSS JOIN (SELECT unnest(range(0, 4)) AS sys) s)
   WHERE (page_id * 7 + blk * 3 + sys) % 11 <> 0
   GROUP BY sys, page_id, doc, blk)
 """
@@ -33,16 +36,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, doc, n): pages of a text with their number of lines. A null text has none."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", F.expr("(length(text) - length(replace(text, ' ', ''))) div 10 + 1").alias("n"))
+    each = docs.select("*", F.explode(F.expr("sequence(0L, (n + 79) div 80 - 1)")).alias("c"))
+    return each.select((F.col("doc_id") * PAGES + F.col("c")).alias("page_id"), F.col("source").alias("doc"), F.least(F.lit(80), F.col("n") - 80 * F.col("c")).alias("n"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, doc, line_id, x1, y1, x2, y2): two columns of up to 40 lines."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.expr("cast(least(80, (length(text) - length(replace(text, ' ', ''))) div 10 + 1) as int)").alias("n"))
-    k = docs.select(F.col("doc_id").alias("page_id"), F.col("source").alias("doc"), F.explode(F.expr("sequence(0, n - 1)")).alias("line_id"))
-    column = F.expr("(line_id - line_id % 40) div 40")
+    """(page_id, doc, line_id, x1, y1, x2, y2): two columns of up to 40 lines; on most pages their rows do not meet."""
+    k = pages(spark, sf_dir).select("page_id", "doc", F.explode(F.expr("sequence(0L, n - 1)")).alias("line_id"))
+    column, row = F.expr("line_id div 40"), 200 + 75 * (F.col("line_id") % 40) + F.expr("CASE WHEN line_id >= 40 AND page_id % 3 <> 0 THEN 37 ELSE 0 END")
     return k.select(
-        "page_id", "doc", F.col("line_id").cast("long").alias("line_id"), (200 + 1100 * column).cast("long").alias("x1"),
-        (200 + 75 * (F.col("line_id") % 40)).cast("long").alias("y1"), (1100 + 1100 * column - (F.col("page_id") * 13 + F.col("line_id") * 7) % 300).cast("long").alias("x2"),
-        (250 + 75 * (F.col("line_id") % 40)).cast("long").alias("y2"),
-    )
+        "page_id", "doc", "line_id", (200 + 1100 * column).alias("x1"), row.cast("long").alias("y1"), (1100 + 1100 * column - (F.col("page_id") * 13 + F.col("line_id") * 7) % 300).alias("x2"), (row + 50).cast("long").alias("y2")
+    )
+
+
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, bands): raw column bands; some pages with two columns have none that could be read."""
+    band = lambda k: f"struct({k} AS band_id, {COLUMNS[k][0]}L AS x0, {COLUMNS[k][1]}L AS x9)"
+    found = F.expr(f"CASE WHEN n <= 40 THEN array({band(0)}) WHEN page_id % 11 = 0 THEN slice(array({band(0)}), 1, 0) ELSE array({band(0)}, {band(1)}) END")
+    return pages(spark, sf_dir).select("page_id", found.alias("bands"))
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +70,30 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Stand-in facts of a page, its areas and corridors: SQL alike in both engines.
+PAGE_FACTS = {
+    "font": "CASE WHEN page_id % 50 = 0 THEN 50 ELSE 30 END", "direction": "CASE WHEN doc LIKE '%7' THEN 'rtl' ELSE 'ltr' END", "psr_trust": "CASE WHEN page_id % 37 = 0 THEN 'unusable' ELSE 'full' END", "est_columns": "CASE WHEN n > 40 THEN 2 ELSE 1 END",
+}
+AREAS = (("graphic", 0, 4, (200, 2000, 1100, 2400)), ("graphic", 1, 8, (1300, 2000, 2200, 2400)), ("grid", 2, 9, (200, 200, 1100, 1300)))
+PAGES_SQL = "facts AS (SELECT page_id, doc, n, " + ", ".join(f"{v} AS {k}" for k, v in PAGE_FACTS.items()) + " FROM pgs)"
+AREAS_SQL = "areas AS (" + " UNION ALL ".join(f"SELECT page_id, '{kind}' AS kind, {k} AS area_id, {a} AS x1, {b} AS y1, {c} AS x2, {d} AS y2 FROM pgs WHERE page_id % {m} = 0" for kind, k, m, (a, b, c, d) in AREAS) + ")"
+
+
+def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).selectExpr("page_id", "doc", *[f"{v} AS {k}" for k, v in PAGE_FACTS.items()])
+
+
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, kind, area_id, x1, y1, x2, y2): graphics and grids of some pages."""
+    each = ", ".join(f"CASE WHEN page_id % {m} = 0 THEN struct('{kind}' AS kind, {k} AS area_id, {a}L AS x1, {b}L AS y1, {c}L AS x2, {d}L AS y2) END" for kind, k, m, (a, b, c, d) in AREAS)
+    return pages(spark, sf_dir).select("page_id", F.explode(F.expr(f"array_compact(array({each}))")).alias("a")).select("page_id", "a.*")
+
+
+def gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, x0, x9): the corridor of pages with two columns."""
+    return pages(spark, sf_dir).where("n > 40").select("page_id", F.lit(COLUMNS[0][1]).cast("long").alias("x0"), F.lit(COLUMNS[1][0]).cast("long").alias("x9"))
+
+
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, frame, outcome) from ``labels``."""
     return table(spark, sf_dir, "labels").select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagequarry.operators import checks, consensus, gate, routing, spatial
+from pagequarry.operators import checks, consensus, gate, reading, routing, spatial
 from pagequarry.plans import layout
 
 WITH = f"WITH {layout.LAYOUT_SQL.strip()}"
@@ -28,10 +28,6 @@ def systems(spark: SparkSession) -> DataFrame:
     return spark.range(4).withColumnRenamed("id", "sys")
 
 
-def bands(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, a, b) for k, a, b in layout.BANDS], "band_id int, x0 long, x9 long")
-
-
 def owned(spark: SparkSession, d: str) -> DataFrame:
     return spatial.assign_lines(layout.lines(spark, d), layout.regions(spark, d))
 
@@ -97,7 +93,8 @@ def metric_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def longest_orphan_run(spark: SparkSession, d: str) -> DataFrame:
-    return gate.orphan_runs(layout.lines(spark, d), orphan_lines(spark, d))
+    """The longest run of lost reading lines, gaps and islands, of each page that has one."""
+    return page_features(spark, d, with_repeats(spark, d)).where("orphan_run > 0").select("sys", "page_id", F.col("orphan_run").cast("long").alias("longest"))
 
 
 def union_areas(spark: SparkSession, d: str) -> DataFrame:
@@ -112,12 +109,12 @@ def shifted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gate_findings(spark: SparkSession, d: str) -> DataFrame:
-    return checked(spark, d, with_repeats(spark, d))
+    return found_on(page_features(spark, d, with_repeats(spark, d)))
 
 
 def shifted_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings on stretched regions: these overlap each other, span bands and leave the page."""
-    return checked(spark, d, shifted(spark, d))
+    return found_on(page_features(spark, d, shifted(spark, d)))
 
 
 def shared_areas(spark: SparkSession, d: str) -> DataFrame:
@@ -165,38 +162,70 @@ def run_verdict(spark: SparkSession, d: str) -> DataFrame:
     return consensus.run_verdict(run_agreement(spark, d))
 
 
-def page_features(spark: SparkSession, d: str) -> DataFrame:
-    pages = layout.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("doc")).join(systems(spark).withColumnRenamed("id", "sys"))
-    return checks.features(pages, layout.lines(spark, d), disturbed(spark, d), bands(spark), layout.PAGE_WIDTH, layout.PAGE_HEIGHT, systems(spark))
+def page_features(spark: SparkSession, d: str, regions: DataFrame) -> DataFrame:
+    """One row of features for each system and page; without ``rank`` the blocks' numbers are their order."""
+    regions = regions if "rank" in regions.columns else regions.withColumn("rank", F.col("blk"))
+    return checks.features(layout.page_facts(spark, d), layout.lines(spark, d), regions, layout.bands(spark, d), layout.areas(spark, d), layout.gutters(spark, d), layout.PAGE_WIDTH, layout.PAGE_HEIGHT, list(range(4)))
+
+
+SIDE = max(layout.PAGE_WIDTH, layout.PAGE_HEIGHT)
+
+
+def found_on(facts: DataFrame) -> DataFrame:
+    return checks.findings(facts, SIDE)
 
 
 def feature_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Findings of the checks that read a page's features."""
-    return checks.findings(page_features(spark, d), len(layout.BANDS))
+    """Findings on regions of mixed order, stretched, with thin ones."""
+    return found_on(page_features(spark, d, disturbed(spark, d)))
 
 
-def finding_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Pages, and mean value, of each check's findings by system."""
-    return feature_findings(spark, d).groupBy("sys", "check_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 5).alias("mean_value"))
+def unverifiable_checks(spark: SparkSession, d: str) -> DataFrame:
+    """How many pages each check could not run on although they may need it."""
+    facts = page_features(spark, d, with_repeats(spark, d))
+    return facts.select("sys", F.explode(checks.skipped()).alias("check_id")).groupBy("sys", "check_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def checked(spark: SparkSession, d: str, regions: DataFrame) -> DataFrame:
-    lines = layout.lines(spark, d)
-    own = spatial.assign_lines(lines, regions)
-    return gate.findings(
-        lines, regions, own, spatial.orphans(lines, systems(spark), own), spatial.spans_bands(regions, bands(spark)), spatial.partial_overlaps(regions), spatial.repeats(regions), layout.PAGE_WIDTH, layout.PAGE_HEIGHT
-    )
+def page_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Bands of running text: a table's columns are one."""
+    c = spatial.page_columns(layout.lines(spark, d), layout.bands(spark, d))
+    return c.select("page_id", F.explode("bands").alias("b")).select("page_id", "b.band_id", "b.x0", "b.x9")
 
 
-def pages_of(spark: SparkSession, d: str) -> DataFrame:
-    """Every (system, page); a page without lines has nothing to be held against."""
-    docs = layout.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"))
-    return docs.join(systems(spark)).select("sys", "page_id", F.when(F.col("page_id") % 37 == 0, "unusable").otherwise("full").alias("psr_trust"), F.lit(0).alias("n_unverifiable"), F.when(F.col("page_id") % 41 == 0, 1).otherwise(0).alias("n_unverifiable_block"))
+def column_gutters(spark: SparkSession, d: str) -> DataFrame:
+    g = checks.column_gutters(layout.lines(spark, d), layout.gutters(spark, d))
+    return g.select("page_id", F.explode("gutters").alias("g")).select("page_id", "g.x0", "g.x9")
+
+
+def pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Lines in three boxes each, ten pixels apart and not quite level."""
+    cut = F.explode(F.expr("sequence(0L, 2L)"))
+    x = layout.lines(spark, d).withColumn("p", cut).withColumn("w", F.expr("(x2 - x1 - 20) div 3"))
+    left, right = F.expr("x1 + p * (w + 10)"), F.expr("CASE WHEN p = 2 THEN x2 ELSE x1 + p * (w + 10) + w END")
+    return x.select("page_id", (F.col("line_id") * 3 + F.col("p")).alias("line_id"), left.alias("x1"), (F.col("y1") + F.col("p")).alias("y1"), right.alias("x2"), (F.col("y2") + F.col("p")).alias("y2"))
+
+
+def reading_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines put together again from their pieces, and how many pieces each has."""
+    read = reading.reading_lines(pieces(spark, d)).groupBy("page_id", "read")
+    return read.agg(F.count(F.lit(1)).alias("n_boxes"), *[f(c).alias(c) for f, c in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))])
+
+
+def fragmentation(spark: SparkSession, d: str) -> DataFrame:
+    return reading.fragmentation(reading.reading_lines(pieces(spark, d)))
+
+
+def finding_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Pages, and mean value, of each check's findings by system."""
+    return feature_findings(spark, d).groupBy("sys", "check_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 5).alias("mean_value"))
 
 
 def page_gate(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: checks of all systems on all pages, and one decision a page."""
-    return gate.decide(pages_of(spark, d), gate_findings(spark, d))
+    """The flagship: all checks of all systems on all pages over one row of features, and one decision a page.
+
+    What fires and what could not run are arrays in a page's row, so the decision joins nothing.
+    """
+    return gate.decide(checks.judged(page_features(spark, d, with_repeats(spark, d)), SIDE))
 
 
 def gate_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -291,7 +320,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         page_gate, line_assignment, orphan_lines, text_cover_semi, text_cover_anti, repeated_regions, system_agreement, class_counts, region_profile, region_outliers, metric_quantiles, longest_orphan_run, union_areas, gate_findings, gate_summary,
         review_queue, verdict_estimate, reading_order, band_transitions, majority_class, class_confusion, stratified_sample, char_ngrams, event_windows, order_rollup, script_profile,
-        page_routes, routing_rates, signal_percentiles, shifted_findings, shared_areas, feature_findings, finding_rates,
+        page_routes, routing_rates, signal_percentiles, shifted_findings, unverifiable_checks, page_columns, column_gutters, reading_lines, fragmentation, shared_areas, feature_findings, finding_rates,
         page_consensus, system_consensus, class_scores, class_routes, run_agreement, run_verdict,
     )
 }
@@ -309,86 +338,112 @@ s AS (SELECT sys, page_id, row, x, sum(d) AS d FROM (SELECT sys, page_id, row, a
 r AS (SELECT sys, page_id, sum(d) OVER w AS depth, lead(x) OVER w - x AS len FROM s WINDOW w AS (PARTITION BY sys, page_id, row ORDER BY x))
 SELECT sys, page_id, sum(CASE WHEN depth > 0 THEN len ELSE 0 END)::BIGINT * 16 AS area, sum(CASE WHEN depth > 1 THEN len ELSE 0 END)::BIGINT * 16 AS shared FROM r GROUP BY ALL"""
 _REPEATED = "SELECT l.sys, l.page_id, l.blk FROM b l WHERE EXISTS (SELECT 1 FROM b r WHERE r.sys = l.sys AND r.page_id = l.page_id AND r.bucket = l.bucket AND r.blk < l.blk AND abs(l.x1 - r.x1) <= 4 AND abs(l.y1 - r.y1) <= 4 AND abs(l.x2 - r.x2) <= 4 AND abs(l.y2 - r.y2) <= 4)"
-_RUNS = """o AS (SELECT sys, page_id, line_id, x1, y1, y2, lag(y2) OVER w AS b, lag(x1) OVER w AS bx FROM orphan JOIN lines USING (page_id, line_id) WINDOW w AS (PARTITION BY sys, page_id ORDER BY x1, y1, line_id)),
-r AS (SELECT *, sum(CASE WHEN y1 - b <= 1.8 * (y2 - y1) AND bx = x1 THEN 0 ELSE 1 END) OVER (PARTITION BY sys, page_id ORDER BY x1, y1, line_id) AS run FROM o),
-longest AS (SELECT sys, page_id, max(n) AS longest FROM (SELECT sys, page_id, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL)"""
-_SPANS = " + ".join(f"(greatest(least(x2, {x9}) - greatest(x1, {x0}), 0) / {x9 - x0}::DOUBLE > 0.2)::INT" for _, x0, x9 in layout.BANDS)
-_FINDINGS = f"""{WITH}, {_MORE}, {OWNED.replace("JOIN regions r", "JOIN more r")}, {_RUNS},
-nl AS (SELECT page_id, count(*) AS n_lines, (max(x2) - min(x1)) * (max(y2) - min(y1)) AS body FROM lines GROUP BY page_id),
-no_ AS (SELECT sys, page_id, count(*) / any_value(n_lines)::DOUBLE AS share, count(*) AS n FROM orphan JOIN nl USING (page_id) GROUP BY sys, page_id),
-nr AS (SELECT sys, page_id, count(*) AS n_regions, count(*) FILTER (bucket = 'TEXT') AS n_text, sum((x2 - x1) * (y2 - y1))::DOUBLE AS total, max(greatest(-x1, -y1, x2 - {layout.PAGE_WIDTH}, y2 - {layout.PAGE_HEIGHT})) AS beyond FROM b GROUP BY sys, page_id),
-partly AS (SELECT l.sys, l.page_id, l.blk AS a, r.blk AS c, ({COVER}) / least((l.x2 - l.x1) * (l.y2 - l.y1), (r.x2 - r.x1) * (r.y2 - r.y1))::DOUBLE AS share
-  FROM b l JOIN b r ON l.sys = r.sys AND l.page_id = r.page_id AND l.bucket = r.bucket AND l.blk < r.blk AND {TOUCH}),
-parts AS (SELECT sys, page_id, count(DISTINCT blk) AS n FROM (SELECT sys, page_id, unnest([a, c]) AS blk FROM partly WHERE share > 0.5 AND share <= 0.9) GROUP BY ALL),
-again AS (SELECT sys, page_id, count(*) AS n FROM ({_REPEATED}) GROUP BY ALL),
-thrown AS (SELECT o.sys, o.page_id, count(*) / any_value(n_lines)::DOUBLE AS share FROM owned o JOIN b USING (sys, page_id, blk) JOIN nl ON nl.page_id = o.page_id WHERE bucket = 'DISCARD' GROUP BY ALL),
-found AS (
-  SELECT sys, page_id, 'C1-01' AS check_id, share AS value FROM no_ WHERE n >= 4 AND share > 0.12
-  UNION ALL SELECT sys, page_id, 'C1-03', longest::DOUBLE FROM longest WHERE longest >= 3
-  UNION ALL SELECT sys, page_id, 'C1-05', n_lines::DOUBLE FROM nr JOIN nl USING (page_id) WHERE n_text = 0 AND n_lines >= 10
-  UNION ALL SELECT sys, page_id, 'C3-02', count(*)::DOUBLE FROM b WHERE bucket = 'TEXT' AND {_SPANS} >= 2 GROUP BY sys, page_id
-  UNION ALL SELECT sys, page_id, 'C5-01', n / n_regions::DOUBLE FROM parts JOIN nr USING (sys, page_id) WHERE n >= 4 AND n / n_regions::DOUBLE > 0.30
-  UNION ALL SELECT sys, page_id, 'C5-04', n / n_regions::DOUBLE FROM again JOIN nr USING (sys, page_id) WHERE n_regions >= 4 AND n / n_regions::DOUBLE > 0.20
-  UNION ALL SELECT sys, page_id, 'C6-06', share FROM thrown WHERE share > 0.15
-  UNION ALL SELECT sys, page_id, 'C7-01', beyond::DOUBLE FROM nr WHERE beyond > 0.02 * {max(layout.PAGE_WIDTH, layout.PAGE_HEIGHT)}
-  UNION ALL SELECT sys, page_id, 'C7-05', total / body FROM nr JOIN nl USING (page_id) WHERE total / body < 0.40)"""
-_GATE = f"""{_FINDINGS},
-judged AS (SELECT *, CASE WHEN check_id IN ('C5-01', 'C6-06') THEN 'MAJOR' WHEN check_id = 'C7-05' THEN 'ADV' ELSE 'BLOCK' END AS severity,
-  CASE substr(check_id, 1, 2) WHEN 'C1' THEN 'E1' WHEN 'C3' THEN 'E2' WHEN 'C5' THEN 'E2' WHEN 'C6' THEN 'E4' ELSE 'E6' END AS task FROM found),
-counted AS (SELECT sys, page_id, count(*) FILTER (severity = 'BLOCK') AS n_block, count(*) FILTER (severity = 'MAJOR') AS n_major, count(*) FILTER (severity = 'ADV') AS n_adv, min(task) FILTER (severity = 'BLOCK') AS first FROM judged GROUP BY ALL),
-gated AS (SELECT s.sys, d.doc_id AS page_id, CASE WHEN doc_id % 37 = 0 THEN 'defer' WHEN n_block > 0 OR doc_id % 41 = 0 THEN 'escalate' ELSE 'accept' END AS decision,
-  CASE WHEN doc_id % 37 = 0 THEN NULL WHEN n_block > 0 THEN first WHEN doc_id % 41 = 0 THEN 'E6' END AS task,
-  coalesce(n_block, 0) AS n_block, coalesce(n_major, 0) AS n_major, coalesce(n_adv, 0) AS n_adv, round(least(1, 0.25 * coalesce(n_major, 0) + 0.05 * coalesce(n_adv, 0)), 4)::DOUBLE AS risk
-  FROM documents d CROSS JOIN systems s LEFT JOIN counted c ON c.sys = s.sys AND c.page_id = d.doc_id)"""
+_NEEDS = {"psr": ("psr_trust <> 'unusable'", "false"), "body_lines": ("n_lines > 0", "false"), "bands": ("n_bands >= 1", "est_columns <= 1"), "gutters": ("n_gutters > 0", "(n_bands <= 1 OR n > 40)"), "grids": ("n_grids > 0", "true"), "graphics": ("n_graphics > 0", "true"), "stream": ("true", "false"), "doc": ("doc_n IS NOT NULL", "true")}
+
+
+def _runs(check: str) -> str:
+    return " AND ".join(_NEEDS[n][0] for n in checks.NEEDS.get(check, "psr").split()) or "true"
+
+
+def _skips(check: str) -> str:
+    needs = [_NEEDS[n] for n in checks.NEEDS.get(check, "psr").split()]
+    return f"(NOT ({' AND '.join(h for h, _ in needs)}) AND NOT ({' AND '.join(f'({h} OR {no})' for h, no in needs)}))" if needs else "false"
+
+
+_COLS = f"""sides AS (SELECT page_id, count(*) AS nl, count(*) FILTER (pair) AS np, max(nr) AS nr FROM (
+    SELECT l.page_id, (SELECT count(*) FROM lines r WHERE r.page_id = l.page_id AND r.x1 >= {layout.COLUMNS[1][0] - 2}) AS nr,
+      EXISTS (SELECT 1 FROM lines r WHERE r.page_id = l.page_id AND r.x1 >= {layout.COLUMNS[1][0] - 2} AND least(l.y2, r.y2) - greatest(l.y1, r.y1) > 0.5 * (l.y2 - l.y1)) AS pair
+    FROM lines l WHERE l.x2 <= {layout.COLUMNS[0][1] + 2}) GROUP BY page_id),
+two AS (SELECT page_id, count(*) = 2 AND max(np) > 0.5 * max(nl) AND max(nr) > 0 AS one FROM raw_bands JOIN sides USING (page_id) GROUP BY page_id),
+cols AS (SELECT page_id, band_id, x0, CASE WHEN band_id = 0 AND one THEN {layout.COLUMNS[1][1]} ELSE x9 END AS x9 FROM raw_bands JOIN two USING (page_id) WHERE NOT (band_id = 1 AND one)),
+corr AS (SELECT s.page_id FROM sides s JOIN pgs USING (page_id) WHERE n > 40 AND nr > 0 AND np <= 0.5 * nl)"""
+
+
+def _band(t: str) -> str:
+    return f"CASE WHEN {t}.x2 - {t}.x1 <= 0.62 * {layout.PAGE_WIDTH} THEN (SELECT CASE WHEN count(*) = 1 THEN min(c.band_id) END FROM cols c WHERE c.page_id = {t}.page_id AND least({t}.x2, c.x9) - greatest({t}.x1, c.x0) > 0.5 * ({t}.x2 - {t}.x1)) END AS band"
+
 
-_BAND = "CASE WHEN x2 - x1 > 0.62 * {w} THEN NULL WHEN {a} AND NOT {b} THEN 0 WHEN {b} AND NOT {a} THEN 1 END".format(w=layout.PAGE_WIDTH, **{n: f"(least(x2, {x9}) - greatest(x1, {x0}) > 0.5 * (x2 - x1))" for n, (_, x0, x9) in zip("ab", layout.BANDS)})
 _REV = "(least(l.x2, r.x2) - greatest(l.x1, r.x1)) * (least(l.y2, r.y2) - greatest(l.y1, r.y1)) / ((r.x2 - r.x1) * (r.y2 - r.y1))::DOUBLE"
 _HELD = f"({COVER}) / ((l.x2 - l.x1) * (l.y2 - l.y1))::DOUBLE"
 _WIDE = "((least(l.x2, r.x2) - greatest(l.x1, r.x1)) / (l.x2 - l.x1)::DOUBLE)"
-_FEATURES = f"""{WITH}, {_SHIFTED},
-dis AS (SELECT *, CASE WHEN page_id % 5 = 0 THEN blk * 7 % 11 ELSE blk END AS rank, {BUCKET.format('cls')} AS bucket, {_BAND} AS band FROM (
-  SELECT sys, page_id, doc, blk, x1, y1, x2, y2, cls FROM more UNION ALL SELECT DISTINCT sys, page_id, doc, 200, 2300, 100, 2304, 500, 'text' FROM regions WHERE sys = 2 AND page_id % 6 = 0)),
+_IN = f"(y1 + y2) / 2.0 BETWEEN 0.08 * {layout.PAGE_HEIGHT} AND 0.92 * {layout.PAGE_HEIGHT}"
+_CASES = {
+    "C1-01": ("n_orphans >= 4 AND n_orphans / n_lines::DOUBLE > 0.12", "n_orphans / n_lines::DOUBLE"), "C1-02": ("n_orphans >= 4 AND lost / ink::DOUBLE > 0.12", "lost / ink::DOUBLE"), "C1-03": ("longest >= 3", "longest"),
+    "C1-04": ("in_band >= 10 AND lost_band / in_band::DOUBLE > 0.12", "lost_band / in_band::DOUBLE"), "C1-05": ("n_text = 0 AND n_bare >= 10", "n_bare"), "C1-06": ("foot >= 4", "foot"), "C1-07": ("n_missed >= 2", "n_missed"),
+    "C2-01": ("n_cut / n_lines::DOUBLE > 0.15", "n_cut / n_lines::DOUBLE"), "C2-06": ("n_empty > 0", "n_empty"), "C3-01": ("n_through > 0", "n_through"), "C3-02": ("n_bands >= 2 AND n_spanning > 0", "n_spanning"),
+    "C3-05": ("n_bands >= 2 AND n_columns >= 2 AND least_band >= 5 AND (n_banded = 0 OR share > 0.85)", "CASE WHEN n_banded = 0 THEN 1.0 ELSE share END"), "C4-02": ("inversions >= 2", "inversions"),
+    "C4-03": ("n_bands >= 2 AND transitions - (n_bands - 1) > 2", "transitions - (n_bands - 1)"), "C4-08": ("intruders > 0", "intruders"), "C4-09": ("jumps >= 3", "jumps"),
+    "C4-10": ("direction = 'rtl' AND row_pairs >= 3 AND row_wrong / row_pairs::DOUBLE > 0.5", "row_wrong / row_pairs::DOUBLE"), "C5-01": ("n_partly >= 4 AND n_partly / n_regions::DOUBLE > 0.30", "n_partly / n_regions::DOUBLE"),
+    "C5-03": ("n_twice / n_lines::DOUBLE > 0.02", "n_twice / n_lines::DOUBLE"), "C5-04": ("n_regions >= 4 AND n_again / n_regions::DOUBLE > 0.20", "n_again / n_regions::DOUBLE"), "C6-01": ("n_ungrid > 0", "n_ungrid"), "C6-03": ("n_unseen > 0", "n_unseen"),
+    "C6-05": ("n_inside > 0", "n_inside"), "C6-06": ("n_thrown / n_lines::DOUBLE > 0.15", "n_thrown / n_lines::DOUBLE"), "C7-01": (f"beyond > 0.02 * {SIDE}", "beyond"), "C7-03": ("n_thin > 0", "n_thin"),
+    "C7-04": ("n_bands >= 3 AND n_huge > 0", "n_huge"), "C7-05": ("n_regions > 0 AND total / body::DOUBLE < 0.40", "total / body::DOUBLE"), "C8-01": ("doc_n >= 5 AND doc_running >= 0.8 AND n_lines >= 20 AND running = 0", "doc_running"),
+    "C8-02": ("doc_n >= 5 AND n_columns <> doc_columns", "n_columns"), "C8-03": ("doc_n >= 5 AND doc_sd >= 1 AND abs(n_regions - doc_mean) / doc_sd > 4", "abs(n_regions - doc_mean) / doc_sd"),
+    "C8-05": ("doc_n >= 5 AND doc_classes >= 4 AND n_classes <= 1 AND n_regions > 3", "n_classes"), "C8-06": ("doc_n >= 5 AND n_lines >= 20 AND abs(font - doc_font) / doc_font > 0.4", "abs(font - doc_font) / doc_font"),
+}
+
+
+def _facts(regions: str) -> str:
+    """Features and findings of the region table ``dis`` that ``regions`` states."""
+    return f"""{WITH}, {regions}, {layout.PAGES_SQL}, {layout.AREAS_SQL}, {_COLS},
 {OWNED.replace("JOIN regions r", "JOIN dis r")},
-bl AS (SELECT *, {_BAND} AS band FROM lines),
-pg AS (SELECT page_id, count(*) AS n_lines, sum((x2 - x1) * (y2 - y1)) AS ink, count(band) AS in_band, median(y2 - y1) AS line_h, count(DISTINCT band) AS n_columns,
+bl AS (SELECT l.*, {_band("l")} FROM lines l),
+pg AS (SELECT page_id, count(*) AS n_lines, sum((x2 - x1) * (y2 - y1)) AS ink, count(band) AS in_band, median(y2 - y1) AS line_h, count(DISTINCT band) AS n_columns, (max(x2) - min(x1)) * (max(y2) - min(y1)) AS body,
   least(nullif(count(*) FILTER (band = 0), 0), nullif(count(*) FILTER (band = 1), 0)) AS least_band FROM bl GROUP BY page_id),
-oa AS (SELECT sys, page_id, count(*) AS n_orphans, sum((x2 - x1) * (y2 - y1)) AS lost, count(band) AS lost_band, count(*) FILTER (y1 >= {layout.PAGE_HEIGHT} * 0.88) AS foot FROM orphan JOIN bl USING (page_id, line_id) GROUP BY ALL),
-hd AS (SELECT d.*, (SELECT count(*) FROM owned o WHERE o.sys = d.sys AND o.page_id = d.page_id AND o.blk = d.blk) AS k FROM dis d),
-ra AS (SELECT sys, page_id, count(*) AS n_regions, count(DISTINCT cls) AS n_classes, max((bucket = 'DISCARD')::INT) AS running,
-  count(*) FILTER ((x2 - x1) * (y2 - y1) > 0 AND k = 0 AND greatest(x2 - x1, y2 - y1) > 60 * least(x2 - x1, y2 - y1)) AS n_thin,
-  count(*) FILTER (bucket = 'DISCARD' AND k > 3 AND band IS NOT NULL AND (y1 + y2) / 2 BETWEEN 0.08 * {layout.PAGE_HEIGHT} AND 0.92 * {layout.PAGE_HEIGHT}) AS n_inside,
+orp AS (SELECT sys, bl.*, {_IN} AS content FROM orphan JOIN bl USING (page_id, line_id)),
+oa AS (SELECT sys, page_id, count(*) FILTER (content) AS n_orphans, sum((x2 - x1) * (y2 - y1)) FILTER (content) AS lost, count(band) FILTER (content) AS lost_band, count(*) FILTER (y1 >= {layout.PAGE_HEIGHT} * 0.88) AS foot FROM orp GROUP BY ALL),
+orw AS (SELECT *, CASE WHEN y1 - lag(y2) OVER (PARTITION BY sys, page_id ORDER BY y1, x1) <= 1.8 * 50 THEN 0 ELSE 1 END AS new FROM orp WHERE content),
+orr AS (SELECT sys, page_id, max(n) AS longest FROM (SELECT sys, page_id, run, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY sys, page_id ORDER BY y1, x1) AS run FROM orw) GROUP BY ALL) GROUP BY ALL),
+own AS (SELECT sys, page_id, blk, count(*) AS k FROM owned GROUP BY ALL),
+hd AS (SELECT d.*, coalesce(own.k, 0) AS k, {BUCKET.format('cls')} AS bucket, {_band("d")} FROM dis d LEFT JOIN own ON own.sys = d.sys AND own.page_id = d.page_id AND own.blk = d.blk),
+ra AS (SELECT sys, page_id, count(*) AS n_regions, count(DISTINCT cls) AS n_classes, max((bucket = 'DISCARD')::INT) AS running, count(*) FILTER (bucket = 'TEXT') AS n_text, sum((x2 - x1) * (y2 - y1)) AS total,
+  max(greatest(-x1, -y1, x2 - {layout.PAGE_WIDTH}, y2 - {layout.PAGE_HEIGHT})) AS beyond, count(*) FILTER ((x2 - x1) * (y2 - y1) > 0 AND k = 0 AND greatest(x2 - x1, y2 - y1) > 60 * least(x2 - x1, y2 - y1)) AS n_thin,
+  count(*) FILTER ((x2 - x1) * (y2 - y1) > 0.85 * {layout.PAGE_WIDTH * layout.PAGE_HEIGHT}) AS n_huge, count(*) FILTER (bucket = 'DISCARD' AND k > 3 AND band IS NOT NULL AND {_IN}) AS n_inside, coalesce(sum(k) FILTER (bucket = 'DISCARD'), 0) AS n_thrown,
   greatest(coalesce(sum(k) FILTER (band = 0), 0), coalesce(sum(k) FILTER (band = 1), 0)) / greatest(sum(k) FILTER (band IS NOT NULL), 1)::DOUBLE AS share, count(band) AS n_banded FROM hd GROUP BY ALL),
+sp AS (SELECT sys, page_id, count(*) AS n_spanning FROM (SELECT h.sys, h.page_id, h.blk FROM hd h JOIN cols c ON c.page_id = h.page_id AND least(h.x2, c.x9) - greatest(h.x1, c.x0) > 0.2 * (c.x9 - c.x0) WHERE bucket = 'TEXT' GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL),
+th AS (SELECT sys, page_id, count(*) AS n_through FROM hd JOIN corr USING (page_id) WHERE bucket = 'TEXT' AND least(x2, {layout.COLUMNS[1][0]}) - greatest(x1, {layout.COLUMNS[0][1]}) > 0.6 * {layout.COLUMNS[1][0] - layout.COLUMNS[0][1]} GROUP BY ALL),
+us AS (SELECT l.sys, l.page_id, count(*) AS n_unseen FROM hd l WHERE bucket = 'MEDIA' AND k > 5 AND NOT EXISTS (SELECT 1 FROM areas r WHERE r.kind = 'graphic' AND r.page_id = l.page_id AND {TOUCH} AND {_HELD} >= 0.15) GROUP BY ALL),
 cl AS (SELECT r.sys, l.page_id, count(DISTINCT line_id) AS n_cut FROM lines l JOIN dis r ON l.page_id = r.page_id AND {TOUCH} WHERE {_WIDE} > 0.15 AND {_WIDE} < 0.85 AND {_HELD} > 0.05 GROUP BY ALL),
-hl AS (SELECT r.sys, l.page_id, line_id, blk, r.x1, r.y1, r.x2, r.y2 FROM lines l JOIN dis r ON l.page_id = r.page_id AND {TOUCH} AND bucket = 'TEXT' AND {_HELD} >= 0.5),
+hl AS (SELECT r.sys, l.page_id, line_id, blk, r.x1, r.y1, r.x2, r.y2 FROM lines l JOIN hd r ON l.page_id = r.page_id AND {TOUCH} AND bucket = 'TEXT' AND {_HELD} >= 0.5),
 tw AS (SELECT l.sys, l.page_id, count(DISTINCT l.line_id) AS n_twice FROM hl l JOIN hl r ON l.sys = r.sys AND l.page_id = r.page_id AND l.line_id = r.line_id AND l.blk < r.blk AND {_HELD} < 0.9 AND {_REV} < 0.9 GROUP BY ALL),
-em AS (SELECT sys, page_id, count(*) AS n_empty FROM dis r WHERE bucket = 'TEXT' AND NOT EXISTS (SELECT 1 FROM lines l WHERE l.page_id = r.page_id AND {TOUCH} AND ({_HELD} >= 0.5 OR {_REV} >= 0.5)) GROUP BY ALL),
-mv AS (SELECT sys, page_id, count(*) FILTER (band <> before) AS transitions FROM (SELECT o.sys, o.page_id, l.band, lag(l.band) OVER (PARTITION BY o.sys, o.page_id ORDER BY rank, o.blk, l.y1, l.x1, l.line_id) AS before
-  FROM owned o JOIN dis d USING (sys, page_id, blk) JOIN bl l ON l.page_id = o.page_id AND l.line_id = o.line_id WHERE l.band IS NOT NULL) GROUP BY ALL),
-jm AS (SELECT sys, page_id, count(*) FILTER (y1 < b2 - greatest(3 * line_h, 40) AND NOT coalesce(band <> bb, false)) AS jumps FROM (
-  SELECT *, lag(y2) OVER w AS b2, lag(band) OVER w AS bb FROM hd WHERE k > 0 WINDOW w AS (PARTITION BY sys, page_id ORDER BY rank, blk)) JOIN pg USING (page_id) GROUP BY ALL),
-ft AS (SELECT s.sys, d.doc_id AS page_id, d.source AS doc, coalesce(n_lines, 0) AS n_lines, ink, coalesce(in_band, 0) AS in_band, least_band, coalesce(n_columns, 0) AS n_columns, n_orphans, lost, lost_band, foot, coalesce(n_regions, 0) AS n_regions, coalesce(n_classes, 0) AS n_classes,
-  coalesce(running, 0) AS running, n_thin, n_inside, share, coalesce(n_banded, 0) AS n_banded, n_cut, n_twice, n_empty, transitions, jumps
-  FROM documents d CROSS JOIN systems s LEFT JOIN pg ON pg.page_id = d.doc_id LEFT JOIN oa ON oa.sys = s.sys AND oa.page_id = d.doc_id LEFT JOIN ra ON ra.sys = s.sys AND ra.page_id = d.doc_id LEFT JOIN cl ON cl.sys = s.sys AND cl.page_id = d.doc_id
-  LEFT JOIN tw ON tw.sys = s.sys AND tw.page_id = d.doc_id LEFT JOIN em ON em.sys = s.sys AND em.page_id = d.doc_id LEFT JOIN mv ON mv.sys = s.sys AND mv.page_id = d.doc_id LEFT JOIN jm ON jm.sys = s.sys AND jm.page_id = d.doc_id),
-dp AS (SELECT sys, doc, count(*) AS doc_n, avg(running) AS doc_running, avg(n_regions) AS doc_mean, stddev_pop(n_regions) AS doc_sd, median(n_classes) AS doc_classes FROM ft GROUP BY ALL),
+em AS (SELECT sys, page_id, count(*) AS n_empty FROM hd r WHERE bucket = 'TEXT' AND NOT EXISTS (SELECT 1 FROM lines l WHERE l.page_id = r.page_id AND {TOUCH} AND ({_HELD} >= 0.5 OR {_REV} >= 0.5)) GROUP BY ALL),
+br AS (SELECT s.sys, l.page_id, count(*) AS n_bare FROM lines l CROSS JOIN systems s WHERE NOT EXISTS (SELECT 1 FROM hd r WHERE r.sys = s.sys AND r.page_id = l.page_id AND bucket = 'TABLE' AND {TOUCH} AND {_HELD} >= 0.6) GROUP BY ALL),
+prt AS (SELECT l.sys, l.page_id, l.blk AS a, r.blk AS c, ({COVER}) / least((l.x2 - l.x1) * (l.y2 - l.y1), (r.x2 - r.x1) * (r.y2 - r.y1))::DOUBLE AS share FROM hd l JOIN hd r ON l.sys = r.sys AND l.page_id = r.page_id AND l.bucket = r.bucket AND l.blk < r.blk AND {TOUCH}),
+pt AS (SELECT sys, page_id, count(DISTINCT blk) AS n_partly FROM (SELECT sys, page_id, unnest([a, c]) AS blk FROM prt WHERE share > 0.5 AND share <= 0.9) GROUP BY ALL),
+ag AS (SELECT l.sys, l.page_id, count(*) AS n_again FROM hd l WHERE EXISTS (SELECT 1 FROM hd r WHERE r.sys = l.sys AND r.page_id = l.page_id AND r.bucket = l.bucket AND r.blk < l.blk AND abs(l.x1 - r.x1) <= 25 AND abs(l.y1 - r.y1) <= 25 AND abs(l.x2 - r.x2) <= 25 AND abs(l.y2 - r.y2) <= 25) GROUP BY ALL),
+mg AS (SELECT s.sys, l.page_id, count(*) AS n_missed FROM areas l CROSS JOIN systems s WHERE kind = 'graphic' AND (x2 - x1) * (y2 - y1) > 0.02 * {layout.PAGE_WIDTH * layout.PAGE_HEIGHT} AND NOT EXISTS (SELECT 1 FROM hd r WHERE r.sys = s.sys AND r.page_id = l.page_id AND bucket = 'MEDIA' AND {TOUCH} AND {_HELD} > 0.5) GROUP BY ALL),
+mt AS (SELECT s.sys, l.page_id, count(*) AS n_ungrid FROM areas l CROSS JOIN systems s WHERE kind = 'grid' AND NOT EXISTS (SELECT 1 FROM hd r WHERE r.sys = s.sys AND r.page_id = l.page_id AND bucket = 'TABLE' AND {TOUCH} AND {_HELD} > 0.5) GROUP BY ALL),
+ow AS (SELECT o.sys, o.page_id, l.line_id, l.band, l.x1, l.y1, l.x2, l.y2, row_number() OVER (PARTITION BY o.sys, o.page_id ORDER BY rank, o.blk, l.y1, l.x1, l.line_id) AS at_ FROM owned o JOIN dis d USING (sys, page_id, blk) JOIN bl l ON l.page_id = o.page_id AND l.line_id = o.line_id),
+mv AS (SELECT sys, page_id, count(*) FILTER (band <> before) AS transitions FROM (SELECT *, lag(band) OVER (PARTITION BY sys, page_id ORDER BY at_) AS before FROM ow WHERE band IS NOT NULL) GROUP BY ALL),
+un AS (SELECT sys, page_id, max(between_) AS intruders FROM (SELECT l.sys, l.page_id, r.area_id, count(*) AS n, max(at_) - min(at_) + 1 - count(*) AS between_ FROM ow l JOIN areas r ON l.page_id = r.page_id AND {TOUCH} AND {_HELD} >= 0.6 GROUP BY ALL) WHERE n >= 6 AND between_ > 0.25 * n GROUP BY ALL),
+jm AS (SELECT sys, page_id, count(*) FILTER (y1 < b2 - greatest(3 * line_h, 40) AND NOT coalesce(band <> bb, false)) AS jumps, count(*) FILTER (row) AS row_pairs, count(*) FILTER (row AND x1 > bx) AS row_wrong FROM (
+  SELECT *, least(y2, b2) - greatest(y1, b1) >= 0.5 * least(y2 - y1, b2 - b1) AS row FROM (
+    SELECT *, lag(y1) OVER w AS b1, lag(y2) OVER w AS b2, lag(x1) OVER w AS bx, lag(band) OVER w AS bb FROM hd WHERE k > 0 WINDOW w AS (PARTITION BY sys, page_id ORDER BY rank, blk))) JOIN pg USING (page_id) GROUP BY ALL),
+iv AS (SELECT sys, page_id, count(*) FILTER (y1 < b1 - greatest(3 * line_h, 40)) AS inversions FROM (SELECT *, lag(y1) OVER (PARTITION BY sys, page_id, band ORDER BY rank, y1, blk) AS b1 FROM hd WHERE k > 0 AND band IS NOT NULL) JOIN pg USING (page_id) GROUP BY ALL),
+ft AS (SELECT s.sys, d.*, coalesce(n_lines, 0) AS n_lines, ink, body, coalesce(in_band, 0) AS in_band, least_band, coalesce(n_columns, 0) AS n_columns, n_orphans, lost, lost_band, foot, longest, coalesce(n_regions, 0) AS n_regions, coalesce(n_classes, 0) AS n_classes, coalesce(n_text, 0) AS n_text,
+  coalesce(running, 0) AS running, n_thin, n_huge, n_inside, n_thrown, share, coalesce(n_banded, 0) AS n_banded, n_spanning, n_through, n_unseen, total, beyond, n_cut, n_twice, n_empty, n_bare, n_partly, n_again, n_missed, n_ungrid, transitions, jumps, row_pairs, row_wrong, inversions, intruders,
+  (SELECT count(*) FROM cols c WHERE c.page_id = d.page_id) AS n_bands, (SELECT count(*) FROM corr c WHERE c.page_id = d.page_id) AS n_gutters, (SELECT count(*) FROM areas a WHERE a.page_id = d.page_id AND kind = 'grid') AS n_grids, (SELECT count(*) FROM areas a WHERE a.page_id = d.page_id AND kind = 'graphic') AS n_graphics
+  FROM facts d CROSS JOIN systems s LEFT JOIN pg ON pg.page_id = d.page_id {' '.join(f'LEFT JOIN {x} ON {x}.sys = s.sys AND {x}.page_id = d.page_id' for x in 'oa orr ra sp th us cl tw em br pt ag mg mt mv un jm iv'.split())}),
+dp AS (SELECT sys, doc, count(*) AS doc_n, avg(running) AS doc_running, avg(n_regions) AS doc_mean, stddev_pop(n_regions) AS doc_sd, median(n_classes) AS doc_classes, median(font) AS doc_font FROM ft GROUP BY ALL),
 dm AS (SELECT sys, doc, n_columns AS doc_columns FROM (SELECT sys, doc, n_columns, row_number() OVER (PARTITION BY sys, doc ORDER BY count(*) DESC, min(page_id)) AS k FROM ft GROUP BY sys, doc, n_columns) WHERE k = 1),
 all_ AS (SELECT * FROM ft JOIN dp USING (sys, doc) JOIN dm USING (sys, doc)),
-hits AS (
-  SELECT sys, page_id, 'C1-02' AS check_id, lost / ink::DOUBLE AS value FROM all_ WHERE n_orphans >= 4 AND lost / ink::DOUBLE > 0.12
-  UNION ALL SELECT sys, page_id, 'C1-04', lost_band / in_band::DOUBLE FROM all_ WHERE in_band >= 10 AND lost_band / in_band::DOUBLE > 0.12
-  UNION ALL SELECT sys, page_id, 'C1-06', foot::DOUBLE FROM all_ WHERE foot >= 4
-  UNION ALL SELECT sys, page_id, 'C2-01', n_cut / n_lines::DOUBLE FROM all_ WHERE n_cut / n_lines::DOUBLE > 0.15
-  UNION ALL SELECT sys, page_id, 'C2-06', n_empty::DOUBLE FROM all_ WHERE n_empty > 0
-  UNION ALL SELECT sys, page_id, 'C3-05', CASE WHEN n_banded = 0 THEN 1.0 ELSE share END FROM all_ WHERE n_columns = 2 AND least_band >= 5 AND (n_banded = 0 OR share > 0.85)
-  UNION ALL SELECT sys, page_id, 'C4-03', (transitions - 1)::DOUBLE FROM all_ WHERE transitions - 1 > 2
-  UNION ALL SELECT sys, page_id, 'C4-09', jumps::DOUBLE FROM all_ WHERE jumps >= 3
-  UNION ALL SELECT sys, page_id, 'C5-03', n_twice / n_lines::DOUBLE FROM all_ WHERE n_twice / n_lines::DOUBLE > 0.02
-  UNION ALL SELECT sys, page_id, 'C6-05', n_inside::DOUBLE FROM all_ WHERE n_inside > 0
-  UNION ALL SELECT sys, page_id, 'C7-03', n_thin::DOUBLE FROM all_ WHERE n_thin > 0
-  UNION ALL SELECT sys, page_id, 'C8-01', doc_running FROM all_ WHERE doc_n >= 5 AND doc_running >= 0.8 AND n_lines >= 20 AND running = 0
-  UNION ALL SELECT sys, page_id, 'C8-02', n_columns::DOUBLE FROM all_ WHERE doc_n >= 5 AND n_columns <> doc_columns
-  UNION ALL SELECT sys, page_id, 'C8-03', abs(n_regions - doc_mean) / doc_sd FROM all_ WHERE doc_n >= 5 AND doc_sd >= 1 AND abs(n_regions - doc_mean) / doc_sd > 4
-  UNION ALL SELECT sys, page_id, 'C8-05', n_classes::DOUBLE FROM all_ WHERE doc_n >= 5 AND doc_classes >= 4 AND n_classes <= 1 AND n_regions > 3)"""
+hits AS ({" UNION ALL ".join(f"SELECT sys, page_id, '{k}' AS check_id, ({v})::DOUBLE AS value FROM all_ WHERE ({cond}) AND {_runs(k)}" for k, (cond, v) in _CASES.items())}),
+miss AS ({" UNION ALL ".join(f"SELECT sys, page_id, '{k}' AS check_id FROM all_ WHERE {_skips(k)}" for k in _CASES)})"""
+
+
+_FINDINGS = _facts(f"{_MORE}, dis AS (SELECT *, blk AS rank FROM more)")
+_STRETCHED = _facts(f"{_SHIFTED}, dis AS (SELECT *, blk AS rank FROM more)")
+_FEATURES = _facts(f"""{_SHIFTED}, dis AS (SELECT *, CASE WHEN page_id % 5 = 0 THEN blk * 7 % 11 ELSE blk END AS rank FROM (
+  SELECT sys, page_id, doc, blk, x1, y1, x2, y2, cls FROM more UNION ALL SELECT DISTINCT sys, page_id, doc, 200, 2300, 100, 2304, 500, 'text' FROM regions WHERE sys = 2 AND page_id % 6 = 0))""")
+_LEVEL = "CASE " + " ".join(f"WHEN check_id = '{k}' THEN '{v}'" for k, v in (gate.SEVERITY | gate.POLICY["override"]["archive"]).items()) + " END"
+_GATE = f"""{_FINDINGS},
+judged AS (SELECT *, {_LEVEL} AS severity, CASE substr(check_id, 1, 2) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in gate.POLICY['tasks'].items())} END AS task FROM hits h
+  WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.sys = h.sys AND o.page_id = h.page_id AND ((h.check_id IN ('C1-01', 'C1-02', 'C1-03') AND o.check_id IN ('C1-02', 'C1-03', 'C1-04') AND o.check_id > h.check_id) OR (h.check_id = 'C3-01' AND o.check_id = 'C3-02')))),
+counted AS (SELECT sys, page_id, count(*) FILTER (severity = 'BLOCK') AS n_block, count(*) FILTER (severity = 'MAJOR') AS n_major, count(*) FILTER (severity = 'ADV') AS n_adv, min(task) FILTER (severity = 'BLOCK') AS first FROM judged GROUP BY ALL),
+vetoed AS (SELECT sys, page_id, count(*) FILTER (severity = 'BLOCK') AS n_veto, count(*) FILTER (severity <> 'BLOCK') AS n_unverifiable FROM (SELECT *, {_LEVEL} AS severity FROM miss) GROUP BY ALL),
+gated AS (SELECT s.sys, d.page_id, CASE WHEN psr_trust = 'unusable' THEN 'defer' WHEN n_block > 0 OR n_veto > 0 THEN 'escalate' ELSE 'accept' END AS decision,
+  CASE WHEN psr_trust = 'unusable' THEN NULL WHEN n_block > 0 THEN first WHEN n_veto > 0 THEN 'E6' END AS task, coalesce(n_block, 0) AS n_block, coalesce(n_major, 0) AS n_major, coalesce(n_adv, 0) AS n_adv, coalesce(n_unverifiable, 0) AS n_unverifiable,
+  round(least(1, 0.25 * coalesce(n_major, 0) + 0.05 * coalesce(n_adv, 0) + 0.15 * coalesce(n_unverifiable, 0)), 4)::DOUBLE AS risk
+  FROM facts d CROSS JOIN systems s LEFT JOIN counted c ON c.sys = s.sys AND c.page_id = d.page_id LEFT JOIN vetoed v ON v.sys = s.sys AND v.page_id = d.page_id)"""
 
 # On the stand-in pages a block is a cluster: its regions nearly coincide and others do not meet it.
 _CONSENSUS = f"""{WITH}, m AS (SELECT *, least(sys, 2) AS family FROM regions),
@@ -449,11 +504,14 @@ SELECT sys, doc, count(*) AS n_pages, round(avg(n), 6) AS mean_regions, round(st
 SELECT sys, page_id, n FROM x WHERE pages >= 5 AND sd >= 1 AND abs(n - mean) / sd > 1.5""",
     "metric_quantiles": f"""{WITH}, {OWNED}, v AS (SELECT s.sys, (n - coalesce(k, 0)) / n::DOUBLE AS v FROM (SELECT page_id, count(*) AS n FROM lines GROUP BY 1) l CROSS JOIN systems s LEFT JOIN (SELECT sys, page_id, count(*) AS k FROM owned GROUP BY ALL) o ON o.sys = s.sys AND o.page_id = l.page_id)
 SELECT sys, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90 FROM v GROUP BY sys""",
-    "longest_orphan_run": f"""{WITH}, {OWNED}, o AS (SELECT sys, page_id, line_id, x1, y1, y2, lag(y2) OVER w AS b, lag(x1) OVER w AS bx FROM orphan JOIN lines USING (page_id, line_id) WINDOW w AS (PARTITION BY sys, page_id ORDER BY x1, y1, line_id)),
-r AS (SELECT *, sum(CASE WHEN y1 - b <= 1.8 * (y2 - y1) AND bx = x1 THEN 0 ELSE 1 END) OVER (PARTITION BY sys, page_id ORDER BY x1, y1, line_id) AS run FROM o)
-SELECT sys, page_id, max(n) AS longest FROM (SELECT sys, page_id, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL""",
-    "shifted_findings": _FINDINGS.replace(_MORE, _SHIFTED) + " SELECT * FROM found",
+    "longest_orphan_run": f"{_FINDINGS} SELECT sys, page_id, longest FROM orr",
+    "shifted_findings": f"{_STRETCHED} SELECT sys, page_id, check_id, round(value, 6) AS value FROM hits",
     "feature_findings": f"{_FEATURES} SELECT sys, page_id, check_id, round(value, 6) AS value FROM hits",
+    "unverifiable_checks": f"{_FINDINGS} SELECT sys, check_id, count(*) AS n FROM miss GROUP BY ALL",
+    "page_columns": f"{WITH}, {_COLS} SELECT page_id, band_id, x0, x9 FROM cols",
+    "column_gutters": f"{WITH}, {_COLS} SELECT page_id, {layout.COLUMNS[0][1]}::BIGINT AS x0, {layout.COLUMNS[1][0]}::BIGINT AS x9 FROM corr",
+    "reading_lines": f"{WITH} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY y1, x1) - 1)::INT AS read, 3::BIGINT AS n_boxes, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, (y2 + 2)::DOUBLE AS y2 FROM lines",
+    "fragmentation": f"{WITH} SELECT page_id, count(*) * 3 AS n_boxes, count(*) AS n_lines, 3.0::DOUBLE AS fragmentation FROM lines GROUP BY page_id",
     "finding_rates": f"{_FEATURES} SELECT sys, check_id, count(*) AS n, round(avg(round(value, 6)), 5) AS mean_value FROM hits GROUP BY ALL",
     "page_consensus": f"{_CONSENSUS} SELECT * FROM per_page",
     "system_consensus": f"""{_CONSENSUS} SELECT sys, round(sum(found) / sum(total)::DOUBLE, 4) AS recall, round(sum(agree) / sum(found)::DOUBLE, 4) AS class_agreement, round(sum(backed) / sum(n)::DOUBLE, 4) AS precision, round(sum(solo) / sum(n)::DOUBLE, 4) AS solo_rate, sum(n)::BIGINT AS n FROM per_page GROUP BY sys""",
@@ -464,7 +522,7 @@ SELECT cls, CASE WHEN regions < 8 THEN 'insufficient evidence' WHEN n_equal > 1
     "run_agreement": f"{_AGREE} SELECT * FROM agree",
     "run_verdict": f"{_AGREE} SELECT count(*) AS n_pages, round(avg(box_agreement), 4) AS mean_agreement, CASE WHEN count(*) = 0 THEN 'no_result' WHEN avg(box_agreement) >= 0.85 THEN 'ok' ELSE 'MISMATCH' END AS verdict FROM agree",
     "shared_areas": f"{WITH}, {_SHIFTED}, {_AREAS.format('more')}",
-    "gate_findings": f"{_FINDINGS} SELECT * FROM found",
+    "gate_findings": f"{_FINDINGS} SELECT sys, page_id, check_id, round(value, 6) AS value FROM hits",
     "page_gate": f"{_GATE} SELECT * FROM gated",
     "gate_summary": f"{_GATE} SELECT sys, decision, count(*) AS n FROM gated GROUP BY ALL",
     "review_queue": f"{_GATE} SELECT task, sys, page_id, risk FROM gated WHERE decision = 'escalate' UNION ALL SELECT 'E7', sys, page_id, risk FROM gated WHERE decision = 'accept' AND substr(sha256('20260904|' || sys || '|' || page_id), 1, 8) < '0ccccccc'",
