@@ -40,16 +40,6 @@ def covered_by_class(lines: DataFrame, regions: DataFrame, buckets: list[str], l
     return l.join(r, on, "left_anti" if missing else "left_semi").select("sys", "page_id", "line_id")
 
 
-def partial_overlaps(regions: DataFrame, low: float = 0.5, high: float = 0.9) -> DataFrame:
-    """(sys, page_id, a, b, share): sibling regions that overlap partly, as a share of the smaller."""
-    b = regions.withColumn("bucket", bucket(F.col("cls")))
-    l, r = b.alias("l"), b.alias("r")
-    smaller = F.greatest(F.least(area(Box("l.")), area(Box("r."))), F.lit(1e-6))
-    share = intersection(Box("l."), Box("r.")) / smaller
-    on = (F.col("l.page_id") == F.col("r.page_id")) & (F.col("l.sys") == F.col("r.sys")) & (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.blk") < F.col("r.blk")) & touches(Box("l."), Box("r."))
-    return l.join(r, on).select("l.sys", "l.page_id", F.col("l.blk").alias("a"), F.col("r.blk").alias("b"), share.alias("share")).where((F.col("share") > low) & (F.col("share") <= high))
-
-
 def repeats(regions: DataFrame, tolerance: float = 4.0) -> DataFrame:
     """(sys, page_id, blk): regions within ``tolerance`` on all sides of an earlier one of their bucket."""
     b = regions.withColumn("bucket", bucket(F.col("cls")))
@@ -106,13 +96,6 @@ def page_columns(lines: DataFrame, bands: DataFrame) -> DataFrame:
     return held.select("page_id", F.when(F.col("ls").isNull(), F.col("bands")).otherwise(merged_bands(F.col("bands"), F.col("ls"))).alias("bands"))
 
 
-def spans_bands(regions: DataFrame, bands: DataFrame, least: float = 0.2) -> DataFrame:
-    """(sys, page_id, blk, n_bands): text regions that take more than ``least`` of two bands or more."""
-    text = regions.where(bucket(F.col("cls")) == "TEXT").join(bands.select("page_id", "bands"), "page_id")
-    over = F.filter("bands", lambda b: F.least(F.col("x2"), b["x9"]) - F.greatest(F.col("x1"), b["x0"]) > least * (b["x9"] - b["x0"]))
-    return text.select("sys", "page_id", "blk", F.size(over).alias("n_bands")).where("n_bands >= 2")
-
-
 def covered_cells(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, stride: int) -> tuple[int, int]:
     """Cells of the grid that boxes cover, and those that two boxes or more cover; counted between the boxes' edges."""
     a, b, c, d = np.floor(x1 / stride), np.floor(y1 / stride), np.ceil(x2 / stride), np.ceil(y2 / stride)
