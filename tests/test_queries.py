@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from pagequarry.plans import queries as layout
+from pagequarry.plans import registry as layout
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
