@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagequarry.plans import queries, report
+from pagequarry.plans import choices, queries, report
 
-QUERIES = queries.QUERIES | report.QUERIES
-SQL = queries.SQL | report.SQL
+QUERIES = queries.QUERIES | report.QUERIES | choices.QUERIES
+SQL = queries.SQL | report.SQL | choices.SQL
