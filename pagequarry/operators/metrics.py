@@ -158,7 +158,7 @@ def page_metrics(pages: DataFrame, lines: DataFrame, areas: DataFrame, bands: Da
     x = x.select("*", "m.*")
     return x.select(
         "sys", "page_id", F.size("rs").cast("long").alias("n_regions"), share("text_hit", "ref_text").alias("text_recall"), share("text_table_hit", "ref_text").alias("text_or_table_recall"), share("text_hit", "pred_text").alias("text_precision"),
-        share("spill", "pred_text").alias("text_spill"), share("captured", "n_body").alias("line_capture"), share("partly", "n_body").alias("line_partial_rate"), F.when(F.col("n_body") > 0, F.round("cover_mean", 4)).alias("line_cover_mean"),
+        share("spill", "pred_text").alias("text_spill"), share("captured", "n_body").alias("line_capture"), share("partly", "n_body").alias("line_partial_rate"), F.when(F.col("n_body") > 0, F.round("cover_mean", 6)).alias("line_cover_mean"),
         share("all_captured", "n_all").alias("any_region_capture"), share("graphic_captured", "n_graphic").alias("graphic_text_capture"), share("gridded_captured", "n_gridded").alias("table_text_capture"), share("split", "n_body").alias("line_split_rate"),
         share("n_texts", "n_body").alias("regions_per_line"), share("graphic_hit", "ref_graphic").alias("graphic_recall"), share("graphic_hit", "graphic_all").alias("graphic_iou"), share("table_hit", "ref_grid").alias("table_recall"),
         share("table_hit", "table_all").alias("table_iou"), F.size("bands").cast("long").alias("n_ref_columns"), "column_bleed", "gutter_cross", share("gutter_cross", "n_texts").alias("gutter_cross_rate"), share("column_bleed", "n_texts").alias("column_bleed_rate"),

@@ -93,7 +93,7 @@ rc AS (SELECT sys, page_id, count(*) AS n_regions, count(*) FILTER (is_text) AS
   FROM rg LEFT JOIN bn USING (page_id) GROUP BY ALL),
 ac AS (SELECT page_id, count(*) FILTER (kind = 'grid') AS n_ref_grids, count(*) FILTER (kind = 'graphic') AS n_ref_graphics FROM areas GROUP BY ALL),
 pm AS (SELECT sys, page_id, coalesce(n_regions, 0) AS n_regions, {_SHARE.format('hit', 'ref', 'text_recall')}, {_SHARE.format('"both"', 'ref', 'text_or_table_recall')}, {_SHARE.format('hit', 'text', 'text_precision')}, {_SHARE.format('spill', 'text', 'text_spill')},
-  {_SHARE.format('coalesce(captured, 0)', 'n_body', 'line_capture')}, {_SHARE.format('coalesce(partly, 0)', 'n_body', 'line_partial_rate')}, {_SHARE.format('coalesce(cover, 0)', 'n_body', 'line_cover_mean')}, {_SHARE.format('coalesce(anyway, 0)', 'n_all', 'any_region_capture')},
+  {_SHARE.format('coalesce(captured, 0)', 'n_body', 'line_capture')}, {_SHARE.format('coalesce(partly, 0)', 'n_body', 'line_partial_rate')}, round(coalesce(cover, 0) / nullif(n_body, 0), 6) AS line_cover_mean, {_SHARE.format('coalesce(anyway, 0)', 'n_all', 'any_region_capture')},
   {_SHARE.format('coalesce(in_graphic, 0)', 'n_graphic', 'graphic_text_capture')}, {_SHARE.format('coalesce(in_grid, 0)', 'n_grid', 'table_text_capture')}, {_SHARE.format('coalesce(cut, 0)', 'n_body', 'line_split_rate')}, {_SHARE.format('coalesce(n_text, 0)', 'n_body', 'regions_per_line')},
   {_SHARE.format('graphic_hit', 'graphic', 'graphic_recall')}, {_SHARE.format('graphic_hit', 'graphic_all', 'graphic_iou')}, {_SHARE.format('grid_hit', 'grid', 'table_recall')}, {_SHARE.format('grid_hit', 'grid_all', 'table_iou')}, coalesce(n_bands, 0) AS n_ref_columns,
   coalesce(bleed, 0) AS column_bleed, coalesce(crossing, 0) AS gutter_cross, {_SHARE.format('crossing', 'n_text', 'gutter_cross_rate')}, {_SHARE.format('bleed', 'n_text', 'column_bleed_rate')}, round(covered / {_W * _H}::DOUBLE, 4) AS page_coverage,
