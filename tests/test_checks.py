@@ -68,3 +68,11 @@ def test_fonts_rows_and_units(spark):
     assert got[(5, "C8-06")] == 0.5
     assert got[(0, "C4-08")] == 14 and (1, "C4-08") not in got  # eight cells of the first column, two others after each
     assert got[(0, "C6-01")] == 1 and got[(1, "C1-07")] == 2
+
+
+def test_first_block_makes_no_pair(spark):
+    """A pair takes two blocks: on page 1, five blocks of which two follow one in their row are two pairs, one too few."""
+    lines = [(p, n, 10 + 150 * (n % 2), 100 + 20 * (n // 2), 100 + 150 * (n % 2), 112 + 20 * (n // 2)) for p in (1, 2) for n in range(6)]
+    regions = [(p, "d", n, *lines[6 * (p - 1) + n][2:], "text") for p in (1, 2) for n in range(5 if p == 1 else 6)]
+    got = found(spark, [(1, "d", 20, "rtl"), (2, "d", 20, "rtl")], lines, regions)
+    assert (1, "C4-10") not in got and got[(2, "C4-10")] == 1
