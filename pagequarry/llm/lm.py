@@ -18,6 +18,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,10 +33,12 @@ UNITS, SHARED = 512, 32
 DIM, CONTEXT = 24, 2
 #: Noise units drawn for each batch of positions, positions in a batch, step of the gradient, rounds of training.
 NOISE, BATCH, STEP, ROUNDS = 64, 2048, 0.15, 3
-#: Words in the table that every task holds.
+#: Words in the table that every task holds; more only where more have units of their own.
 TABLE_WORDS = 150_000
 #: Words of a task's counter before it is emptied into the shuffle.
 COUNTER_WORDS = 800_000
+#: Scores that are worked on at a time.
+SCORES = 2**18
 #: Contexts whose norms a worker remembers.
 KNOWN_NORMS = 2**24
 #: The end of a text as a token; no word holds a blank.
@@ -73,7 +76,8 @@ class Words:
         ordered = sorted(frequent, key=lambda x: (x[0] != END, -x[1], x[0]))
         if not ordered or ordered[0][0] != END:
             ordered.insert(0, (END, 0))
-        self.own = own = own_units(distinct)
+        # a unit without a word would hold probability that no word gets
+        self.own = own = min(own_units(distinct), len(ordered))
         self.n_units = own + SHARED
         self.at = {w: i for i, (w, _) in enumerate(ordered)}
         self.counts = np.array([n for _, n in ordered], dtype=np.float64)
@@ -91,8 +95,7 @@ class Words:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Places in the table, -1 outside."""
-        get = self.at.get
-        return np.array([get(w, -1) for w in words], dtype=np.int32)
+        return np.fromiter(map(self.at.get, words, repeat(-1)), dtype=np.int32, count=len(words))
 
     def units_of(self, words: list[bytes], at: np.ndarray) -> np.ndarray:
         units = self.units[at]
@@ -102,8 +105,8 @@ class Words:
 
 
 def own_units(distinct: int) -> int:
-    """Words with units of their own: as many as the root of the vocabulary, within the table."""
-    return min(max(UNITS - SHARED, math.isqrt(distinct)), TABLE_WORDS)
+    """Words with units of their own, if there are so many: the root of the vocabulary, which the table grows to hold."""
+    return max(UNITS - SHARED, math.isqrt(distinct))
 
 
 def shared_unit(word: bytes, own: int) -> int:
@@ -144,17 +147,22 @@ class LogBilinear:
         """Noise-contrastive steps over all positions, in shuffled batches; ``squares`` are the steps' running scales."""
         order, n_units, self.norms = rng.permutation(len(units)), len(self.noise), None
         ln_noise = np.log(NOISE * self.noise).astype(np.float32)
+        drawn = self.noise.cumsum()
+        drawn /= drawn[-1]
         for lo in range(0, len(order), BATCH):
             at = order[lo : lo + BATCH]
             w, ctx = units[at], before[:, at]
             vin, vout, bias, maps = self.params
             r = [vin[c] for c in ctx]
             q = sum(r[k] @ maps[k] for k in range(CONTEXT))
-            noise = rng.choice(n_units, NOISE, p=self.noise)
-            target = vout[w]
-            d_true = 1 - sigmoid((q * target).sum(1) + bias[w] - ln_noise[w])
-            d_noise = -sigmoid(q @ vout[noise].T + bias[noise] - ln_noise[noise])
-            gq = d_true[:, None] * target + d_noise @ vout[noise]
+            noise = drawn.searchsorted(rng.random(NOISE), side="right")
+            target, other = vout[w], vout[noise]
+            d_true = sigmoid(ln_noise[w] - bias[w] - np.einsum("ij,ij->i", q, target))
+            d_noise = q @ other.T
+            d_noise += bias[noise] - ln_noise[noise]
+            np.negative(sigmoid(d_noise), out=d_noise)
+            gq = d_noise @ other
+            gq += d_true[:, None] * target
             g_out = scatter(w, d_true[:, None] * q, n_units)
             np.add.at(g_out, noise, d_noise.T @ q)
             g_bias = np.bincount(w, d_true, n_units)
@@ -162,9 +170,12 @@ class LogBilinear:
             g_in = sum(scatter(ctx[k], gq @ maps[k].T, n_units + 1) for k in range(CONTEXT))
             g_maps = np.stack([r[k].T @ gq for k in range(CONTEXT)])
             for k, g in enumerate((g_in, g_out, g_bias, g_maps)):
-                g = (g / len(at)).astype(np.float32)
+                g = np.multiply(g, 1 / len(at), dtype=np.float32, casting="same_kind")
                 squares[k] += g * g
-                self.params[k] += STEP * g / np.sqrt(squares[k] + 1e-8)
+                scale = np.sqrt(squares[k] + np.float32(1e-8))
+                g *= np.float32(STEP)
+                g /= scale
+                self.params[k] += g
 
     def log10(self, units: np.ndarray, before: np.ndarray, rows: int = 8192) -> np.ndarray:
         """log10 P(unit | context) of each position; each distinct context goes through the softmax once."""
@@ -178,8 +189,8 @@ class LogBilinear:
 
         def norms(distinct: np.ndarray) -> np.ndarray:
             out = np.empty(len(distinct))
-            # as many scores at a time as rows of the least model have
-            step = max(1, rows * UNITS // size)
+            # as many scores at a time as stay in a core's cache
+            step = max(1, SCORES // size)
             for lo in range(0, len(distinct), step):
                 code = distinct[lo : lo + step]
                 s = asum([code // size ** (CONTEXT - 1 - k) % size for k in range(CONTEXT)]) @ vout.T + bias
@@ -204,13 +215,30 @@ class LogBilinear:
         return out / math.log(10)
 
 
+#: The last model that a worker scored with, whose norms serve its later tasks.
+_last: dict[str, LogBilinear] = {}
+
+
+def remembered(name: str, words: Words, packed: bytes) -> LogBilinear:
+    if name not in _last:
+        _last.clear()
+        _last[name] = LogBilinear(words.unigram()).load(packed)
+    return _last[name]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """Of ``x`` in place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of ``rows`` by ``at``."""
-    return np.stack([np.bincount(at, rows[:, d], n) for d in range(rows.shape[1])], axis=1)
+    d = rows.shape[1]
+    return np.bincount((at[:, None] * np.int64(d) + np.arange(d)).ravel(), rows.ravel(), n * d).reshape(n, d)
 
 
 def positions(texts: Iterator[str | None], words: Words) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -225,16 +253,24 @@ def positions(texts: Iterator[str | None], words: Words) -> tuple[list[bytes], n
 
 
 def learn_words(counted: DataFrame) -> Words:
-    """The frequent-word table from exact counts; what reaches the driver is bounded by TABLE_WORDS."""
+    """The frequent-word table from exact counts; what reaches the driver is bounded by TABLE_WORDS, or by the words that have
+    units of their own. Words go by levels of counts; where whole levels hold too few, the first words of the next follow."""
     level = F.floor(F.log2("n") * 4).cast("int")
     histogram = counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect()
-    least, held = 10**6, 0
+    distinct = sum(r["k"] for r in histogram)
+    own = own_units(distinct)
+    least, held, following = 10**6, 0, None
     for at, k in sorted(((r["level"], r["k"]) for r in histogram), reverse=True):
-        if held + k > TABLE_WORDS:
+        if held + k > max(TABLE_WORDS, own):
+            following = at
             break
         least, held = at, held + k
-    frequent = [(bytes(r["word"]), r["n"]) for r in counted.where((level >= least) | (F.col("word") == F.lit(bytearray(END)))).collect()]
-    words = Words(frequent, sum(r["n"] for r in histogram), sum(r["k"] for r in histogram), {})
+    end = F.col("word") == F.lit(bytearray(END))
+    rows = counted.where((level >= least) | end).collect()
+    if following is not None and held < own:
+        rows += counted.where((level == following) & ~end).orderBy(F.desc("n"), "word").limit(own - held).collect()
+    frequent = [(bytes(r["word"]), r["n"]) for r in rows]
+    words = Words(frequent, sum(r["n"] for r in histogram), distinct, {})
     unit = F.lit(words.own) + F.pmod(F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int"), F.lit(SHARED))
     sums = {r["u"]: [r["n"], r["k"]] for r in counted.groupBy(unit.alias("u")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()}
     for w in words.own_words:  # these are units of their own
@@ -289,13 +325,13 @@ def score(docs: DataFrame, counted: DataFrame, words: Words, model: LogBilinear,
     spark = docs.sparkSession
     keep = ["doc_id"] if keep is None else keep
     kept = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    both = spark.sparkContext.broadcast((words, model.pack()))
+    both, model_id = spark.sparkContext.broadcast((words, model.pack())), uuid.uuid4().hex
     extra = "n_tokens long, n_known long, base_score double, score double, __row string, __rare array<struct<w: binary, n: int>>"
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [extra])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, packed = both.value
-        net = LogBilinear(known.unigram()).load(packed)
+        net = remembered(model_id, known, packed)
         base_ln = math.log10(known.tokens + 0.5 * (known.distinct + 1))
         # what a unit's shared probability is divided by; own units have it all
         share = np.zeros(known.n_units)

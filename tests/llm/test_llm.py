@@ -556,6 +556,17 @@ def test_lm_grows_with_the_vocabulary():
         assert got[i] == pytest.approx((s[at[i]] - np.log(np.exp(s).sum())) / math.log(10), abs=1e-4)
 
 
+def test_lm_own_units_have_words(spark, monkeypatch):
+    """The first words by count have units of their own also where the table's levels are cut short, and no unit is empty."""
+    monkeypatch.setattr(lm, "TABLE_WORDS", 100)
+    counts = [(b"w%03d" % k, 3 if k < 50 else 1) for k in range(700)] + [(lm.END, 9)]
+    words = lm.learn_words(spark.createDataFrame(counts, "word binary, n long"))
+    assert words.own == lm.UNITS - lm.SHARED and words.own_words == {w for w, _ in sorted(counts, key=lambda x: (x[0] != lm.END, -x[1], x[0]))[: words.own]}
+    assert sum(n for n, _ in words.shared.values()) == 701 - words.own and lm.own_units(4 * lm.TABLE_WORDS**4) == 2 * lm.TABLE_WORDS**2
+    few = lm.learn_words(spark.createDataFrame(counts[:20], "word binary, n long"))
+    assert few.own == 21 and set(few.units.tolist()) == set(range(21))
+
+
 def test_lm_odd_rows(odd, none):
     counted = lm.word_counts(odd)
     words = lm.learn_words(counted)
