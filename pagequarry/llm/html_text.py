@@ -17,8 +17,8 @@ where the template says nothing of them, never around the main part. A host with
 template; there the names decide, and where a page has an article or main element with text, the text outside goes.
 
 Templates are deduced from all pages of a host. Pages are dealt out by host, those of a host with more than ``BUCKET`` pages
-in several buckets by content, where what fills the slots is counted up. A host in one bucket is deduced there. For the
-others, a word frequent among all pages is frequent in some bucket, so the buckets name candidates, then count them
+in several buckets by content. A host in one bucket is deduced there. For the others, what fills the slots meets by a hash
+of its text over all buckets, and a word frequent among all pages is frequent in some bucket, so the buckets name candidates, then count them
 exactly, and the counts are added up.
 """
 
@@ -232,25 +232,22 @@ def vectors(pages: dict[int, Page], of: set[Token] | None = None) -> dict[Token,
     return out
 
 
-def fillings(pages: dict[int, Page]) -> dict[Path, list[int]]:
-    """What fills the slots: by path the pages that have text there, its words, and those that come again on another of
-    the pages as the path's whole text."""
-    seen: Counter = Counter()
-    held: list[tuple[Path, int, int]] = []
+def fillings(pages: dict[int, Page]) -> dict[Path, dict[int, list[int]]]:
+    """What fills the slots: by path its whole texts, by a hash, each with its words and the pages that have it there."""
+    out: dict[Path, dict[int, list[int]]] = defaultdict(dict)
     for _, texts in pages.values():
         for path, nodes in texts.items():
-            text = hash((path, *[" ".join(ws) for ws in nodes]))
-            seen[text] += 1
-            held.append((path, sum(map(len, nodes)), text))
-    out: dict[Path, list[int]] = defaultdict(lambda: [0, 0, 0])
-    for path, n, text in held:
-        f = out[path]
-        f[0] += 1
-        f[1] += n
-        f[2] += n if seen[text] > 1 else 0
+            text = signed(int.from_bytes(hashlib.blake2b("\n".join(map(" ".join, nodes)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big"))
+            out[path].setdefault(text, [sum(map(len, nodes)), 0])[1] += 1
     return out
 
 
+def summed(filled: dict[Path, dict[int, list[int]]]) -> dict[Path, list[int]]:
+    """By path the pages that have text there, its words, and those that come again on another of the pages as the path's
+    whole text."""
+    return {path: [sum(k for _, k in of.values()), sum(n * k for n, k in of.values()), sum(n * k for n, k in of.values() if k > 1)] for path, of in filled.items()}
+
+
 def signed(x: int) -> int:
     """The same 64 bits as a bigint."""
     return x - 2**64 if x >= 2**63 else x
@@ -403,7 +400,7 @@ def host_of(url):
 def host_template(pages: list[str]) -> dict:
     """The template of a host from all its pages at once."""
     of = page_keys(pages)
-    return deduce(vectors(of), fillings(of), len(of)) if len(of) >= SURE_PAGES else {}
+    return deduce(vectors(of), summed(fillings(of)), len(of)) if len(of) >= SURE_PAGES else {}
 
 
 def templates(pages: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -427,17 +424,16 @@ def templates(pages: DataFrame, bucket: int = BUCKET) -> DataFrame:
     # copies are one page: those of a task are sent once, and the rest meet where they are dealt to
     dealt = rows.mapInPandas(once, rows.schema).repartition("host", "part").dropDuplicates(["host", "part", "html"])
 
-    def named(filled: dict[Path, list[int]], n_pages: int) -> str:
-        return json.dumps([n_pages, [[list(p), *f] for p, f in filled.items()]])
-
     def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         if key[1] < 0:
-            return pd.DataFrame({"host": [key[0]], "template": [json.dumps(host_template(list(group["html"])))], "token": [None], "filled": [None]})
+            return pd.DataFrame({"host": [key[0]], "template": [json.dumps(host_template(list(group["html"])))], "token": [None], "pages": [None], "path": [None], "texts": [None]}, dtype=object)
         of = page_keys(list(group["html"]))
         asked = [json.dumps(t) for t in candidates(list(of.values()), 1)]
-        return pd.DataFrame({"host": key[0], "template": None, "token": [None, *asked], "filled": [named(fillings(of), len(of)), *[None] * len(asked)]}, dtype=object)
+        filled = [(json.dumps(p), [{"h": h, "n": n, "k": k} for h, (n, k) in texts.items()]) for p, texts in fillings(of).items()]
+        none, n = [None] * len(asked), len(filled)
+        return pd.DataFrame({"host": key[0], "template": None, "token": [*asked, *[None] * n, None], "pages": [*none, *[None] * n, len(of)], "path": [*none, *[p for p, _ in filled], None], "texts": [*none, *[t for _, t in filled], None]}, dtype=object)
 
-    learned = stage_table(dealt.groupBy("host", "part").applyInPandas(learn, "host string, template string, token string, filled string"), "templates")
+    learned = stage_table(dealt.groupBy("host", "part").applyInPandas(learn, "host string, template string, token string, pages long, path string, texts array<struct<h: bigint, n: bigint, k: bigint>>"), "templates")
     whole = learned.where("template IS NOT NULL").select("host", "template")
     if not split.head(1):
         return whole
@@ -446,7 +442,7 @@ def templates(pages: DataFrame, bucket: int = BUCKET) -> DataFrame:
     def count(key: tuple, group: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         names = {as_token(json.loads(t)): t for t in wanted["token"]}
         found = vectors(page_keys(list(group["html"])), set(names))
-        return pd.DataFrame({"host": key[0], "token": [names[t] for t in found], "n": [n for n, _ in found.values()], "v": [signed(x) for _, x in found.values()]})
+        return pd.DataFrame({"host": key[0], "token": [names[t] for t in found], "n": [n for n, _ in found.values()], "v": [signed(x) for _, x in found.values()]}, dtype=object)
 
     counted = dealt.where("part >= 0").groupBy("host", "part").cogroup(asked.groupBy("host", "part")).applyInPandas(count, "host string, token string, n long, v long")
     # what stands in fewer pages is in no constant word's class
@@ -454,15 +450,15 @@ def templates(pages: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     def join(key: tuple, group: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         found = {as_token(json.loads(t)): [n, v] for t, n, v in zip(group["token"], group["n"], group["v"], strict=True)}
-        filled, n_pages = defaultdict(lambda: [0, 0, 0]), 0
-        for text in parts["filled"]:
-            n, rows_ = json.loads(text)
-            n_pages += n
-            for p, *f in rows_:
-                filled[tuple(p)] = [x + y for x, y in zip(filled[tuple(p)], f, strict=True)]
-        return pd.DataFrame({"host": [key[0]], "template": [json.dumps(deduce(found, filled, n_pages))]})
-
-    filled = learned.where("filled IS NOT NULL").select("host", "filled")
+        rows_ = parts[parts["path"].notna()]
+        filled = {tuple(json.loads(p)): [int(a), int(b), int(c)] for p, a, b, c in zip(rows_["path"], rows_["k"], rows_["words"], rows_["again"], strict=True)}
+        return pd.DataFrame({"host": [key[0]], "template": [json.dumps(deduce(found, filled, int(parts["pages"].fillna(0).sum())))]})
+
+    # a text may come again in another bucket, so texts meet by their hash before a path is summed up
+    met = learned.where("path IS NOT NULL").select("host", "path", F.explode("texts").alias("t")).groupBy("host", "path", F.col("t.h").alias("h")).agg(F.max("t.n").alias("n"), F.sum("t.k").alias("k"))
+    words = F.col("n") * F.col("k")
+    by_path = met.groupBy("host", "path").agg(F.sum("k").alias("k"), F.sum(words).alias("words"), F.sum(F.when(F.col("k") > 1, words).otherwise(0)).alias("again")).withColumn("pages", F.lit(None).cast("long"))
+    filled = by_path.unionByName(learned.where("pages IS NOT NULL").select("host", "pages"), allowMissingColumns=True)
     return stage_table(whole.union(added.groupBy("host").cogroup(filled.groupBy("host")).applyInPandas(join, "host string, template string")), "templates")
 
 

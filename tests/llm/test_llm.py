@@ -504,6 +504,18 @@ def test_html_templates_of_all_pages(spark):
     assert all(texts[228 + k] == f"Story{k} of{k} its{k} kind" for k in range(12))
 
 
+def test_html_texts_that_come_again_in_another_bucket(spark):
+    """A notice's text comes twice among a host's pages, mostly not in one bucket: the template is that of all pages at once."""
+    import json
+
+    pages = [f"<html><body><div class=c1><p>t{k} p{k} r{k} q{k} s{k} u{k}</p></div><div class=c2><p>see n{k // 2} m{k // 2}</p></div></body></html>" for k in range(64)]
+    df = spark.createDataFrame([(k, "http://h/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    want = html_text.host_template(pages)
+    assert want["beside"]
+    for bucket in (4, 16, 64):
+        assert [json.loads(r["template"]) for r in html_text.templates(df, bucket).collect()] == [want]
+
+
 def test_html_odd_rows(spark):
     long = "<article><p>" + "many words " * 100_000 + "</p></article>"
     rows = [(1, None, None, "x"), (1, None, None, "x"), (2, "http://a/", "", "y"), (3, "not an address", "<p>one", None), (None, "http://a/", "<article>two</article>", "z"), (5, "http://a/", long, "z"), (6, "http://a/", "<div><span>a<b>c</span>d</b><", "z")]
