@@ -197,20 +197,23 @@ def class_presence(metrics: DataFrame, regions: DataFrame) -> DataFrame:
 
 def class_evidence(metrics: DataFrame, regions: DataFrame) -> DataFrame:
     """One row a system: medians on pages that have something to find, hit rates on pages with tables, and shares of pages
-    with running matter and with captions."""
+    with running matter and with captions.
+
+    All come from one pass over ``metrics``, which may be a long plan. The medians' metrics are shares to four places, so a
+    task holds some ten thousand different values at most.
+    """
     of = lambda names: F.max(F.col("cls").isin(names).cast("int"))
     kinds = regions.groupBy("sys", "page_id").agg(of(["header", "footer", "page_number"]).alias("running"), of(["caption"]).alias("caption"))
     x = metrics.join(kinds, ["sys", "page_id"], "left")
     table, figure, columns = F.col("n_ref_grids") > 0, F.col("n_ref_graphics") > 0, F.col("n_ref_columns") >= 2
     subsets = {"table_iou_on_table_pages": (table, "table_iou"), "table_recall_on_table_pages": (table, "table_recall"), "figure_iou_on_figure_pages": (figure, "graphic_iou"), "text_recall_multicol": (columns, "text_recall"), "bleed_multicol": (columns, "column_bleed_rate")}
-    long = metrics.select("sys", *[F.when(on, F.col(c)).alias(n) for n, (on, c) in subsets.items()]).unpivot(["sys"], list(subsets), "name", "v")
-    medians = quantiles(long, ["sys", "name"], "v", [0.5]).groupBy("sys").pivot("name", list(subsets)).agg(F.first(F.round(F.col("q")[0], 6)))
+    medians = [F.round(F.percentile(F.when(on, F.col(c)), F.lit(0.5)), 6).alias(n) for n, (on, c) in subsets.items()]
     hit = lambda least: F.round(F.count_if(table & (F.coalesce("table_iou", F.lit(0.0)) >= least)) / F.greatest(F.count_if(table), F.lit(1)), 3)
-    rates = x.groupBy("sys").agg(
+    return x.groupBy("sys").agg(
         F.count_if(table).alias("n_table_pages"), hit(0.5).alias("table_hit_rate"), hit(0.2).alias("table_partial_rate"), F.round(F.avg(F.coalesce("running", F.lit(0))), 3).alias("headerfooter_pages"),
         F.round(F.avg(F.coalesce("caption", F.lit(0))), 3).alias("caption_pages"), (F.avg(F.col("has_reading_order").cast("int")) >= 0.5).alias("reading_order"), (F.avg(F.col("has_polygons").cast("int")) >= 0.5).alias("polygons"),
+        *medians,
     )
-    return rates.join(medians, "sys", "left")
 
 
 #: Rated dimensions: weight, cuts, whether low is good, classes it depends on, whether it needs text to be found (fixed values).
@@ -271,14 +274,19 @@ def separability(metrics: DataFrame, metric: str, apart: float = 1e-9) -> DataFr
     """(sys, place, mean, leader, p_vs_leader): systems by their mean of a metric, and whether each can be told from the first
     that shows more than one class on a page. Equal means go by system; null values are left out.
 
-    A page's values meet in one row, so systems are compared with the leader without a join of pages.
+    A page's values meet in one row, where each system is compared with every other, so one pass over ``metrics``, which may
+    be a long plan, gives all that is needed once the leader is known; what remains is one row for each two systems.
     """
-    x = metrics.where(F.col(metric).isNotNull()).select("sys", "page_id", F.col(metric).alias("v"), "class_diversity")
-    s = x.groupBy("sys").agg(F.avg("v").alias("mean")).join(metrics.groupBy("sys").agg((F.max("class_diversity") <= 1).alias("single")), "sys")
-    order = F.row_number().over(Window.orderBy(F.desc("mean"), "sys"))  # one row a system
-    placed = s.withColumn("place", order)
-    lead = placed.agg(F.min_by("sys", F.struct("single", "place")).alias("leader"))
-    page = x.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("sys", "v"))).alias("m")).join(F.broadcast(lead))  # one row
-    gap = page.select("leader", F.element_at("m", F.col("leader")).alias("top"), F.explode("m").alias("sys", "v")).withColumn("d", F.col("v") - F.col("top"))
-    signs = gap.groupBy("sys", "leader").agg(F.count_if(F.col("d") > apart).alias("up"), F.count_if(F.col("d") < -apart).alias("down"))
-    return placed.join(signs, "sys").select("sys", "place", F.round("mean", 4).alias("mean"), "leader", F.round(sign_test(F.least("up", "down"), F.col("up") + F.col("down")), 4).alias("p_vs_leader"))
+    x = metrics.select("sys", "page_id", F.col(metric).alias("v"), "class_diversity")
+    page = x.groupBy("page_id").agg(F.collect_list(F.struct("sys", "v", "class_diversity")).alias("a"))
+    pairs = page.select(F.explode("a").alias("a"), F.col("a").alias("others")).select("a", F.explode("others").alias("b"))
+    d = F.col("a.v") - F.col("b.v")
+    met = pairs.groupBy(F.col("a.sys").alias("sys"), F.col("b.sys").alias("other")).agg(
+        F.avg(F.when(F.col("a.sys") == F.col("b.sys"), F.col("a.v"))).alias("mean"), F.max("a.class_diversity").alias("most"), F.count(d).alias("n"), F.count_if(d > apart).alias("up"), F.count_if(d < -apart).alias("down")
+    )
+    sides = F.map_from_entries(F.collect_list(F.struct("other", F.struct("n", "up", "down"))))
+    s = met.groupBy("sys").agg(F.max("mean").alias("mean"), (F.max("most") <= 1).alias("single"), sides.alias("sides")).where("mean IS NOT NULL")
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row a system
+    placed = s.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), "sys"))).withColumn("leader", F.min_by("sys", F.struct("single", "place")).over(every))
+    found = placed.withColumn("t", F.element_at("sides", F.col("leader"))).where("t.n > 0")
+    return found.select("sys", "place", F.round("mean", 4).alias("mean"), "leader", F.round(sign_test(F.least("t.up", "t.down"), F.col("t.up") + F.col("t.down")), 4).alias("p_vs_leader"))

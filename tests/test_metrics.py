@@ -82,3 +82,45 @@ def test_quantiles(spark):
     for k in "ab":
         v = [x for n, x in rows if n == k and x is not None]
         assert got[k]["mean"] == pytest.approx(np.mean(v)) and got[k]["q"] == pytest.approx([np.percentile(v, p) for p in (10, 50, 90)])
+
+
+def metric_rows(spark):
+    r = random.Random(6)
+    rows = [(s, p, None if r.random() < 0.2 else r.randrange(9) / 8, r.randrange(1, 2 + s % 2), r.randrange(2), r.randrange(2), r.randrange(4), r.random() < 0.5) for s in range(4) for p in range(80) if r.random() < 0.9]
+    df = spark.createDataFrame(rows, "sys long, page_id long, v double, class_diversity long, n_ref_grids long, n_ref_graphics long, n_ref_columns long, has_polygons boolean")
+    return rows, df.withColumn("has_reading_order", F.col("has_polygons"))
+
+
+def scans(df):
+    """How often a plan reads the table that it is made of."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+
+
+def test_separability_in_one_pass(spark):
+    rows, df = metric_rows(spark)
+    out = metrics.separability(df, "v")
+    assert scans(out) == 1
+    got = {x["sys"]: x for x in out.collect()}
+    mean = {s: np.mean([x[2] for x in rows if x[0] == s and x[2] is not None]) for s in range(4)}
+    single = {s: max(x[3] for x in rows if x[0] == s) <= 1 for s in range(4)}
+    order = sorted(mean, key=lambda s: (-mean[s], s))
+    leader = min(order, key=lambda s: (single[s], order.index(s)))
+    at = {(x[0], x[1]): x[2] for x in rows if x[2] is not None}
+    for s in range(4):
+        d = [at[s, p] - at[leader, p] for p in range(80) if (s, p) in at and (leader, p) in at]
+        up, down = sum(v > 0 for v in d), sum(v < 0 for v in d)
+        assert (got[s]["place"], got[s]["leader"], got[s]["mean"]) == (order.index(s) + 1, leader, round(mean[s], 4))
+        assert got[s]["p_vs_leader"] == pytest.approx(round(metrics.sign_p(min(up, down), up + down), 4))
+
+
+def test_class_evidence_in_one_pass(spark):
+    rows, df = metric_rows(spark)
+    df = df.withColumns({c: F.col("v") for c in ("table_iou", "table_recall", "graphic_iou", "text_recall", "column_bleed_rate")})
+    regions = spark.createDataFrame([(0, 1, "header"), (1, 2, "caption")], "sys long, page_id long, cls string")
+    out = metrics.class_evidence(df, regions)
+    assert scans(out) == 2  # metrics and regions, once each
+    for x in out.collect():
+        mine = [r for r in rows if r[0] == x["sys"]]
+        for name, on in (("table_iou_on_table_pages", 4), ("figure_iou_on_figure_pages", 5)):
+            assert x[name] == pytest.approx(np.median([r[2] for r in mine if r[on] > 0 and r[2] is not None]))
+        assert x["n_table_pages"] == sum(r[4] > 0 for r in mine) and x["headerfooter_pages"] == round(any(r[:2] == (0, 1) for r in mine) / len(mine), 3)
