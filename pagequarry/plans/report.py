@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,8 @@ def class_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def system_ratings(spark: SparkSession, d: str) -> DataFrame:
-    m, r = page_metrics(spark, d), base.shifted(spark, d)
+    # measured once for the three reports that draw from it
+    m, r = page_metrics(spark, d).localCheckpoint(storageLevel=StorageLevel.DISK_ONLY), base.shifted(spark, d)
     words = spark.createDataFrame([(s, c) for s, known in KNOWN.items() for c in known], "sys long, cls string")
     return metrics.ratings(metrics.metric_summary(m), metrics.class_presence(m, r), metrics.class_evidence(m, r), base.system_consensus(spark, d), words)
 

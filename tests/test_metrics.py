@@ -124,3 +124,12 @@ def test_class_evidence_in_one_pass(spark):
         for name, on in (("table_iou_on_table_pages", 4), ("figure_iou_on_figure_pages", 5)):
             assert x[name] == pytest.approx(np.median([r[2] for r in mine if r[on] > 0 and r[2] is not None]))
         assert x["n_table_pages"] == sum(r[4] > 0 for r in mine) and x["headerfooter_pages"] == round(any(r[:2] == (0, 1) for r in mine) / len(mine), 3)
+
+
+def test_shared_inputs_are_made_once(spark):
+    """Plans that draw several times from one input do not hold its plan several times."""
+    from pagequarry.plans import choices, report
+
+    plan = lambda f: f(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "measured(" not in plan(report.system_ratings)
+    assert "Relation" not in plan(choices.defect_sensitivity)
