@@ -70,6 +70,35 @@ def band_numbers(box: np.ndarray, bands: np.ndarray, width: float, full: float =
     return np.where((wide <= full * width) & (taken.sum(axis=1) == 1), taken.argmax(axis=1) if bands.shape[1] else -1, -1)
 
 
+def rows_meet(line: np.ndarray) -> np.ndarray:
+    """Whether each line shares its row with each other, by more than half of its height."""
+    return np.minimum(line[3][:, None], line[3]) - np.maximum(line[1][:, None], line[1]) > 0.5 * np.maximum(line[3] - line[1], 1e-6)[:, None]
+
+
+def running_bands(bands: np.ndarray, line: np.ndarray, meet: np.ndarray | None, most: float = 0.5) -> np.ndarray:
+    """``spatial.merged_bands`` on a page's arrays."""
+    within = lambda b: np.flatnonzero((line[0] >= b[0] - 2) & (line[2] <= b[1] + 2))
+    done: list[list[float]] = []
+    for b in bands.T.tolist():
+        if done:
+            left, right = within(done[-1]), within(b)
+            if left.size and right.size and meet[np.ix_(left, right)].any(axis=1).sum() > most * left.size:
+                done[-1][1] = b[1]
+                continue
+        done.append(b)
+    return np.array(done).T if done else bands
+
+
+def apart(corridors: np.ndarray, line: np.ndarray, meet: np.ndarray | None, most: float = 0.5) -> np.ndarray:
+    """``open_corridors`` on a page's arrays."""
+    kept = np.zeros(corridors.shape[1], dtype=bool)
+    for k, (x0, x9) in enumerate(corridors.T):
+        w = x9 - x0
+        left, right = np.flatnonzero((line[2] <= x0 + 2) & (line[2] > x0 - 6 * w)), np.flatnonzero((line[0] >= x9 - 2) & (line[0] < x9 + 6 * w))
+        kept[k] = left.size > 0 and right.size > 0 and meet[np.ix_(left, right)].any(axis=1).sum() <= most * left.size
+    return corridors[:, kept]
+
+
 class Page:
     """What all systems share of a page: lines, reading lines, bands, corridors, areas."""
 
@@ -232,6 +261,32 @@ def column_gutters(lines: DataFrame, gutters: DataFrame) -> DataFrame:
     return held.join(lines_of_pages(lines), "page_id").select("page_id", open_corridors(F.col("gutters"), F.col("ls")).alias("gutters")).where(F.size("gutters") > 0)
 
 
+def page_rows(pages: DataFrame, lines: DataFrame, regions: DataFrame, bands: DataFrame, areas: DataFrame, gutters: DataFrame, region: Column, numbers: list[str], others: list[str] = ()) -> DataFrame:
+    """Each row of ``pages`` with arrays of what lies on its page, as columns of numbers: lines (ls_*), regions (rs_*, those
+    fields of ``region`` and ``others`` as they are), raw bands, corridors (gs_*), graphics and grids."""
+    x = pages.join(lines_of_pages(lines), "page_id", "left").join(regions.groupBy("page_id").agg(F.array_sort(F.collect_list(region)).alias("rs")), "page_id", "left")
+    x = x.join(bands.select("page_id", "bands"), "page_id", "left").join(gutters.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("x0", "x9"))).alias("gs")), "page_id", "left")
+    x = x.join(areas.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("kind", "area_id", *spatial.SIDES))).alias("areas")), "page_id", "left")
+    as_numbers = lambda a, c: F.col(a)[c].cast("array<double>").alias(f"{a}_{c}")
+    of = lambda kind: F.filter("areas", lambda v: v["kind"] == kind)
+    x = x.select(*pages.columns, (F.size(F.coalesce("gs", F.array())) > 0).alias("any_gutter"), "ls", "rs", "bands", "gs", of("graphic").alias("graphics"), of("grid").alias("grids"))
+    each = [as_numbers(a, c) for a in ("ls", "graphics", "grids") for c in spatial.SIDES] + [as_numbers(a, c) for a in ("bands", "gs") for c in ("x0", "x9")]
+    return x.select(*pages.columns, "any_gutter", *each, *[as_numbers("rs", c) for c in numbers], *[F.col("rs")[c].alias(c) for c in others])
+
+
+def stack(r: dict, a: str, names: list[str]) -> np.ndarray:
+    """Columns of numbers of a row of ``page_rows`` as rows of an array."""
+    none = np.empty(0)
+    return np.stack([none if r[f"{a}_{c}"] is None else np.asarray(r[f"{a}_{c}"], dtype=float) for c in names])
+
+
+def page_of(r: dict, width: float, height: float, t: dict) -> Page:
+    """The page of a row of ``page_rows``."""
+    line, bands, corridors = stack(r, "ls", spatial.SIDES), stack(r, "bands", ("x0", "x9")), stack(r, "gs", ("x0", "x9"))
+    meet = rows_meet(line) if bands.shape[1] > 1 or corridors.shape[1] else None
+    return Page(line, running_bands(bands, line, meet), apart(corridors, line, meet), stack(r, "graphics", spatial.SIDES), stack(r, "grids", spatial.SIDES), width, height, t)
+
+
 def features(pages: DataFrame, lines: DataFrame, regions: DataFrame, bands: DataFrame, areas: DataFrame, gutters: DataFrame, width: float, height: float, systems: list[int], t: dict | None = None) -> DataFrame:
     """One row for each of ``systems`` and row of ``pages`` (page_id, doc, font, direction, psr_trust, est_columns).
 
@@ -241,25 +296,16 @@ def features(pages: DataFrame, lines: DataFrame, regions: DataFrame, bands: Data
     t = THRESHOLDS | (t or {})
     number = F.create_map(*[F.lit(v) for kv in BUCKET_NUMBERS.items() for v in kv])
     region = F.struct("sys", "blk", "rank", *spatial.SIDES, F.element_at(number, bucket(F.col("cls"))).alias("kind"), "cls")
-    x = pages.join(lines_of_pages(lines), "page_id", "left").join(regions.groupBy("page_id").agg(F.array_sort(F.collect_list(region)).alias("rs")), "page_id", "left")
-    x = x.join(bands.select("page_id", "bands"), "page_id", "left").join(gutters.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("x0", "x9"))).alias("gs")), "page_id", "left")
-    x = x.join(areas.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("kind", "area_id", *spatial.SIDES))).alias("areas")), "page_id", "left")
-    x = x.withColumn("bands", F.when(F.col("ls").isNull(), F.col("bands")).otherwise(spatial.merged_bands(F.col("bands"), F.col("ls")))).withColumn("os", F.when(F.col("ls").isNotNull(), open_corridors(F.col("gs"), F.col("ls"))))
+    flat = page_rows(pages, lines, regions, bands, areas, gutters, region, [*spatial.SIDES, "sys", "blk", "rank", "kind"], ["cls"])
     kept = [c for c in pages.columns]
-    numbers = lambda a, c: F.col(a)[c].cast("array<double>").alias(f"{a}_{c}")
-    of = lambda kind: F.filter("areas", lambda v: v["kind"] == kind)
-    x = x.select(*kept, (F.size(F.coalesce("gs", F.array())) > 0).alias("any_gutter"), "ls", "rs", "bands", "os", of("graphic").alias("graphics"), of("grid").alias("grids"))
-    flat = x.select(*kept, "any_gutter", *[numbers(a, c) for a in ("ls", "rs", "graphics", "grids") for c in spatial.SIDES], *[numbers(a, c) for a in ("bands", "os") for c in ("x0", "x9")], *[numbers("rs", c) for c in ("sys", "blk", "rank", "kind")], F.col("rs")["cls"].alias("cls"))
     kinds = {f.name: f.dataType.simpleString() for f in flat.schema.fields}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + ["any_gutter boolean", "sys long"] + [f"{c} double" for c in OF_PAGE + OF_SYSTEM])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = np.empty(0)
-        stack = lambda r, a, names: np.stack([none if r[f"{a}_{c}"] is None else np.asarray(r[f"{a}_{c}"], dtype=float) for c in names])
         for batch in batches:
             out = []
             for i, r in enumerate(batch.to_dict("records")):
-                page = Page(stack(r, "ls", spatial.SIDES), stack(r, "bands", ("x0", "x9")), stack(r, "os", ("x0", "x9")), stack(r, "graphics", spatial.SIDES), stack(r, "grids", spatial.SIDES), width, height, t)
+                page = page_of(r, width, height, t)
                 box, of_region = stack(r, "rs", spatial.SIDES), stack(r, "rs", ("sys", "blk", "rank", "kind"))
                 cls = np.asarray(r["cls"] if r["cls"] is not None else [], dtype=object)
                 facts = page.facts()
@@ -336,9 +382,9 @@ def availability(check: str) -> tuple[str, str]:
     return f"({runs})", f"(NOT ({runs}) AND NOT ({excused}))"
 
 
-def fired(t: dict | None = None, strongest: bool = False) -> Column:
-    """Array of (check_id, value) of the checks that can run on a row of ``features`` and fire; ``page_side`` is its longer
-    side. With ``strongest``, of checks that are views of one defect only the last that fires is left."""
+def firing(t: dict | None = None, strongest: bool = False) -> dict[str, Column]:
+    """Whether each check can run on a row of ``features`` and fires; ``page_side`` is its longer side. With ``strongest``, of
+    checks that are views of one defect only the last that fires is left."""
     every = rules(THRESHOLDS | (t or {}))
     fires = {k: cond & F.expr(availability(k)[0]) for k, (cond, _) in every.items()}
     shown = dict(fires)
@@ -346,7 +392,13 @@ def fired(t: dict | None = None, strongest: bool = False) -> Column:
         for i, k in enumerate(group):
             for later in group[i + 1 :]:
                 shown[k] = shown[k] & ~fires[later]
-    found = [F.when(shown[k], F.struct(F.lit(k).alias("check_id"), F.round(v.cast("double"), 6).alias("value"))) for k, (_, v) in every.items()]
+    return shown
+
+
+def fired(t: dict | None = None, strongest: bool = False) -> Column:
+    """Array of (check_id, value) of the checks that are ``firing``."""
+    shown = firing(t, strongest)
+    found = [F.when(shown[k], F.struct(F.lit(k).alias("check_id"), F.round(v.cast("double"), 6).alias("value"))) for k, (_, v) in rules(THRESHOLDS | (t or {})).items()]
     return F.array_compact(F.array(*found))
 
 

@@ -61,6 +61,25 @@ def decide(pages: DataFrame, policy: dict | None = None) -> DataFrame:
     return x.select("sys", "page_id", decision.alias("decision"), what.alias("task"), "n_block", "n_major", "n_adv", "n_unverifiable", "risk")
 
 
+def blocking(policy: dict | None = None) -> list[str]:
+    """Checks whose findings block a page by themselves."""
+    p = POLICY | (policy or {})
+    return sorted(k for k, level in (SEVERITY | p["override"][p["discard"]]).items() if level == "BLOCK")
+
+
+def escalated(fires: dict[str, Column], unsure: dict[str, Column], policy: dict | None = None) -> Column:
+    """Whether ``decide`` escalates a page, from the blocking checks alone: those that fire (strongest), and those that could
+    not run. Without thresholds of risk in the policy no other check has a say in it."""
+    p = POLICY | (policy or {})
+    if p["reject"] is not None or p["escalate"] is not None:
+        raise ValueError("thresholds of risk take all checks")
+    any_ = F.lit(False)
+    for k in blocking(policy):
+        if k in fires:
+            any_ = any_ | F.coalesce(fires[k], F.lit(False)) | F.coalesce(unsure[k], F.lit(False))
+    return F.when(F.col("psr_trust") == "unusable", F.lit(p["unusable"] != "defer")).otherwise(any_)
+
+
 def audit_sample(accepted: DataFrame, rate: float, seed: int) -> DataFrame:
     """Accepted pages of the random audit. Membership is a hash of seed, system and page, so growth or order of the table
     never moves a page in or out."""

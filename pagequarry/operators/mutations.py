@@ -126,17 +126,20 @@ MUTATIONS: dict[str, tuple[Callable[[DataFrame, float, str], DataFrame], tuple[f
 }
 
 
+def seed_of(name: str, strength: float, seed: str = "0") -> str:
+    return f"{seed}/{name}/{strength:g}"
+
+
 def mutated(regions: DataFrame, name: str, strength: float, seed: str = "0") -> DataFrame:
     """Regions with one defect. Two regions of a page may share their number after it."""
-    return MUTATIONS[name][0](regions, strength, f"{seed}/{name}/{strength:g}")
+    return MUTATIONS[name][0](regions, strength, seed_of(name, strength, seed))
 
 
-def sensitivity(findings: DataFrame, pages: DataFrame, blind: float = 0.05) -> DataFrame:
-    """(mutation, strength, n_pages, rate, baseline, lift, blind) from ``findings`` (mutation, strength, page_id), one row or
-    more a page on which a check fired, and ``pages`` (mutation, strength, page_id) that were looked at; rows of ``mutation``
-    'none' are the baseline. A defect that lifts the rate by less than ``blind`` goes unseen."""
-    hit = pages.join(findings.select("mutation", "strength", "page_id").distinct().withColumn("fired", F.lit(1)), ["mutation", "strength", "page_id"], "left")
-    rate = hit.groupBy("mutation", "strength").agg(F.count(F.lit(1)).alias("n_pages"), F.avg(F.coalesce("fired", F.lit(0))).alias("rate"))
+def sensitivity(looked: DataFrame, blind: float = 0.05) -> DataFrame:
+    """(mutation, strength, n_pages, rate, baseline, lift, blind) from ``looked`` (mutation, strength, n_pages, n_caught), a
+    row for each defect and strength; that of ``mutation`` 'none' is the baseline. A defect that lifts the rate by less than
+    ``blind`` goes unseen."""
+    rate = looked.withColumn("rate", F.col("n_caught") / F.col("n_pages"))
     base = F.broadcast(rate.where("mutation = 'none'").select(F.col("rate").alias("baseline")))  # one row
     x = rate.where("mutation <> 'none'").join(base)
     lift = F.round(F.col("rate") - F.col("baseline"), 4)

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagequarry.operators import checks, gate, mutations, sampling, spatial, streams
+from pagequarry.operators import checks, gate, mutations, sampling, spatial, streams, variants
 from pagequarry.plans import layout
 from pagequarry.plans import queries as base
 
@@ -124,22 +123,15 @@ def mutated_regions(spark: SparkSession, d: str) -> DataFrame:
 def defect_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """How many pages the gate stops more than before, under every defect and strength, over the pages that it changes.
 
-    Every variant is looked at as a system of its own, so all of them take one pass over the pages. The regions that the
-    variants are made of, and what the gate decides, are stored once, not derived anew for each use.
+    The variants of a page are made and counted in the page's own row, and only what blocks a page is counted: no other
+    check has a say in whether the gate escalates.
     """
-    r = whole(spark, d).where("sys = 0").localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
-    variants = [("none", 0.0)] + [(name, float(s)) for name, (_, strengths) in mutations.MUTATIONS.items() for s in strengths]
-    made = [as_floats(r if name == "none" else mutations.mutated(r, name, s)).withColumn("sys", F.lit(k).cast("long")) for k, (name, s) in enumerate(variants)]
-    every = reduce(DataFrame.unionByName, made)
-    shape = F.hash(F.array_sort(F.collect_list(F.struct("blk", *spatial.SIDES, "cls", "rank"))))
-    shapes = every.groupBy("sys", "page_id").agg(shape.alias("shape"))
-    before = F.max(F.when(F.col("sys") == 0, F.col("shape"))).over(Window.partitionBy("page_id"))
-    named = F.broadcast(spark.createDataFrame([(k, *v) for k, v in enumerate(variants)], "sys long, mutation string, strength double"))  # one row a variant
-    facts = checks.features(layout.page_facts(spark, d), layout.lines(spark, d), every, layout.bands(spark, d), layout.areas(spark, d), layout.gutters(spark, d), layout.PAGE_WIDTH, layout.PAGE_HEIGHT, list(range(len(variants))))
-    judged = gate.decide(checks.judged(facts, base.SIDE)).select("sys", "page_id", "decision").join(named, "sys").join(shapes, ["sys", "page_id"], "left").withColumn("before", before)
-    looked = judged.where("before IS NOT NULL AND (mutation = 'none' OR shape IS NULL OR shape <> before)").select("mutation", "strength", "page_id", "decision")
-    looked = looked.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)  # the rates draw on it four times
-    return mutations.sensitivity(looked.where("decision = 'escalate'"), looked)
+    of = layout
+    facts = variants.facts(of.page_facts(spark, d), of.lines(spark, d), whole(spark, d).where("sys = 0"), of.bands(spark, d), of.areas(spark, d), of.gutters(spark, d), of.PAGE_WIDTH, of.PAGE_HEIGHT)
+    named = F.broadcast(spark.createDataFrame([(k, *v) for k, v in enumerate(variants.EVERY)], "variant int, mutation string, strength double"))  # one row a variant
+    caught = gate.escalated(checks.firing(strongest=True), {k: F.expr(checks.availability(k)[1]) for k in checks.gate_checks()})
+    looked = facts.withColumn("page_side", F.lit(float(base.SIDE))).groupBy("variant").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(caught).alias("n_caught"))
+    return mutations.sensitivity(looked.join(named, "variant").localCheckpoint())  # one row a variant; the rates and their baseline draw on it
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
